@@ -171,7 +171,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
         return docs.mapInArrow(scan, f"id {type_of}, {OUT}").withColumnRenamed("id", id_col)
 
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    docs = docs.withColumns({"row": F.xxhash64("id", "text"), "tag": F.xxhash64(F.lit(1), "text", "id")})
     parts = None
     for b in range(blocks):
         index = indexed(b)
@@ -184,13 +184,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
                     at.append([i for i, _, _ in hits])
                     size.append([k for _, k, _ in hits])
                     names.append(sorted({x for *_, xs in hits for x in xs}))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(size, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=["id", "row", "n_words", "at", "size", "names"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n_words, pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(size, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=["id", "row", "tag", "n_words", "at", "size", "names"])
 
-        out = docs.select("id", "text", "row").mapInArrow(spans, f"id {type_of}, row long, n_words long, at array<long>, size array<long>, names array<string>")
+        out = docs.select("id", "text", "row", "tag").mapInArrow(spans, f"id {type_of}, row long, tag long, n_words long, at array<long>, size array<long>, names array<string>")
         out = out if b == 0 else out.where(F.size("at") > 0)
         parts = out if parts is None else parts.unionByName(out)
-    merged = parts.groupBy("row").agg(
-        F.first("id").alias("id"), F.first("n_words").alias("n_words"),
+    merged = parts.groupBy("row", "tag").agg(
+        F.first("n_words").alias("n_words"),
         F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("size")).alias("size"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"),
     )
@@ -198,9 +198,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     def merge(batches):
         for batch in batches:
             hit = [_covered(set(zip(a, k, strict=True))) for a, k in zip(batch.column("at").to_pylist(), batch.column("size").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), pa.array(hit, pa.int64()), batch.column("names")], names=["id", "n_words", "n_hit", "names"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("tag"), batch.column("n_words"), pa.array(hit, pa.int64()), batch.column("names")], names=["row", "tag", "n_words", "n_hit", "names"])
 
-    done = merged.mapInArrow(merge, f"id {type_of}, n_words long, n_hit long, names array<string>")
+    done = docs.select("id", "row", "tag").join(merged.mapInArrow(merge, "row long, tag long, n_words long, n_hit long, names array<string>"), ["row", "tag"])
     return done.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
@@ -209,8 +209,8 @@ def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = ready(documents.sparkSession)
     total = benchmark.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("n")).head().n
     if total > BLOCK_BYTES:
-        keep = documents.withColumn("_row", F.monotonically_increasing_id())
-        bad = decontaminate(keep.select("_row", "text"), benchmark, "_row").where("contaminated").select("_row")
+        keep = documents.withColumn("_row", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+        bad = decontaminate(keep.select("_row", "text"), benchmark, "_row").where("contaminated").select("_row").distinct()
         return keep.join(bad, "_row", "left_anti").drop("_row")
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     index = spark.sparkContext.broadcast(Index([(r.item, r.text) for r in rows.toLocalIterator()]))
