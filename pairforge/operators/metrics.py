@@ -90,22 +90,22 @@ def ranked(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def auc(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, roc_auc (ties count half), pr_auc (average precision over distinct scores); null unless both classes occur."""
     r = ranked(scored, by)
-    totals = r.groupBy(*by).agg(F.sum("n").alias("N"), F.sum("p").alias("P"))
+    totals = r.groupBy(*by).agg(F.sum("n").alias("all_n"), F.sum("p").alias("all_p"))
     r = r.join(F.broadcast(totals), list(by)) if by else r.crossJoin(F.broadcast(totals))  # one row without groups
-    above_n, above_p = F.col("N") - F.col("n_below"), F.col("P") - F.col("p_below")
+    above_n, above_p = F.col("all_n") - F.col("n_below"), F.col("all_p") - F.col("p_below")
     wins = F.col("p") * ((F.col("n_below") - F.col("p_below")) + (F.col("n") - F.col("p")) / 2)
     step = F.col("p") * ratio(above_p, above_n)
-    out = r.groupBy(*by).agg(F.sum(wins.cast("double")).alias("w"), F.sum(step).alias("s"), F.max("N").alias("N"), F.max("P").alias("P"))
-    both = (F.col("P") > 0) & (F.col("P") < F.col("N"))
-    return out.select(*by, F.when(both, F.try_divide(F.col("w"), (F.col("P") * (F.col("N") - F.col("P"))).cast("double"))).alias("roc_auc"), F.when(both, F.try_divide(F.col("s"), F.col("P").cast("double"))).alias("pr_auc"))
+    out = r.groupBy(*by).agg(F.sum(wins.cast("double")).alias("w"), F.sum(step).alias("s"), F.max("all_n").alias("all_n"), F.max("all_p").alias("all_p"))
+    both = (F.col("all_p") > 0) & (F.col("all_p") < F.col("all_n"))
+    return out.select(*by, F.when(both, F.try_divide(F.col("w"), (F.col("all_p") * (F.col("all_n") - F.col("all_p"))).cast("double"))).alias("roc_auc"), F.when(both, F.try_divide(F.col("s"), F.col("all_p").cast("double"))).alias("pr_auc"))
 
 
 def curve_points(scored: DataFrame) -> DataFrame:
     """score, tp, fp of score >= each distinct score."""
     r = ranked(scored)
-    totals = scored.agg(F.count(F.lit(1)).alias("N"), F.sum("y").cast("long").alias("P"))
-    tp = F.col("P") - F.col("p_below")
-    return r.crossJoin(F.broadcast(totals)).select("score", tp.alias("tp"), (F.col("N") - F.col("n_below") - tp).alias("fp"))
+    totals = scored.agg(F.count(F.lit(1)).alias("all_n"), F.sum("y").cast("long").alias("all_p"))
+    tp = F.col("all_p") - F.col("p_below")
+    return r.crossJoin(F.broadcast(totals)).select("score", tp.alias("tp"), (F.col("all_n") - F.col("n_below") - tp).alias("fp"))
 
 
 def calibration(scored: DataFrame, bins: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
