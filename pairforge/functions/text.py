@@ -11,6 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Word characters as the tokeniser counts them: letters, numbers and the low line.
 WORD = r"[\p{L}\p{N}_]"
@@ -40,7 +41,7 @@ STOP_WORDS = sorted(
 )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility composition; text that has it is passed on."""
     return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
