@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm.shared import as_text, ready
-from pairforge.llm.vectext import hashed, pieces, words
+from pairforge.llm.vectext import Known, hashed, pieces, words
 
 #: About so many labelled documents of each language, chosen by a hash of their id, are learned from.
 MAX_LABELLED = 400
 ROUNDS, FLOOR, UNKNOWN = 4, 0.01, -16.0
-CACHE = 1_000_000
+CACHE = 500_000
 _MARK = "▁"
 
 #: Bytes of words: letters after lower-casing and everything outside ASCII.
@@ -162,7 +162,7 @@ class Scorer:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = Known()
         self.values = np.zeros((1 << 12, self.logp.shape[1]))
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -174,9 +174,9 @@ class Scorer:
         h, where, inverse = np.unique(s.hash, return_index=True, return_inverse=True)
         if len(self.known) + len(h) > CACHE:
             self.clear()
-        keys = h.tolist()
-        missing = [i for i, x in enumerate(keys) if x not in self.known]
-        if missing:
+        numbers = self.known.find(h)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
             raw = data.tobytes()
             w = where[missing]
             texts = [raw[a:b] for a, b in zip(s.start[w].tolist(), s.end[w].tolist(), strict=True)]
@@ -185,9 +185,8 @@ class Scorer:
                 self.values = np.concatenate([self.values, np.zeros_like(self.values)])
             for part, matrix in by_length(texts):
                 self.values[base + part] = self.lattice.forward(matrix, self.logp)[-1]
-            self.known.update((keys[i], base + j) for j, i in enumerate(missing))
-        index = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
-        each = self.values[index]
+            numbers[missing] = self.known.add(h[missing])
+        each = self.values[numbers[inverse]]
         return np.column_stack([np.bincount(s.row, each[:, j], n) for j in range(k)])
 
 

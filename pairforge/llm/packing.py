@@ -24,13 +24,13 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from pairforge.llm.shared import as_text, ready, scratch, written
-from pairforge.llm.vectext import hashed, pieces
+from pairforge.llm.vectext import Known, hashed, pieces
 
 SEQUENCE, WINDOW_SEQUENCES = 1024, 256
 #: More sources than this share queues by hash, so that a table of queues has a bounded size.
 MAX_QUEUES = 4096
 #: Pre-tokens that a worker keeps the ids of.
-CACHE = 1_000_000
+CACHE = 500_000
 
 #: Code points with the White_Space property (fixed by Unicode).
 WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -63,21 +63,22 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.known = Known()
+        self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
         self.at, self.len = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def add(self, keys: list[int], texts: list[str]) -> None:
-        for key, e in zip(keys, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            i, n = len(self.known), len(e.ids)
-            if i == len(self.at):
+    def add(self, keys: np.ndarray, texts: list[str]) -> np.ndarray:
+        numbers = self.known.add(keys)
+        for i, e in zip(numbers.tolist(), self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+            n = len(e.ids)
+            if i >= len(self.at):
                 self.at, self.len = np.resize(self.at, 2 * i), np.resize(self.len, 2 * i)
             while self.used + n > len(self.flat):
                 self.flat = np.resize(self.flat, 2 * len(self.flat))
             self.flat[self.used : self.used + n] = e.ids
             self.at[i], self.len[i] = self.used, n
             self.used += n
-            self.known[key] = i
+        return numbers
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each row."""
@@ -86,7 +87,7 @@ class Encoder:
         try:
             cp = np.frombuffer(raw.decode("utf-8").encode("utf-32-le", "surrogatepass"), np.uint32)
         except UnicodeDecodeError:  # bytes that are no UTF-8 count as replacement characters
-            return [np.asarray(self.tokenizer.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            return [np.asarray(self.tokenizer.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint16) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         kind = self.classes[cp]
         byte = np.zeros(len(cp) + 1, np.int64)
         np.cumsum(1 + (cp >= 0x80).astype(np.int8) + (cp >= 0x800) + (cp >= 0x10000), out=byte[1:])
@@ -112,14 +113,14 @@ class Encoder:
         h, inverse = np.unique(hashed(data, a, b), return_inverse=True)
         if len(self.known) + len(h) > CACHE:
             self.clear()
-        keys = h.tolist()
-        missing = [i for i, k in enumerate(keys) if k not in self.known]
-        if missing:
+        numbers = self.known.find(h)
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
             where = np.zeros(len(h), np.int64)
             where[inverse] = np.arange(len(inverse))
             w = where[missing]
-            self.add([keys[i] for i in missing], [raw[x:y].decode("utf-8") for x, y in zip(a[w].tolist(), b[w].tolist(), strict=True)])
-        index = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
+            numbers[missing] = self.add(h[missing], [raw[x:y].decode("utf-8") for x, y in zip(a[w].tolist(), b[w].tolist(), strict=True)])
+        index = numbers[inverse]
         lens = self.len[index]
         ends = np.concatenate([[0], np.cumsum(lens)])
         ids = self.flat[np.arange(int(ends[-1])) + np.repeat(self.at[index] - ends[:-1], lens)]
@@ -127,7 +128,7 @@ class Encoder:
         out = [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         for i in np.flatnonzero(odd).tolist():
             text = raw[int(offsets[i]) : int(offsets[i + 1])].decode("utf-8")
-            out[i] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+            out[i] = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
         return out
 
 
@@ -242,11 +243,10 @@ def tokenised(documents: DataFrame, tokenizer: str, path: str) -> DataFrame:
                     before[q] = x[-1] + n[-1]
                 sizes = np.asarray(n, np.int64)
                 ends = np.concatenate([[0], np.cumsum(sizes)])
-                flat = np.zeros(int(ends[-1]), np.uint32)
-                inside = np.ones(len(flat), bool)
+                short = np.zeros(int(ends[-1]), np.uint16)
+                inside = np.ones(len(short), bool)
                 inside[ends[1:] - 1] = False
-                flat[inside] = np.concatenate(ids) if ids else []
-                short = flat.astype(np.uint16)
+                short[inside] = np.concatenate(ids)
                 raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(short)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([chunk] * (hi - lo), pa.int32()), pa.array(x, pa.int64()), pa.array(sizes), raw], names=["doc_id", "queue", "chunk", "x", "n", "ids"])
 

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,3 +132,27 @@ def whole(first: np.ndarray, row: np.ndarray, k: int, m: int) -> np.ndarray:
     """Whether the k-gram at each of m places lies within one row."""
     at = np.arange(m)
     return at + k <= first[row[:m] + 1]
+
+
+class Known:
+    """Numbers 0, 1, ... of hashes in order of their arrival, in 16 bytes each."""
+
+    def __init__(self):
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 for a new one."""
+        if not len(self.keys):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        return np.where(self.keys[at] == h, self.number[at], -1)
+
+    def add(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of new hashes, which ascend."""
+        made = np.arange(len(self.keys), len(self.keys) + len(h))
+        at = np.searchsorted(self.keys, h)
+        self.keys, self.number = np.insert(self.keys, at, h), np.insert(self.number, at, made)
+        return made
