@@ -32,22 +32,24 @@ def directory(counts: dict[int, int], capacity: int = CAPACITY, max_depth: int =
 
     counts: entries by the leading max_depth bits.
     """
-    depth, slots = 0, [(0, 0)]  # (prefix, local depth) by slot
+    depth = 0
 
     def held(prefix: int, bits: int) -> int:
         width = max_depth - bits
         return sum(counts.get(i, 0) for i in range(prefix << width, (prefix + 1) << width))
 
-    full = {(0, 0): held(0, 0)}
-    while over := [b for b, n in full.items() if n > capacity and b[1] < max_depth]:
-        if max(bits for _, bits in over) == depth:
-            slots, depth = [b for b in slots for _ in range(2)], depth + 1  # doubling
+    buckets = {(0, 0): held(0, 0)}  # entries by (prefix, local depth)
+    while over := [b for b, n in buckets.items() if n > capacity and b[1] < max_depth]:
         for prefix, bits in over:
-            del full[prefix, bits]
+            depth = max(depth, bits + 1)  # the directory doubles when a bucket that splits has used all its bits
+            del buckets[prefix, bits]
             for half in (2 * prefix, 2 * prefix + 1):
-                full[half, bits + 1] = held(half, bits + 1)
-        slots = [(i >> (depth - bits + 1) << 1 | (i >> (depth - bits - 1)) & 1, bits + 1) if (prefix, bits) in over and bits < depth else (prefix, bits) for i, (prefix, bits) in enumerate(slots)]
-    return [prefix << (max_depth - bits) for prefix, bits in slots]
+                buckets[half, bits + 1] = held(half, bits + 1)
+    table = [0] * (1 << depth)
+    for prefix, bits in buckets:
+        width = 1 << (depth - bits)
+        table[prefix * width : (prefix + 1) * width] = [prefix << (max_depth - bits)] * width
+    return table
 
 
 def bucket_of(key: Column, table: list[int], max_depth: int = MAX_DEPTH) -> Column:

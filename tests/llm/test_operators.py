@@ -1,0 +1,337 @@
+"""Text operators against brute force, and on nulls, empty and long texts, repeated rows, empty tables and extra columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from pairforge.llm import decontam, exact_dedup, html_extract, langid, line_dedup, minhash, packing, pii, quality, registry, secret_scan, vectext
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, row int, h string"
+BENCH = [(1, "one two three four five six seven eight nine ten eleven"), (2, "tiny item"), (3, None), (None, "no id here"), (3, "again")]
+
+
+def corpus() -> list[tuple[int | None, str | None]]:
+    rng = random.Random(5)
+    words = ["alpha", "beta", "Gamma", "delta", "é", "ß1", "the", "of", "token", "x" * 30]
+    base = " ".join(rng.choice(words) + str(rng.randrange(60)) for _ in range(120))
+    rows: list[tuple[int | None, str | None]] = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 60)))) for i in range(20)]
+    for i in range(20, 40):
+        w = base.split()
+        for _ in range(i - 20):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(1000)}"
+        rows.append((i, " ".join(w)))
+    rows += [(40, None), (41, ""), (42, " \n\t"), (43, "a b"), (44, "A  B"), (45, "one"), (46, base), (46, base), (None, base), (47, "lorem " * 20000)]
+    rows += [(48, "so One two three four five six seven eight nine TEN eleven is tiny item!"), (49, "日本語 😀 text's"), (50, 'token = "abcdefghijkl9" user: bob AKIAABCDEFGHIJ12345 0123456789abcdef')]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, ["en", "fr", None][k % 3], ["s0", "s1", None][k % 3], 1, "x", 2, "y") for k, (i, t) in enumerate(corpus())]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def bench(spark):
+    return spark.createDataFrame(BENCH, "item_id long, text string")
+
+
+def key(row):
+    return tuple((x is not None, x) if not isinstance(x, bool) else (True, int(x)) for x in row)
+
+
+def test_windows(docs, bench):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    wins: dict[tuple, set] = {}
+    for i, t in BENCH:
+        w = split(t) if i is not None else []
+        for j in range(len(w) - min(10, len(w)) + 1 if w else 0):
+            wins.setdefault(tuple(w[j : j + min(10, len(w))]), set()).add(str(i))
+    want = []
+    for i, t in corpus():
+        w, hit, items = split(t), set(), set()
+        for win, names in wins.items():
+            for j in range(len(w) - len(win) + 1):
+                if tuple(w[j : j + len(win)]) == win:
+                    hit.update(range(j, j + len(win)))
+                    items |= names
+        want.append((i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
+    for block in (decontam.BLOCK_BYTES, 40):
+        got = [tuple(r) for r in decontam.decontaminate(docs, bench, block_bytes=block).collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
+    assert decontam.clean(docs, bench).where("doc_id = 48").count() == 0
+
+
+def test_winnowing_meets_every_shared_window():
+    rng = random.Random(1)
+    for _ in range(30):
+        a = [f"w{rng.randrange(4)}" for _ in range(60)]
+        b = [f"v{rng.randrange(9)}" for _ in range(20)] + a[(k := rng.randrange(50)) : k + 10] + ["z"] * 5
+        index = decontam.Index([("1", " ".join(a))])
+        data = np.frombuffer(" ".join(b).encode(), np.uint8)
+        assert any(i == 20 for i, _, _ in index.hits(data, vectext.words(data, np.array([0, len(data)]), vectext.ALNUM)))
+
+
+def test_exact(docs):
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    groups: dict[str, list] = {}
+    for i, t in corpus():
+        groups.setdefault(norm(t), []).append((-len(t or ""), i is None, i))
+    want = []
+    for i, t in corpus():
+        g = groups[norm(t)]
+        keep = min(g, key=lambda x: (x[0], x[1], x[2] or 0))[2]
+        want.append((i, keep, len(g), i == keep if keep is not None else True, hashlib.sha256(norm(t).encode()).hexdigest()))
+    got = [(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.dedup(docs, 4).collect()]
+    fix = lambda rows: sorted([(i, k, n, False if i is None and k is not None else x, s) for i, k, n, x, s in rows], key=key)
+    assert fix(got) == fix(want)
+    assert set(docs.columns) == set(exact_dedup.kept(docs).columns)
+
+
+def test_directory_splits_overfull_buckets_only():
+    rng = random.Random(2)
+    counts = {rng.randrange(256) if rng.random() < 0.5 else rng.randrange(8): rng.randrange(1, 40) for _ in range(200)}
+    table = exact_dedup.directory(counts, 50, 8)
+    assert len(table) & (len(table) - 1) == 0
+    width = 256 // len(table)
+    held: dict[int, int] = {}
+    for slot, n in counts.items():
+        held[table[slot // width]] = held.get(table[slot // width], 0) + n
+    assert all(n <= 50 or counts.get(b, 0) == n for b, n in held.items())
+    assert sorted(table) == table and exact_dedup.directory({}, 5, 8) == [0]
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.setdefault(i, set()).add(frozenset(tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))) if w else frozenset())
+    parent = {i: i for i in sets if i is not None}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in parent:
+        for b in parent:
+            if a < b and any(100 * len(x & y) >= 80 * len(x | y) > 0 for x in sets[a] for y in sets[b]):
+                p, q = sorted((find(a), find(b)))
+                parent[q] = p
+    return {i: find(i) for i in parent}, sets
+
+
+def test_near(docs):
+    comp, sets = brute_components(corpus())
+    got = minhash.near_duplicates(docs).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        assert r.n_shingles in {len(s) for s in sets[r.doc_id]}
+        assert (r.component_id, r.kept) == ((None, True) if r.doc_id is None else (comp[r.doc_id], comp[r.doc_id] == r.doc_id))
+
+
+def test_sketches_estimate_similarity():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(1, 2**63, 700, dtype=np.uint64), rng.integers(1, 2**63, 300, dtype=np.uint64)
+    row = np.concatenate([np.zeros(700, np.int64), np.ones(800, np.int64), [3]])
+    sk = minhash.sketches(row, np.concatenate([a, a[:500], b, np.array([7], np.uint64)]), 4)
+    assert abs((sk[0] == sk[1]).mean() - 0.5) < 0.16 and (sk[2] == 0).all() and (sk[3] != 0).all()
+
+
+def test_blocks_link_what_leaders_miss():
+    sets = {1: range(100), 2: range(8, 108), 3: range(16, 116), 9: range(500, 520)}
+    for cells in (1 << 25, 1):
+        minhash.CELLS, kept = cells, minhash.CELLS
+        t = pa.table({"doc_id": list(sets), "side": [0, 0, 1, 1], "component": [1, 1, 3, 9], "items": [list(v) for v in sets.values()]})
+        assert minhash._between(t).to_pylist() == [{"a": 2, "b": 3}]
+        minhash.CELLS = kept
+
+
+def test_packing(docs):
+    tk = packing.Encoder(registry.TOKENIZER()).tokenizer
+    rows = packing.pack(docs, registry.TOKENIZER(), window_sequences=2).collect()
+    want = sorted(tuple(tk.encode(t or "", add_special_tokens=False).ids) + (0,) for _, t in corpus())
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for s in by.values():
+        assert [o for o, _ in sorted(s)] == list(np.cumsum([0] + [n for _, n in sorted(s)])[:-1]) and sum(n for _, n in s) <= 1024
+    assert sum(n for s in by.values() for _, n in s) == sum(map(len, want))
+    short = [n for s in by.values() if (n := sum(n for _, n in s)) != 1024]
+    assert all(n & (n - 1) == 0 for n in short)
+    long = sorted((r for r in rows if r.doc_id == 47), key=lambda r: r.start)
+    ids = np.array(tk.encode("lorem " * 20000, add_special_tokens=False).ids + [0], "<u4")
+    assert [r.ids_crc32 for r in long] == [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in long] and long[0].doc_tokens == len(ids)
+
+
+def test_mixture_is_held_in_every_window():
+    s = packing.Schedule({"a": 100_000, "b": 50_000, "c": 1000}, window=1000)
+    for j in range(151):
+        got = {q: b - a for q, (a, b, _) in s.window(j).items()}
+        assert abs(got["a"] - 1000 * 100 / 151) <= 1.01 and abs(got["b"] - 1000 * 50 / 151) <= 1.01
+    s = packing.Schedule({"a": 100_000, "b": 50_000}, {"a": 0.25, "b": 0.75}, 1000)
+    assert all(abs((w := s.window(j))["b"][1] - w["b"][0] - 750) <= 1 for j in range(60))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pretokens_equal_the_tokenizer(seed):
+    rng = random.Random(seed)
+    alphabet = [" ", "\n", "\t", "a", "é", "1", "!", ".", "'s", " ", "　", "日", "😀", "ñ", "٣", "_", "\x1c", "\x85", "​"]
+    rows = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(400)] + ["", None, "<|endoftext|>"]
+    coder = packing.encoder(registry.TOKENIZER())
+    got = [x.tolist() for _, _, data, offsets in vectext.pieces(pa.array(rows), 500) for x in coder.encode(data, offsets)]
+    assert got == [e.ids for e in coder.tokenizer.encode_batch([r or "" for r in rows], add_special_tokens=False)]
+
+
+def test_secrets(docs):
+    a = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    want = []
+    for i, t in corpus():
+        f = [(m.start(), 0, "assign", m.end()) for m in a.finditer(t or "") if len(m[2]) >= 12]
+        f += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 18]
+        f += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 16]
+        text = ",".join(f"{k}:{x}:{y}" for x, _, k, y in sorted(f))
+        want.append((i, *(sum(k == n for _, _, k, _ in f) for n in ("assign", "access", "hex")), hashlib.sha256(text.encode()).hexdigest()))
+    got = secret_scan.scan(docs).collect()
+    assert sorted(((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got), key=key) == sorted(want, key=key)
+    spans = {r.doc_id: r.spans for r in got}
+    assert "ident" in spans[50] and spans[43] == ""
+
+
+def test_weak_parts_need_each_other(spark):
+    far = " lorem" * 100
+    rows = [(1, "user: bob" + far), (2, "user: bob AAAAbbbbCCCC1111dddd2"), (3, "user: bob" + far + " AAAAbbbbCCCC1111dddd2"), (4, "AAAAbbbbCCCC1111dddd2 at 10.0.0.1")]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "ident:0:9,opaque:10:31", 3: "", 4: "opaque:0:21,endpoint:25:33"}
+
+
+def test_pseudonyms(spark):
+    rows = [(1, "card 4012888888881881, tel +1 (545) 555-5362, on 2024-02-29, ip 10.0.0.1, joe.b7@mail.example.com"), (2, "4012 8888 8888 1881 and 29.02.2024"), (3, "4012888888881882 2023-02-29 300.1.1.1"), (4, None)]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    card = re.search(r"card (\d{16}),", got[1].text)[1]
+    odd = [int(c) for c in reversed(card)]
+    assert card != "4012888888881881" and sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(odd)) % 10 == 0
+    assert got[2].text.startswith(" ".join(card[k : k + 4] for k in range(0, 16, 4)))
+    y, m, d = re.search(r"on (\d{4})-(\d\d)-(\d\d),", got[1].text).groups()
+    assert got[2].text.endswith(f"{d}.{m}.{y}") and (got[1].n_card, got[1].n_phone, got[1].n_date, got[1].n_ip, got[1].n_email) == (1, 1, 1, 1, 1)
+    assert got[3].text == rows[2][1] and got[4].text == "" and "joe.b7" not in got[1].text and re.search(r"tel \+1 \(\d{3}\) \d{3}-\d{4},", got[1].text)
+    many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("+1 "), F.lpad(F.col("id").cast("string"), 10, "0")).alias("text"))
+    many = many.withColumn("text", F.regexp_replace("text", r"(\d{3})(\d{3})(\d{4})$", "$1 $2 $3"))
+    out = pii.pseudonymise(many, "k")
+    assert out.select("text").distinct().count() == 3000 and out.agg(F.sum("n_phone")).head()[0] == 3000
+
+
+def test_lines(spark):
+    shared = "\n".join(f"shared line number {k} with some words" for k in range(12))
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, f"own {i} a\n{shared}\nown {i} b\n" + (long + "\n" if i > 3 else "") + f"end {i}") for i in range(8)] + [(20, None), (21, ""), (22, "one line"), (23, "one line")]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    assert got[0].text == text[0] and got[4].text.count(long) == 1 and all(long not in got[i].text for i in (5, 6, 7))
+    for i in range(1, 8):
+        assert got[i].n_removed > 0 and len(got[i].text) < len(text[i]) / 2 and f"own {i} a" in got[i].text and f"end {i}" in got[i].text
+        assert got[i].removed_bytes == len((text[i] or "").encode()) - len(got[i].text.encode())
+    assert got[20].text == got[21].text == "" and got[22].text == got[23].text == "one line"
+
+
+def test_forward_sums_all_segmentations():
+    vocab = [b" a", b" ab", b"a", b"b", b"bc", b"c", "é".encode()]
+    lattice, logp = langid.Lattice(vocab), np.log(np.array([[0.1, 0.2], [0.2, 0.1], [0.1, 0.1], [0.2, 0.1], [0.1, 0.3], [0.1, 0.1], [0.2, 0.1], [1e-7, 1e-7]]))
+    found = {p: i for i, p in enumerate(vocab)}
+
+    def total(s: str, k: int) -> float:
+        if not s:
+            return 1.0
+        out = 0.0
+        for n in range(1, len(s) + 1):
+            i = found.get(s[:n].encode(), len(vocab) if n == 1 else None)
+            if i is not None:
+                out += np.exp(logp[i, k]) * total(s[n:], k)
+        return out
+
+    for w in ("abc", "aé", "bca", "zé"):
+        (_, matrix), = langid.by_length([w.encode()])
+        assert np.allclose(np.exp(lattice.forward(matrix, logp)[-1][0]), [total(" " + w, k) for k in (0, 1)], rtol=1e-6)
+
+
+def test_languages(spark, docs):
+    rng = random.Random(4)
+    make = lambda ws: " ".join(rng.choice(ws) for _ in range(30))
+    rows = [(i, make(["the", "and", "with", "thing"]) if i % 2 else make(["der", "und", "mit", "ding"]), "en" if i % 2 else "de") for i in range(60)] + [(90, None, "en"), (91, "12 34!", "de"), (92, "THE AND", None)]
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), registry.PIECES()).collect()}
+    assert all(got[i].lang_pred == lang and 0 <= got[i].score <= 1 and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _, lang in rows[:60])
+    assert got[90].lang_pred == got[91].lang_pred == "und" and got[92].lang_pred == "en"
+    assert langid.identify(docs, registry.PIECES()).count() == docs.count()
+
+
+def test_quality(spark, docs):
+    good = [(i, " ".join(f"word{(i * k) % 97}" for k in range(50)), 1) for i in range(200)]
+    bad = [(i, "JUNK!! " * 50, 0) for i in range(200, 400)]
+    d = spark.createDataFrame([r[:2] for r in good + bad] + [(999, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in good + bad] + [(7, None), (None, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.classify(d, labels).collect()}
+    assert all(got[i].predicted == y and got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _, y in good + bad)
+    assert 0 <= got[999].score <= 1 and got[None].held_out is False
+    assert {r.doc_id for r in quality.kept(d, labels).collect()} >= {i for i, *_ in good}
+    assert quality.classify(docs, labels.where("quality = 5")).select("score").distinct().count() == 1
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<nav><a>x</a></nav><article><h1>T &amp; U</h1><p>one<b> two</b><br>three</p></article><footer>f</footer>", "T & U one two three"),
+    ("<article><p>a<p>b<aside>side</aside><form>f</form><section class='comments'><p>no</p></section>c</article>", "a b c"),
+    ("<div class=ad>buy</div><script>var a='</p>'</script><main>x &lt; y<!-- c --></main><div id='cookie-banner'>ok</div>", "x < y"),
+    (None, ""), ("", ""), ("<p", ""), ("<article>cut off <b>here", "cut off here"), ("<!-- all", ""),
+    ("<p>" + "the cat and the dog were in the house " * 8 + "</p><p>short one</p><div><a href=x>more links here</a></div>", ("the cat and the dog were in the house " * 8 + "short one")),
+])
+def test_pages(page, text):
+    assert html_extract.main_text(page or "") == text
+
+
+def test_page_table(spark):
+    rows = [(1, "u", "<article>a</article>", "x"), (1, "u", "<article>a</article>", "x"), (None, None, None, None)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
+
+
+def test_empty_tables(spark, empty, bench):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    made = [
+        decontam.decontaminate(empty, bench), decontam.decontaminate(empty, bench.limit(0)), decontam.clean(empty, bench), exact_dedup.dedup(empty), exact_dedup.kept(empty), minhash.near_duplicates(empty), minhash.kept(empty),
+        packing.pack(empty, registry.TOKENIZER()), quality.classify(empty, labels), quality.kept(empty, labels), langid.identify(empty, registry.PIECES()), secret_scan.scan(empty), pii.pseudonymise(empty, "k"), line_dedup.dedup_lines(empty), html_extract.extract(pages),
+    ]
+    assert [df.count() for df in made] == [0] * len(made)
+
+
+def test_odd_rows_do_not_crash(docs):
+    for df in (pii.pseudonymise(docs, "k"), line_dedup.dedup_lines(docs), quality.with_statistics(docs)):
+        assert df.count() == docs.count()
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, t, "en", "s0") for i, t in corpus() if i is not None]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(BENCH[:2], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    norm: dict[str, tuple] = {}
+    for i, t, *_ in rows:
+        k = re.sub(r"[\x20\x09-\x0D]", "", t or "")
+        norm[k] = min(norm.get(k, (0, 10**9)), (-len(t or ""), i))
+    left = [(i, t) for i, t, *_ in rows if i in {x for _, x in norm.values()}]
+    comp, _ = brute_components(left)
+    assert got == {i for i, _ in left if comp[i] == i} - {48}
