@@ -64,5 +64,5 @@ def coefficients(model, columns: list[str]) -> list[tuple[str, float]]:
 
 def variants(base: list[str], groups: dict[str, list[str]]) -> dict[str, list[str]]:
     """Column sets of the full model and of the model without each group."""
-    full = base + [c for g in groups.values() for c in g]
+    full = list(dict.fromkeys(base + [c for g in groups.values() for c in g]))
     return {"full": full} | {f"without_{k}": [c for c in full if c not in g] for k, g in groups.items()}

@@ -791,7 +791,7 @@ def _features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _GROUPS = {k: C.GROUPS[k] for k in ("number", "date_heuristic", "entity_heuristic", "negation", "specificity")}
-_COLUMNS = FEATURES + [c for g in _GROUPS.values() for c in g]
+_COLUMNS = list(dict.fromkeys(FEATURES + [c for g in _GROUPS.values() for c in g]))
 
 
 @query(f"{_LEX}, m AS (SELECT avg(word_jaccard) AS m, stddev_pop(word_jaccard) AS s, avg(char_len_absdiff) AS m2, stddev_pop(char_len_absdiff) AS s2 FROM lex) SELECT id, round((word_jaccard - m) / s, 5) AS word_jaccard, round((char_len_absdiff - m2) / s2, 5) AS char_len_absdiff FROM lex, m")
