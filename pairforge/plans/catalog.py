@@ -11,10 +11,10 @@ from pairforge.functions import constraints as C
 from pairforge.functions import text as X
 from pairforge.functions import vectors as V
 from pairforge.functions.lexical import FEATURES, audit_jaccard, lexical_features, with_tokens
-from pairforge.operators import audit, clusters, explain, graph, models, resample, splits, tfidf, thresholds
+from pairforge.operators import audit, clusters, explain, graph, models, resample, splits, tfidf, thresholds, vocabulary
 from pairforge.operators import metrics as M
 from pairforge.plans.views import PAIRS_SQL, STOPS_SQL, TOKENS_SQL, VECTORS_SQL, except_sql, jaccard_sql, key_sql, norm_sql, q, scored, table, text_pairs, tokens_sql, vector_pairs, words_sql
-from pairforge.session import scratch, written
+from pairforge.session import ready, scratch, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,7 +23,7 @@ SQL: dict[str, str] = {}
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(ready(spark), sf_dir)
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -780,6 +780,33 @@ def class_terms(spark: SparkSession, sf: str) -> DataFrame:
     return six(tfidf.class_terms(d, "lang", F.col("t")))
 
 
+_VOC = f"""WITH t AS (SELECT conv_id * 1000 + turn AS key, {tokens_sql(norm_sql('text'))} AS t FROM conversations), c AS (SELECT token, count(*) AS times FROM (SELECT unnest(t) AS token FROM t) GROUP BY token HAVING count(*) >= 2),
+vo AS (SELECT token, row_number() OVER (ORDER BY times DESC, token) + 1 AS id, times FROM c)"""
+
+
+@query(f"{_VOC} SELECT token, id, times FROM vo")
+def token_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return vocabulary.build(_turns(spark, sf), "t")
+
+
+@query(f"{_VOC}, l AS (SELECT key, unnest(t[1:64]) AS token, generate_subscripts(t[1:64], 1) AS i FROM t), e AS (SELECT key, string_agg(coalesce(id, 1)::VARCHAR, ',' ORDER BY i) AS ids FROM l LEFT JOIN vo USING (token) GROUP BY key) SELECT t.key, coalesce(ids, '1') AS ids FROM t LEFT JOIN e USING (key)")
+def encoded_texts(spark: SparkSession, sf: str) -> DataFrame:
+    d = written(_turns(spark, sf), scratch(spark))
+    e = vocabulary.encode(d, "key", "t", vocabulary.build(d, "t"), 64)
+    return e.select("key", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query()
+def fold_repetitions(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean, least and greatest F1 of cross-fitted policies over repetitions of the folds."""
+    s, out = written(scored(spark, sf), scratch(spark)), None
+    for rep in range(3):
+        folded = s.withColumn("fold", F.pmod(resample.uniform(rep, F.col("id")), F.lit(4)).cast("int"))
+        r = M.decision_metrics(thresholds.cross_fit(folded, 4, 240, 28)[0]).select("f1")
+        out = r if out is None else out.unionByName(r)
+    return six(out.agg(F.avg("f1").alias("mean"), F.min("f1").alias("min"), F.max("f1").alias("max")))
+
+
 # Models and explanations -------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from pathlib import Path
@@ -9,6 +10,18 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package wherever the driver found it."""
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    return spark
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir; a local master without that setting gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
