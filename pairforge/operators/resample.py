@@ -20,10 +20,38 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
 
 
+RANGES = 1024
+
+
+def numbered(df: DataFrame, by: list[str], place: Column, order: list, name: str) -> DataFrame:
+    """Adds the row number from 1 on within by, in order; place in [0, 1] must rise with order.
+
+    Two levels: rows of ranges of place are counted first and numbered within, so no task holds all rows.
+    """
+    df = df.withColumn("_b", F.least(F.floor(place * RANGES), F.lit(RANGES - 1)))
+    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cells = df.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")).select(*by, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
+    return df.join(cells, [*by, "_b"]).withColumn(name, F.col("_before") + within).drop("_b", "_before")
+
+
+def by_key(df: DataFrame, by: list[str], key: str, name: str) -> DataFrame:
+    """numbered in order of a numeric key."""
+    bounds = df.groupBy(*by).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count(F.lit(1)).alias("size"))
+    out = df.join(F.broadcast(bounds), by) if by else df.crossJoin(F.broadcast(bounds))
+    place = (F.col(key) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
+    return numbered(out, by, place, [key], name).drop("_lo", "_hi")
+
+
+def by_hash(df: DataFrame, by: list[str], h: Column, key: str, name: str) -> DataFrame:
+    """numbered in order of 48 hashed bits."""
+    out = df.withColumn("_u", h)
+    return numbered(out, by, F.col("_u") / float(1 << 48), ["_u", key], name).drop("_u")
+
+
 def placed(scored: DataFrame, group: str, key: str) -> DataFrame:
-    """Adds place (0 on) of each row within its group in order of key, and size."""
-    w = Window.partitionBy(group)
-    return scored.withColumn("place", F.row_number().over(w.orderBy(key)) - 1).withColumn("size", F.count(F.lit(1)).over(w))
+    """Adds place (0 on) of each row within its group in order of a numeric key, and size. Groups are few."""
+    return by_key(scored, [group], key, "place").withColumn("place", F.col("place") - 1)
 
 
 def draws(scored: DataFrame, replicates: int, seed: int, group: str, key: str) -> DataFrame:
@@ -74,21 +102,19 @@ def partition_null(scored: DataFrame, tau: float, replicates: int, seed: int = 4
 
     Replicate b gives the row of the i-th least hash the cluster of the i-th row, so sizes stay.
     """
-    w = Window.partitionBy("boot")
     rows = scored.select(key, "y", "score", "cluster").withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    slots = rows.select("boot", "cluster", F.row_number().over(w.orderBy(key)).alias("slot"))
-    dealt = rows.select("boot", "y", "score", F.row_number().over(w.orderBy(uniform(seed, F.col("boot"), F.col(key)), key)).alias("slot"))
+    slots = by_key(scored.select(key, "cluster"), [], key, "slot").select("cluster", "slot")
+    dealt = by_hash(rows.drop("cluster"), ["boot"], uniform(seed, F.col("boot"), F.col(key)), key, "slot")
     spread = lambda df, by: confusion(df, tau, (*by, "cluster")).groupBy(*by).agg((F.max("f1") - F.min("f1")).alias("spread"))
     seen = spread(scored, ()).withColumnRenamed("spread", "observed")
-    null = spread(dealt.join(slots, ["boot", "slot"]), ("boot",))
+    null = spread(dealt.join(slots, "slot"), ("boot",))
     return null.crossJoin(F.broadcast(seen)).groupBy("observed").agg(F.avg("spread").alias("null_mean"), F.avg((F.col("spread") >= F.col("observed")).cast("int")).alias("p_value"))
 
 
 def threshold_reliability(scored: DataFrame, sizes: list[int], replicates: int, seed: int = 5, key: str = "id") -> DataFrame:
     """n, std and 5/95 percentiles of the optimal threshold of subsamples of n rows, and their regret in F1 on all rows."""
-    w = Window.partitionBy("boot")
     rows = scored.select(key, "y", "score").withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    rows = rows.withColumn("rank", F.row_number().over(w.orderBy(uniform(seed, F.col("boot"), F.col(key)), key)))
+    rows = by_hash(rows, ["boot"], uniform(seed, F.col("boot"), F.col(key)), key, "rank")
     sub = rows.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where("rank <= size")
     best = best_threshold(sub, ("size", "boot"))
     full = sweep(scored).select(F.col("threshold"), F.col("f1").alias("full"))
