@@ -23,7 +23,8 @@ from pairforge.llm.shared import as_text, join_groups, ready, scratch, written
 from pairforge.llm.vectext import FOLD, NOT_SPACE, gram_at, mix, pieces, words
 
 T, R = 128, 4
-SHINGLE, PERCENT = 4, 80
+#: Words of a shingle unless a caller says otherwise, and the least similarity of a link.
+SHINGLE, PERCENT = 5, 80
 #: Elements of the sets that one block of a group may hold, and cells of one matrix.
 BLOCK_ELEMENTS, CELLS = 1_000_000, 1 << 25
 #: Bits of the filter of documents in buckets: 4 MB, whatever the input; when full it passes all documents.
@@ -32,14 +33,14 @@ FILTER_BITS = 1 << 25
 SALTED = 5000
 
 
-def shingled(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingled(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles of each row, ascending; a row of fewer words has one for all of them."""
     s = words(FOLD[data], offsets, NOT_SPACE)
     n = np.diff(s.first)
     at = np.arange(len(s.start))
-    full = at + SHINGLE <= s.first[s.row + 1] if len(at) else np.zeros(0, bool)
-    row, h = [s.row[full]], [gram_at(s.hash, at[full], SHINGLE)]
-    for k in range(1, SHINGLE):
+    full = at + shingle <= s.first[s.row + 1] if len(at) else np.zeros(0, bool)
+    row, h = [s.row[full]], [gram_at(s.hash, at[full], shingle)]
+    for k in range(1, shingle):
         short = np.flatnonzero(n == k)
         row.append(short)
         h.append(gram_at(s.hash, s.first[short], k))
@@ -73,12 +74,12 @@ def sketches(row: np.ndarray, h: np.ndarray, n: int, t: int = T) -> np.ndarray:
     return np.where(round_of == 2 * t, 0, mix(out + round_of.astype(np.uint64))).reshape(n, t)
 
 
-def _sketch(batches):
+def _sketch(batches, shingle: int):
     for batch in batches:
         sizes, one, two, bands = [], [], [], []
         for lo, hi, data, offsets in pieces(batch.column(1)):
             n = hi - lo
-            row, h = shingled(data, offsets)
+            row, h = shingled(data, offsets, shingle)
             size = np.bincount(row, minlength=n)
             sizes.append(size)
             for acc, seed in ((one, 1), (two, 0x5851F42D4C957F2D)):
@@ -120,7 +121,7 @@ def _or(batches):
         yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["page", "bits"])
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, items) of the documents of ids: a filter of bounded size leaves out most others before rows move."""
     spark = docs.sparkSession
     pages = ids.select("doc_id").mapInArrow(_bits, "page int, bits binary").repartition(8, "page").mapInArrow(_or, "page int, bits binary")
@@ -134,7 +135,7 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
             slot = _slots(batch.column(0).to_numpy(zero_copy_only=False))
             batch = batch.filter(pa.array((filter_.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0))
             for lo, hi, data, offsets in pieces(batch.column(1)):
-                row, h = shingled(data, offsets)
+                row, h = shingled(data, offsets, shingle)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))], names=["doc_id", "items"])
 
@@ -210,8 +211,8 @@ def components(links: DataFrame, path: str) -> DataFrame:
     return edges.select(F.col("hi").alias("doc_id"), F.col("lo").alias("component_id")).unionByName(edges.select(F.col("lo").alias("doc_id"), F.col("lo").alias("component_id")).distinct())
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """Per row of documents: doc_id, n_shingles, component_id, kept.
+def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Per row of documents: doc_id, n_shingles, component_id, kept, by sets of so many words in a row.
 
     Null and empty texts and texts without words have an empty set and are linked with nothing. A row without doc_id
     is linked with nothing either: component_id is null and kept true. Rows that repeat a doc_id are one document
@@ -219,7 +220,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """
     spark, path = ready(documents.sparkSession), scratch(documents.sparkSession)
     docs = as_text(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    base = written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, one long, two long, bands array<long>"), f"{path}/sketches")
+    base = written(docs.mapInArrow(lambda batches: _sketch(batches, shingle), "doc_id long, n_shingles long, one long, two long, bands array<long>"), f"{path}/sketches")
     real = base.where("doc_id is not null and n_shingles > 0")
     total = real.count()
     keys = ["n_shingles", "one", "two"]
@@ -232,7 +233,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     met = written(banded.join(buckets, "band").select("leader", "doc_id").distinct(), f"{path}/met")
     docs = docs.where("doc_id is not null")
     # Sets of the representatives that share a bucket; a document of several sets has a row for each.
-    sets = written(sets_of(docs, met.select("doc_id").distinct()).where(F.size("items") > 0).distinct(), f"{path}/sets")
+    sets = written(sets_of(docs, met.select("doc_id").distinct(), shingle).where(F.size("items") > 0).distinct(), f"{path}/sets")
     pairs = met.where("doc_id != leader")
     salts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("salts"))
     leaders = sets.join(salts, sets.doc_id == salts.leader).select("leader", F.col("items").alias("other"), F.explode(F.sequence(F.lit(1), "salts")).alias("salt"), "salts")
@@ -260,7 +261,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def kept(documents: DataFrame) -> DataFrame:
+def kept(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of documents, with all their columns, that stay: one document of each component."""
-    gone = near_duplicates(documents).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(documents, shingle).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return documents.join(gone, documents["doc_id"] == F.col("_gone"), "left_anti")

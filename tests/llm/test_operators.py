@@ -112,11 +112,11 @@ def test_directory_splits_overfull_buckets_only():
     assert sorted(table) == table and exact_dedup.directory({}, 5, 8) == [0]
 
 
-def brute_components(rows):
+def brute_components(rows, n):
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.setdefault(i, set()).add(frozenset(tuple(w[j : j + 4]) for j in range(max(1, len(w) - 3))) if w else frozenset())
+        sets.setdefault(i, set()).add(frozenset(tuple(w[j : j + n]) for j in range(max(1, len(w) - n + 1))) if w else frozenset())
     parent = {i: i for i in sets if i is not None}
 
     def find(a):
@@ -132,9 +132,10 @@ def brute_components(rows):
     return {i: find(i) for i in parent}, sets
 
 
-def test_near(docs):
-    comp, sets = brute_components(corpus())
-    got = minhash.near_duplicates(docs).collect()
+@pytest.mark.parametrize("shingle", [4, 5])
+def test_near(docs, shingle):
+    comp, sets = brute_components(corpus(), shingle)
+    got = minhash.near_duplicates(docs, shingle).collect()
     assert len(got) == docs.count()
     for r in got:
         assert r.n_shingles in {len(s) for s in sets[r.doc_id]}
@@ -333,5 +334,5 @@ def test_pipeline(spark, tmp_path):
         k = re.sub(r"[\x20\x09-\x0D]", "", t or "")
         norm[k] = min(norm.get(k, (0, 10**9)), (-len(t or ""), i))
     left = [(i, t) for i, t, *_ in rows if i in {x for _, x in norm.values()}]
-    comp, _ = brute_components(left)
+    comp, _ = brute_components(left, 5)
     assert got == {i for i, _ in left if comp[i] == i} - {48}
