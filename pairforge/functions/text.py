@@ -15,7 +15,8 @@ from pyspark.sql.types import StringType
 
 #: Word characters as the tokeniser counts them: letters, numbers and the low line.
 WORD = r"[\p{L}\p{N}_]"
-TOKEN = rf"\p{{Nd}}+(?:[.,]\p{{Nd}}+)*|{WORD}+(?:'{WORD}+)?|[^\p{{L}}\p{{N}}_\s]"
+WORD_TOKEN = rf"\p{{Nd}}+(?:[.,]\p{{Nd}}+)*|{WORD}+(?:'{WORD}+)?"
+TOKEN = rf"{WORD_TOKEN}|[^\p{{L}}\p{{N}}_\s]"
 
 # Negations and question words are content although they are stop words.
 KEEP = """what how why when where which who whom whose can should will would could is are do does not no nor never without""".split()
@@ -53,7 +54,7 @@ def text_of(c: Column) -> Column:
 
 def squeezed(c: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)[\s&&[^ ]]\s*| \s+", " "))
 
 
 def identity_key(c: Column) -> Column:
@@ -81,15 +82,15 @@ def normalize(c: Column, compose: bool = True) -> Column:
     t = nfkc(text_of(c)) if compose else text_of(c)
     t = F.lower(F.translate(t, "‘’“”′", "''\"\"'"))
     t = F.regexp_replace(t, r"\[/?math\]", " ")
-    for pattern, to in ((r"(?U)\bcan't\b|\bcannot\b", "can not"), (r"(?U)\bwon't\b", "will not"), (r"(?U)\bshan't\b", "shall not"), (r"(?U)\b(\w+)n't\b", "$1 not")):
-        t = F.regexp_replace(t, pattern, to)
+    # Each pattern begins with its letters and looks back for the start of the word: so most places fail at once.
+    for pattern, to in ((r"can(?:'t|not)\b(?<=\bcan't|\bcannot)", "can not"), (r"won't\b(?<=\bwon't)", "will not"), (r"shan't\b(?<=\bshan't)", "shall not"), (r"n't\b(?<=\wn't)", " not")):
+        t = F.regexp_replace(t, f"(?U){pattern}", to)
     return squeezed(t)
 
 
 def tokenize(norm: Column, punctuation: bool = False) -> Column:
     """Tokens of normalised text: numbers with inner points and commas, words with one inner apostrophe, single signs."""
-    tokens = F.regexp_extract_all(norm, F.lit(f"({TOKEN})"), F.lit(1))
-    return tokens if punctuation else F.filter(tokens, lambda t: t.rlike(f"^{WORD}"))
+    return F.regexp_extract_all(norm, F.lit(f"({TOKEN if punctuation else WORD_TOKEN})"), F.lit(1))
 
 
 def words_of(values: list[str]) -> Column:
@@ -102,13 +103,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def char_ngrams(norm: Column, n: int = 3) -> Column:
-    """The set of character n-grams of a text with a blank at both ends."""
+    """The set of character n-grams of a text with a blank at both ends.
+
+    A look-ahead finds them all in one pass. It counts UTF-16 units, so texts with characters beyond these are cut by code points.
+    """
 
     def made(chars: Column) -> Column:
         starts = F.sequence(F.lit(0), F.size(chars) - n)
-        return F.when(F.size(chars) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))))
+        return F.when(F.size(chars) < n, F.array().cast("array<string>")).otherwise(F.transform(starts, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)])))
 
-    return let(F.split(F.concat(F.lit(" "), norm, F.lit(" ")), ""), made)
+    ended = F.concat(F.lit(" "), norm, F.lit(" "))
+    by_units = F.regexp_extract_all(ended, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.array_distinct(F.when(norm.rlike(r"[\x{10000}-\x{10FFFF}]"), let(F.split(ended, ""), made)).otherwise(by_units))
 
 
 def word_ngrams(tokens: Column) -> Column:
@@ -116,10 +122,11 @@ def word_ngrams(tokens: Column) -> Column:
     return let(tokens, lambda ts: F.concat(ts, F.transform(F.slice(ts, 2, F.greatest(F.size(ts) - 1, F.lit(0))), lambda t, i: F.concat(F.get(ts, i), F.lit(" "), t))))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Shared share of two sets; 0 if both are empty."""
+def jaccard(a: Column, b: Column, sets: bool = False) -> Column:
+    """Shared share of two sets; 0 if both are empty. sets: neither array repeats a value."""
     both = F.size(F.array_intersect(a, b))
-    return F.coalesce(F.try_divide(both.cast("double"), (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both).cast("double")), F.lit(0.0))
+    n = F.size(a) + F.size(b) if sets else F.size(F.array_distinct(a)) + F.size(F.array_distinct(b))
+    return F.coalesce(F.try_divide(both.cast("double"), (n - both).cast("double")), F.lit(0.0))
 
 
 def ratio(a: Column, b: Column) -> Column:
