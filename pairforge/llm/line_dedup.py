@@ -1,9 +1,10 @@
-"""Line dedup over content-defined chunks.
+"""Line dedup over overlapping chunks of two lines.
 
-A rolling hash over the last ROLL line hashes ends a chunk where it is 0 modulo MEAN, so boundaries depend on nearby
-lines only and an insertion shifts no others; a chunk also ends before and after a long line, which is a chunk by
-itself, and after MOST lines. Chunks that occur before, in order of (doc_id, row, chunk), are removed: hashes that
-occur more than once are counted first, then their chunks are compared byte by byte.
+A hash rolls over the line hashes and every two neighbouring lines make a chunk, so what stands around a repeated
+passage moves none of its chunks and its first and last lines are in chunks of their own; a long line is also a chunk
+by itself. Chunks that occur before, in order of (doc_id, row, chunk), are removed: hashes that occur more than once are
+counted first, then their chunks are compared byte by byte. Thus each line of a passage of two lines or more that
+occurs before is removed, and the first copy of a line always stays.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm.shared import as_text, ready, scratch, written
-from pairforge.llm.vectext import NOT_SPACE, grams, hashed, mix, pieces, words
+from pairforge.llm.vectext import NOT_SPACE, grams, mix, pieces, words
 
-ROLL, MEAN, MOST = 2, 3, 16
-#: A line of so many words is long; a chunk counts from LINES lines or from as many words on.
-LONG_WORDS, LINES = 40, 2
+#: Lines of a chunk.
+ROLL = 2
+#: A line of so many words is long and counts alone.
+LONG_WORDS = 40
 #: Bits of the filter of repeated hashes: 4 MB, whatever the input; when full it passes all chunks.
 FILTER_BITS = 1 << 25
 _NOT_BREAK = np.ones(256, bool)
@@ -26,30 +28,19 @@ _NOT_BREAK[10] = False
 
 
 def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, start, end, hash) in bytes of the chunks of each row that can repeat. Empty lines belong to the chunk they stand in."""
-    lines = words(data, offsets, _NOT_BREAK)
-    n = len(lines.start)
-    if not n:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    spans = words(data, offsets, NOT_SPACE)
+    """(row, line, start, end, hash) in bytes of the chunks of each row, by row and line. Lines without a word do not count; a chunk holds those between its lines."""
+    lines, spans = words(data, offsets, _NOT_BREAK), words(data, offsets, NOT_SPACE)
     held = np.searchsorted(spans.start, lines.end) - np.searchsorted(spans.start, lines.start)
-    long = held >= LONG_WORDS
-    cut = np.zeros(n + 1, bool)  # before the line
-    cut[lines.first] = True
-    rolled = grams(lines.hash, ROLL)
-    cut[ROLL:] |= rolled % np.uint64(MEAN) == 0
-    cut[:n] |= long
-    cut[1:] |= long
-    at = np.flatnonzero(cut[:n])
-    size = np.diff(np.append(at, n))
-    if (size > MOST).any():  # equal runs are cut at equal places, counted from their start
-        at = np.concatenate([np.arange(a, a + k, MOST) for a, k in zip(at.tolist(), size.tolist(), strict=True)])
-        size = np.diff(np.append(at, n))
-    held = np.add.reduceat(held, at)
-    ok = (size >= LINES) | (held >= LONG_WORDS)
-    first, last = at[ok], at[ok] + size[ok] - 1
-    start, end = lines.start[first], lines.end[last]
-    return lines.row[first], start, end, hashed(data, start, end)
+    some = held > 0
+    row, start, end, h, held = lines.row[some], lines.start[some], lines.end[some], lines.hash[some], held[some]
+    line = np.arange(len(row)) - np.searchsorted(row, row)
+    pair = np.flatnonzero(row[1:] == row[:-1])
+    long = np.flatnonzero(held >= LONG_WORDS)
+    first, last = np.concatenate([pair, long]), np.concatenate([pair + ROLL - 1, long])
+    h = np.concatenate([grams(h, ROLL)[pair], h[long]])
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], last[order]
+    return row[first], line[first], start[first], end[last], h[order]
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -74,7 +65,7 @@ def repeats(documents: DataFrame) -> DataFrame:
     """Chunks to be removed: row, tag, doc_id, chunk, start, end (bytes of the UTF-8 text), and first_row, first_tag, first_chunk, where they stay.
 
     row and tag are a hash of a document's id and text, so rows that repeat are one document here. The chunk of the
-    least (doc_id, row, tag, chunk) stays; null ids come last.
+    least (doc_id, row, tag, chunk) stays, and so does one that begins within it; null ids come last. Chunks overlap.
     """
     spark, path = ready(documents.sparkSession), scratch(documents.sparkSession)
     docs = keyed(documents)
@@ -94,33 +85,45 @@ def repeats(documents: DataFrame) -> DataFrame:
     def texts(batches):
         for batch in batches:
             for lo, _, data, offsets in pieces(batch.column(1)):
-                row, start, end, h = chunked(data, offsets)
+                row, line, start, end, h = chunked(data, offsets)
                 slot = _slot(h)
                 keep = np.flatnonzero((filter_.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-                order = np.arange(len(row)) - np.searchsorted(row, row)
                 raw = data.tobytes()
                 at = pa.array(row[keep] + lo)
                 base = offsets[row[keep]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), batch.column(3).take(at), pa.array(order[keep]), pa.array(start[keep] - base), pa.array(end[keep] - base), pa.array(h[keep].view(np.int64)), pa.array([raw[a:b] for a, b in zip(start[keep].tolist(), end[keep].tolist(), strict=True)], pa.binary())], names=["doc_id", "row", "tag", "chunk", "start", "end", "h", "bytes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), batch.column(3).take(at), pa.array(line[keep]), pa.array(start[keep] - base), pa.array(end[keep] - base), pa.array(h[keep].view(np.int64)), pa.array([raw[a:b] for a, b in zip(start[keep].tolist(), end[keep].tolist(), strict=True)], pa.binary())], names=["doc_id", "row", "tag", "chunk", "start", "end", "h", "bytes"])
 
     found = docs.select("doc_id", "text", "row", "tag").mapInArrow(texts, "doc_id long, row long, tag long, chunk long, start long, end long, h long, bytes binary")
     found = written(found.withColumn("sha", F.sha2("bytes", 256)), f"{path}/found")
     # Equal bytes make a group, so texts whose hashes collide stay apart; copies meet before they move.
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "tag", "chunk")
-    groups = written(found.groupBy("h", "bytes").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.sha2("bytes", 256).alias("sha"), "keep.row", "keep.tag", "keep.chunk", "n").withColumnsRenamed({"row": "first_row", "tag": "first_tag", "chunk": "first_chunk"}), f"{path}/groups")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "tag", "chunk", "end")
+    groups = written(found.groupBy("h", "bytes").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", F.sha2("bytes", 256).alias("sha"), "keep.row", "keep.tag", "keep.chunk", "keep.end", "n").withColumnsRenamed({"row": "first_row", "tag": "first_tag", "chunk": "first_chunk", "end": "first_end"}), f"{path}/groups")
     total = found.count()
     heavy = max(total // 1024, 1)
     cells = found.drop("bytes")
     busy = F.broadcast(groups.where(F.col("n") > heavy))  # fewer than 1024
     hot = cells.join(busy, ["h", "sha"])
     cold = cells.join(F.broadcast(groups.where(F.col("n") > heavy).select("h", "sha")), ["h", "sha"], "left_anti").join(groups.where(F.col("n") <= heavy), ["h", "sha"])
-    return hot.unionByName(cold).where("row != first_row or tag != first_tag or chunk != first_chunk").select("row", "tag", "doc_id", "chunk", "start", "end", "first_row", "first_tag", "first_chunk").distinct()
+    return hot.unionByName(cold).where("row != first_row or tag != first_tag or start >= first_end").select("row", "tag", "doc_id", "chunk", "start", "end", "first_row", "first_tag", "first_chunk").distinct()
+
+
+def _merged(start: list[int], end: list[int]) -> tuple[list[int], list[int]]:
+    """Sorted spans with those that overlap as one."""
+    firsts: list[int] = []
+    lasts: list[int] = []
+    for a, b in zip(start, end, strict=True):
+        if lasts and a < lasts[-1]:
+            lasts[-1] = max(b, lasts[-1])
+        else:
+            firsts.append(a)
+            lasts.append(b)
+    return firsts, lasts
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
-    """Per row of documents: doc_id, text without repeated chunks, n_removed (chunks), removed_bytes, removed (spans start:end in bytes of the UTF-8 text).
+    """Per row of documents: doc_id, text without repeated chunks, n_removed (passages), removed_bytes, removed (spans start:end in bytes of the UTF-8 text).
 
-    A chunk is removed with the line break after it, or at the end of a text the one before it. A null text is empty,
+    Chunks that overlap are one passage. A passage is removed with the line break after it, or at the end of a text the one before it. A null text is empty,
     as may be what stays of a text; rows that repeat with id and text are one document and keep and lose the same
     chunks. Other columns are ignored.
     """
@@ -134,7 +137,8 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
             texts, n, gone, said = [], [], [], []
             for text, start, end in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 raw, out, at = text.encode(), [], 0
-                for a, b in zip(start or [], end or [], strict=True):
+                start, end = _merged(start or [], end or [])
+                for a, b in zip(start, end, strict=True):
                     out.append(raw[at:a])
                     at = b + 1
                 out.append(raw[at:])
@@ -142,9 +146,9 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
                 if start and at > len(raw):
                     kept = kept.removesuffix(b"\n")
                 texts.append(kept.decode())
-                n.append(len(start or []))
+                n.append(len(start))
                 gone.append(len(raw) - len(kept))
-                said.append(",".join(f"{a}:{b}" for a, b in zip(start or [], end or [], strict=True)))
+                said.append(",".join(f"{a}:{b}" for a, b in zip(start, end, strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(said, pa.string())], names=["doc_id", "text", "n_removed", "removed_bytes", "removed"])
 
     return joined.mapInArrow(cut, "doc_id long, text string, n_removed long, removed_bytes long, removed string")

@@ -246,6 +246,22 @@ def test_lines(spark):
     assert got[20].text == got[21].text == "" and got[22].text == got[23].text == "one line"
 
 
+def test_repeated_passages_go_whole_whatever_surrounds_them(spark):
+    rng, rows, k = random.Random(6), [], 0
+    own = lambda: "\n".join(f"own {rng.random()} line" for _ in range(rng.randrange(1, 4)))
+    passages = ["\n".join(f"passage {n} {j} of {i} " + "word " * rng.randrange(9) for j in range(n)) for n in (2, 3, 5, 6, 10, 50) for i in range(20)]
+    kept = []
+    for k, p in enumerate(passages):
+        a, b = own(), own()
+        rows += [(2 * k, f"{own()}\n{p}\n{own()}"), (2 * k + 1, f"{a}\n{p}\n\n{b}")]
+        kept.append(f"{a}\n\n{b}")
+    rows += [(1000, "x\nx\nx\nx\nx"), (1001, "y\ny\ny"), (1002, "z one\n \nz two"), (1003, "z two\n \nz three"), (1004, "z one\n \nz two\n")]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[2 * k + 1].text for k in range(len(passages))] == kept and all(got[2 * k + 1].n_removed == 1 for k in range(len(passages)))
+    assert all(got[2 * k].text == rows[2 * k][1] for k in range(len(passages)))
+    assert [got[i].text for i in range(1000, 1005)] == ["x\nx", "y\ny\ny", "z one\n \nz two", "z two\n \nz three", ""]
+
+
 def test_forward_sums_all_segmentations():
     vocab = [b" a", b" ab", b"a", b"b", b"bc", b"c", "é".encode()]
     lattice, logp = langid.Lattice(vocab), np.log(np.array([[0.1, 0.2], [0.2, 0.1], [0.1, 0.1], [0.2, 0.1], [0.1, 0.3], [0.1, 0.1], [0.2, 0.1], [1e-7, 1e-7]]))
