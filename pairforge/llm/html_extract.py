@@ -1,8 +1,10 @@
 """Main text of web pages by two-pass block rules.
 
-The page is cut into blocks at block-level tags. The first pass decides blocks by the structure they stand in, and
-elsewhere by link density, length and stop-word density; short or odd blocks stay undecided. In the second pass these
-inherit the label of their nearest decided neighbours.
+The page is cut into blocks at block-level tags. The first pass decides blocks by link density, length and stop-word
+density, with the structure they stand in as a prior; short or odd blocks stay undecided. In the second pass these
+inherit the label of their nearest decided neighbours. Prose is a long block with many stop words and few links.
+An element that says its content is no article is not believed when most of the page's prose stands in it and no
+article outside; an article without prose is a card when there is prose outside of it.
 """
 
 from __future__ import annotations
@@ -49,13 +51,13 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def _mark(tag: str, attrs: str) -> str:
-    """What an element says of its content: 'out', 'readers', 'in' or nothing."""
+    """What an element says of its content: 'hidden', 'readers', 'out', 'in' or nothing."""
     names: set[str] = set()
     if attrs:
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return "readers"
+                return "hidden"
             if name == "role":
                 if value in ROLES:
                     return "out"
@@ -74,30 +76,28 @@ def _mark(tag: str, attrs: str) -> str:
     return "out" if names & HINTS and not re.fullmatch("h[1-6]|p|span|a|b|i|em|strong", tag) else ""
 
 
-def blocks(page: str) -> list[tuple[str, int, str]]:
-    """(text, characters in links, 'in', 'out' or '') of each block in order."""
-    out: list[tuple[str, int, str]] = []
+#: The marked elements a block stands in, from the outside: their numbers and marks.
+Path = tuple[tuple[int, str], ...]
+
+
+def blocks(page: str) -> list[tuple[str, int, Path]]:
+    """(text, characters in links, path) of each block in order."""
+    out: list[tuple[str, int, Path]] = []
     text: list[str] = []
     linked = depth_a = 0
-    stack: list[tuple[str, str]] = []
-    state = ""
+    stack: list[tuple[str, int, str]] = []
+    path: Path = ()
 
     def flush() -> None:
         nonlocal text, linked
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append((joined, linked, state))
+                out.append((joined, linked, path))
         text, linked = [], 0
 
-    def settle() -> str:
-        now = ""
-        for _, mark in stack:
-            if mark == "readers" or now == "readers":
-                now = "readers"
-            elif mark:
-                now = mark
-        return "out" if now == "readers" else now
+    def settle() -> Path:
+        return tuple((i, mark) for _, i, mark in stack if mark)
 
     def add(piece: str) -> None:
         nonlocal linked
@@ -124,7 +124,7 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
-                    state = settle()
+                    path = settle()
                     break
             continue
         if tag in VOID or m["attrs"].endswith("/"):
@@ -133,36 +133,80 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
             depth_a = 1
         mark = _mark(tag, m["attrs"])
         if tag == "header":
-            mark = mark or ("" if state == "in" else "out")
+            mark = mark or ("" if path and path[-1][1] == "in" else "out")
         if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
             stack.pop()
         if tag in BLOCKS or mark:
-            stack.append((tag, mark))
+            stack.append((tag, m.start(), mark))
             if mark:
                 flush()
-                state = settle()
+                path = settle()
     if at < len(page):
         add(page[at:])
     flush()
     return out
 
 
-def classified(found: list[tuple[str, int, str]]) -> list[bool]:
+def stop_share(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOPS for w in words) / max(1, len(words))
+
+
+def states(found: list[tuple[str, int, Path]], prose: list[bool]) -> list[str]:
+    """'in', 'out', 'card' or '' of each block: its prior."""
+    held: dict[int, int] = {}  # characters of prose, or of text on a page without prose, in each marked element
+    inside: set[int] = set()  # elements around an article
+    total, any_prose = 0, any(prose)
+    for (text, _, path), good in zip(found, prose, strict=True):
+        if any(mark == "hidden" for _, mark in path) or any_prose and not good:
+            continue
+        total += len(text)
+        for i, _ in path:
+            held[i] = held.get(i, 0) + len(text)
+    for *_, path in found:
+        last = max((k for k, (_, mark) in enumerate(path) if mark == "in"), default=0)
+        inside.update(i for i, _ in path[:last])
+    bad = [[(i, mark) for i, mark in path if mark != "in"] for *_, path in found]
+    if not any(path and not b for (*_, path), b in zip(found, bad, strict=True)):  # no article outside of such elements
+
+
+        def believed(i: int, mark: str) -> bool:
+            n = held.get(i, 0)
+            if mark == "hidden":
+                return True
+            if not any_prose:
+                return n < total or i not in inside
+            return n * 2 <= total if mark == "out" else n < total
+
+        bad = [[(i, mark) for i, mark in b if believed(i, mark)] for b in bad]
+    articles = [[i for i, mark in path if mark == "in"] if not b else [] for (*_, path), b in zip(found, bad, strict=True)]
+    outside = any(good and not b and not a for good, b, a in zip(prose, bad, articles, strict=True))
+    return ["out" if b else ("card" if outside and not any(held.get(i) for i in a) else "in") if a else "" for b, a in zip(bad, articles, strict=True)]
+
+
+def classified(found: list[tuple[str, int, Path]]) -> list[bool]:
     """Whether each block belongs to the main text."""
-    article = any(state == "in" for *_, state in found)
+    dense = [linked > LINKS * len(text) for text, linked, _ in found]
+    shares = [stop_share(text) if len(text) >= SHORT else 0.0 for text, *_ in found]
+    prose = [len(text) >= LONG and share >= STOP_SHARE and not d for (text, *_), share, d in zip(found, shares, dense, strict=True)]
+    priors = states(found, prose)
+    article = "in" in priors
     label: list[bool | None] = []
-    for text, linked, state in found:
+    for i, ((text, linked, _), state) in enumerate(zip(found, priors, strict=True)):
         n = len(text)
-        if state:
-            label.append(state == "in")
-        elif article or linked > LINKS * n or "\xa9" in text or n < SHORT and linked:
+        if state == "out":
+            label.append(False)
+        elif prose[i]:
+            label.append("\xa9" not in text or state == "in")
+        elif state == "in":  # links that stand together are a list, one alone can be a heading
+            listed = dense[i] and (n >= SHORT or any(0 <= j < len(found) and dense[j] and priors[j] == "in" for j in (i - 1, i + 1)))
+            label.append(False if listed else None if dense[i] else True)
+        elif state == "card" or dense[i] or "\xa9" in text or n < SHORT and (linked or article):
             label.append(False)
-        elif n < SHORT:
-            label.append(None)
+        elif n < SHORT or article:
+            label.append(None if n < SHORT or shares[i] >= STOP_SHARE else False)
         else:
-            words = _WORD.findall(text.lower())
-            stops = sum(w in STOPS for w in words) / max(1, len(words))
-            label.append(True if n >= LONG or stops >= STOP_SHARE else None)
+            label.append(True if n >= LONG or shares[i] >= STOP_SHARE else None)
     before: list[tuple[int, bool] | None] = []
     last = None
     for i, x in enumerate(label):

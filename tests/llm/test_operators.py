@@ -315,6 +315,22 @@ def test_pages(page, text):
     assert html_extract.main_text(page or "") == text
 
 
+STORY = "the cat and the dog were in the house " * 8
+CARD = "<article><h3><a href=x>Other story</a></h3><p>A short teaser.</p></article>"
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div><h1>Title</h1><div>{STORY}</div><div>{STORY}</div></div><aside>{CARD}</aside><div class=related>{CARD}</div>{CARD}", f"Title {STORY}{STORY}".strip()),
+    (f"<main><ul><li><a href=a>One page</a></li><li><a href=b>Another page</a></li></ul><h1>Title</h1><p>{STORY}</p><p>end</p></main>", f"Title {STORY}end"),
+    (f"<div class='share-layout'><div><p>{STORY}</p><p>{STORY}</p></div></div><div class=cookie>We use cookies.</div>", f"{STORY}{STORY}".strip()),
+    ("<form id=aspnet><article><h1>T</h1><p>short</p></article></form>", "T short"),
+    (f"<article><p>{STORY}</p></article><section class=comments><p>{STORY * 9}</p></section>", STORY.strip()),
+    (f"<main><p>short</p><div class=comments><p>{STORY}</p></div></main>", "short"),
+])
+def test_structure_is_a_prior_only(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def test_page_table(spark):
     rows = [(1, "u", "<article>a</article>", "x"), (1, "u", "<article>a</article>", "x"), (None, None, None, None)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
