@@ -331,6 +331,18 @@ def test_structure_is_a_prior_only(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(("attrs", "mark"), [
+    (' href="/hidden-costs"', ""), (' title="a hidden gem"', ""), (' data-hidden="false"', ""), (' data-id="comments-12"', ""), (" data-class=ad", ""), (" href=/a/hidden", ""), (' alt="x class=ad"', ""), (' data-x="" title=\'id="comments"\'', ""),
+    (" hidden", "hidden"), (" a=b HIDDEN=''", "hidden"), (' id = "comments-12"', "readers"), ("\nclass='x ad'", "out"), (' aria-hidden="true"', "hidden"), (' aria-hidden="false"', ""), (' style="display: none"', "hidden"), (" role=main", "in"), (' title="a"class="ad"', "out"),
+])
+def test_attributes_have_exact_names(attrs, mark):
+    assert html_extract._mark("div", attrs) == mark
+
+
+def test_words_in_attributes_hide_no_text():
+    assert html_extract.main_text('<article data-hidden="false"><p>read <a href="/hidden-costs">this link</a> all, and more of it</p></article>') == "read this link all, and more of it"
+
+
 def test_page_table(spark):
     rows = [(1, "u", "<article>a</article>", "x"), (1, "u", "<article>a</article>", "x"), (None, None, None, None)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
