@@ -92,7 +92,8 @@ def separation(df: DataFrame, vector: str, cluster: str = "cluster") -> DataFram
 def silhouette(df: DataFrame, vector: str, cluster: str, key: str, sample: int, seed: int) -> DataFrame:
     """silhouette of a sample of rows, by exact distances within it. The sample bounds the pairs."""
     rows = df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(sample).select(key, F.col(cluster).alias("c"), doubles(F.col(vector)).alias("v"))
-    a, b = rows.alias("a"), F.broadcast(rows.alias("b"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # limit leaves one partition
+    a, b = rows.repartition(tasks, key).alias("a"), F.broadcast(rows.alias("b"))
     d = F.sqrt(F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, e: s + e))
     pairs = a.join(b, F.col(f"a.{key}") != F.col(f"b.{key}")).groupBy(F.col(f"a.{key}").alias(key), F.col("a.c").alias("own"), F.col("b.c").alias("other")).agg(F.avg(d).alias("d"))
     each = pairs.groupBy(key).agg(F.min(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("in"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("out"))

@@ -522,7 +522,34 @@ def threshold_reliability(spark: SparkSession, sf: str) -> DataFrame:
 def averaged_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     s = written(scored(spark, sf), scratch(spark))
     reps = s.select("id", "y", F.explode(F.array(*[F.struct(F.lit(i).alias("rep"), (F.col("score") >= t).cast("int").alias("pred")) for i, t in enumerate((0.48, 0.5, 0.52))])).alias("r")).select("id", "y", "r.*")
-    return six(resample.averaged_bootstrap(reps, 10))
+    return six(resample.averaged_bootstrap(reps, BOOTSTRAPS))
+
+
+# The reference's replicates, sizes and sample. The queries above of the same kind are cut down to what their SQL can do.
+BOOTSTRAPS, PERMUTATIONS, SUBSAMPLES, SUBSAMPLE_SIZES, SILHOUETTE_ROWS = 1000, 500, 300, [100, 250, 500, 1000, 2000, 4000], 20_000
+
+
+@query()
+def cluster_bootstrap_1000(spark: SparkSession, sf: str) -> DataFrame:
+    return six(resample.cluster_bootstrap(written(scored(spark, sf), scratch(spark)), 0.5, BOOTSTRAPS))
+
+
+@query()
+def paired_bootstrap_1000(spark: SparkSession, sf: str) -> DataFrame:
+    return six(resample.paired_bootstrap(written(scored(spark, sf), scratch(spark)), 0.5, 0.51, BOOTSTRAPS))
+
+
+@query()
+def random_partition_null_500(spark: SparkSession, sf: str) -> DataFrame:
+    return six(resample.partition_null(written(scored(spark, sf), scratch(spark)), 0.5, PERMUTATIONS))
+
+
+@query()
+def threshold_reliability_300(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes over the number of rows are left out."""
+    s = written(scored(spark, sf), scratch(spark))
+    n = s.count()
+    return six(resample.threshold_reliability(s, [k for k in SUBSAMPLE_SIZES if k <= n], SUBSAMPLES))
 
 
 # Graph and splits ----------------------------------------------------------------------
@@ -719,6 +746,11 @@ def silhouette_sample(spark: SparkSession, sf: str) -> DataFrame:
     return six(clusters.silhouette(labelled(spark, sf), "embedding", "cluster", "vec_id", 200, 1))
 
 
+@query()
+def silhouette_sample_20000(spark: SparkSession, sf: str) -> DataFrame:
+    return six(clusters.silhouette(labelled(spark, sf), "embedding", "cluster", "vec_id", SILHOUETTE_ROWS, 1))
+
+
 @query(f"{_LAB}, n AS (SELECT a.cluster, a.vec_id, round(list_inner_product(a.e, m) / sqrt(list_inner_product(a.e, a.e)) / sqrt(n2), 6) AS cos_assigned FROM la a JOIN cn ON cn.c = a.cluster), w AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY cos_assigned DESC, vec_id) AS r FROM n) SELECT cluster, vec_id, cos_assigned FROM w WHERE r <= 3")
 def nearest_members(spark: SparkSession, sf: str) -> DataFrame:
     a = six(clusters.assign(table(spark, sf, "embeddings"), "embedding", seeds_of(spark, sf)).select("vec_id", "cluster", "cos_assigned"))
@@ -842,9 +874,9 @@ def out_of_fold_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def boosted_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """Areas of boosted trees on all features and without a group."""
+    """Areas of boosted trees on all features and without each group."""
     f, out = _features(spark, sf), None
-    for name, columns in list(models.variants(FEATURES, _GROUPS).items())[:2]:
+    for name, columns in models.variants(FEATURES, _GROUPS).items():
         d = models.design(f, columns, scale=False)
         r = M.auc(models.score(models.boosted(d.where("fold > 0")), d.where("fold = 0"))).select(F.lit(name).alias("variant"), "roc_auc", "pr_auc")
         out = r if out is None else out.unionByName(r)

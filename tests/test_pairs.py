@@ -228,6 +228,60 @@ def test_bootstrap_covers(spark):
     assert 0.0 <= resample.partition_null(df, 0.5, 10).head().p_value <= 1.0
 
 
+def test_registered_with_the_reference_replicates(spark, monkeypatch):
+    from pairforge.plans import catalog
+
+    asked = {}
+    frame = spark.createDataFrame([(i, 1, 0.5, 0.5, 0) for i in range(4000)], "id int, y int, score double, score_b double, cluster int")
+    for name in ("cluster_bootstrap", "paired_bootstrap", "averaged_bootstrap", "partition_null", "threshold_reliability"):
+        monkeypatch.setattr(catalog.resample, name, lambda df, *a, n=name: asked.update({n: a}) or df)
+    monkeypatch.setattr(catalog.clusters, "silhouette", lambda df, *a: asked.update(silhouette=a) or df)
+    monkeypatch.setattr(catalog, "scored", lambda *a: frame)
+    monkeypatch.setattr(catalog, "labelled", lambda *a: frame)
+    monkeypatch.setattr(catalog, "_features", lambda *a: frame.withColumn("fold", F.col("id") % 2))
+    monkeypatch.setattr(catalog.models, "design", lambda f, *a, **k: f)
+    monkeypatch.setattr(catalog.models, "boosted", lambda f: None)
+    monkeypatch.setattr(catalog.models, "score", lambda m, f: f)
+    monkeypatch.setattr(catalog.M, "auc", lambda f: spark.createDataFrame([(0.5, 0.5)], "roc_auc double, pr_auc double"))
+    for name in ("cluster_bootstrap_1000", "paired_bootstrap_1000", "averaged_bootstrap", "random_partition_null_500", "threshold_reliability_300", "silhouette_sample_20000"):
+        catalog.QUERIES[name](spark, "")
+    assert asked == {
+        "cluster_bootstrap": (0.5, 1000), "paired_bootstrap": (0.5, 0.51, 1000), "averaged_bootstrap": (1000,), "partition_null": (0.5, 500),
+        "threshold_reliability": ([100, 250, 500, 1000, 2000, 4000], 300), "silhouette": ("embedding", "cluster", "vec_id", 20000, 1),
+    }
+    assert [v.variant for v in catalog.QUERIES["boosted_variants"](spark, "").collect()] == ["full", *(f"without_{g}" for g in catalog._GROUPS)]
+
+
+def test_full_resampling_equals_brute_force(spark):
+    from hashlib import md5
+
+    import numpy as np
+
+    h = lambda *parts: int(md5("|".join(map(str, parts)).encode()).hexdigest()[:12], 16)
+    rows = [(i, int(i % 3 == 0), (i * 37 % 101) / 101, (i * 53 % 97) / 97, i % 2) for i in range(24)]
+    df = spark.createDataFrame(rows, "id int, y int, score double, score_b double, cluster int")
+
+    def f1(some, at, tau):
+        tp, said, true = sum(r[1] and r[at] >= tau for r in some), sum(r[at] >= tau for r in some), sum(r[1] for r in some)
+        return 2 * tp / (said + true) if said + true else 0.0
+
+    gains = []
+    for b in range(1000):
+        some = [rows[h(2, b, 0, i) % 24] for i in range(24)]
+        gains.append(f1(some, 3, 0.51) - f1(some, 2, 0.5))
+    got = resample.paired_bootstrap(df, 0.5, 0.51, 1000).head()
+    assert np.allclose([got.gain, got.gain_low, got.gain_high, got.p_no_gain], [np.mean(gains), *np.percentile(gains, [2.5, 97.5]), np.mean(np.array(gains) <= 0)])
+    for r in resample.cluster_bootstrap(df, 0.5, 1000).collect():
+        own = [x for x in rows if x[4] == r.cluster]
+        each = [f1([own[h(1, b, r.cluster, i) % 12] for i in range(12)], 2, 0.5) for b in range(1000)]
+        assert np.allclose([r.f1_low, r.f1_high, r.f1_std], [*np.percentile(each, [2.5, 97.5]), np.std(each)])
+    spread = lambda dealt: abs(f1([r for r, c in dealt if c], 2, 0.5) - f1([r for r, c in dealt if not c], 2, 0.5))
+    null = [spread(list(zip(sorted(rows, key=lambda r: h(4, b, r[0])), (r[4] for r in rows), strict=True))) for b in range(500)]
+    seen = spread([(r, r[4]) for r in rows])
+    got = resample.partition_null(df, 0.5, 500).head()
+    assert np.allclose([got.observed, got.null_mean, got.p_value], [seen, np.mean(null), np.mean([x >= seen - 1e-12 for x in null])])
+
+
 def test_explanations(spark):
     p = spark.createDataFrame([(1, "is 5 good", "is 6 good"), (2, "same text", "same text")], "id long, question1 string, question2 string")
     got = {r.id: [s.type for s in r.signals] for r in explain.signals(C.constraint_features(p)).collect()}
