@@ -58,7 +58,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # The tokenizer finds added tokens before it cuts pre-tokens: rows that hold one are left to it as a whole.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.classes = _classes()
         self.clear()
 
@@ -94,6 +95,12 @@ class Encoder:
         rows = np.searchsorted(byte, offsets)
         odd = np.zeros(n, bool)
         odd[np.searchsorted(rows, np.flatnonzero(kind == _UNSURE), "right") - 1] = True
+        for text in self.added:
+            at = raw.find(text)
+            while at >= 0:
+                i = int(np.searchsorted(offsets, at, "right")) - 1
+                odd[i] = True
+                at = raw.find(text, int(offsets[i + 1]))
         head = np.zeros(len(cp) + 1, bool)
         head[rows] = True
         space = kind == _SPACE

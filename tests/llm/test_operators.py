@@ -195,6 +195,21 @@ def test_pretokens_equal_the_tokenizer(seed):
     assert got == [e.ids for e in coder.tokenizer.encode_batch([r or "" for r in rows], add_special_tokens=False)]
 
 
+def test_added_tokens_are_found_as_by_the_plain_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(registry.TOKENIZER())
+    rows = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b <|endoftext|>", "plain", None, "<|endo", "ftext|>", "é 日<|endoftext|>'s", "", "after it"]
+    want = [plain.encode(r or "", add_special_tokens=False).ids for r in rows]
+    coder = packing.encoder(registry.TOKENIZER())
+    assert [x.tolist() for _, _, data, offsets in vectext.pieces(pa.array(rows)) for x in coder.encode(data, offsets)] == want and 50256 in want[0]
+    got = packing.pack(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").withColumn("source", F.lit("s")), registry.TOKENIZER()).collect()
+    for i, ids in enumerate(want):
+        long = np.array([*ids, 0], "<u4")
+        mine = [r for r in got if r.doc_id == i]
+        assert all((r.doc_tokens, r.ids_crc32) == (len(long), zlib.crc32(long[r.start : r.start + r.length].tobytes())) for r in mine) and sum(r.length for r in mine) == len(long)
+
+
 def test_secrets(docs):
     a = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
     want = []
