@@ -229,12 +229,15 @@ class Schedule:
         return out
 
 
-def tokenised(documents: DataFrame, tokenizer: str, path: str) -> DataFrame:
-    """Writes doc_id, queue, chunk, x, n, ids: x counts a chunk's tokens of the queue before the document."""
+def tokenised(documents: DataFrame, tokenizer: str, path: str, own: tuple[str, ...] = ()) -> DataFrame:
+    """Writes doc_id, queue, chunk, x, n, ids: x counts a chunk's tokens of the queue before the document. Sources in own are never hashed."""
     spark = ready(documents.sparkSession)
     docs = as_text(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"))
     many = docs.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-    name = F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string") if many else F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+    if many:
+        hashed_ = F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string")
+        name = F.when(F.col("source").isin(*own), name).otherwise(hashed_) if own else hashed_
     docs = docs.select("doc_id", name.alias("queue"), "text")
 
     def scan(batches):
@@ -271,9 +274,9 @@ def pack(documents: DataFrame, tokenizer: str, weights: dict[str, float] | None
     """
     spark = ready(documents.sparkSession)
     path = scratch(spark)
-    tokens = tokenised(documents, tokenizer, f"{path}/tokens")
+    tokens = tokenised(documents, tokenizer, f"{path}/tokens", tuple(weights or ()))
     chunks = written(tokens.groupBy("queue", "chunk").agg(F.sum("n").alias("n")), f"{path}/chunks")
-    totals = {r.queue: r.n for r in chunks.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES + 1
+    totals = {r.queue: r.n for r in chunks.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES + 1 and the weighted sources
     schedule = spark.sparkContext.broadcast(Schedule(totals, {f"={k}": v for k, v in weights.items()} if weights else None, SEQUENCE * window_sequences))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = written(chunks.select("queue", "chunk", before.alias("before")), f"{path}/bases")

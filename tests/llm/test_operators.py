@@ -210,6 +210,15 @@ def test_added_tokens_are_found_as_by_the_plain_tokenizer(spark):
         assert all((r.doc_tokens, r.ids_crc32) == (len(long), zlib.crc32(long[r.start : r.start + r.length].tobytes())) for r in mine) and sum(r.length for r in mine) == len(long)
 
 
+def test_weights_hold_beside_hashed_queues(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+    rows = [(i, "w " * 400, "big" if i % 2 else f"s{i % 16}") for i in range(200)] + [(999, "x", None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), registry.TOKENIZER(), {"big": 1.0}, 1).collect()
+    first = {r.sequence_id for r in got if r.doc_id % 2 and r.doc_id != 999}
+    rest = {r.sequence_id for r in got if r.doc_id % 2 == 0}
+    assert max(first) <= min(rest) and {r.doc_id for r in got} == {r[0] for r in rows}
+
+
 def test_secrets(docs):
     a = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
     want = []
