@@ -19,7 +19,7 @@ WORD_TOKEN = rf"\p{{Nd}}+(?:[.,]\p{{Nd}}+)*|{WORD}+(?:'{WORD}+)?"
 TOKEN = rf"{WORD_TOKEN}|[^\p{{L}}\p{{N}}_\s]"
 
 # Negations and question words are content although they are stop words.
-KEEP = """what how why when where which who whom whose can should will would could is are do does not no nor never without""".split()
+KEEP = "not no nor never without what how why when where which who whom whose can should will would could is are do does".split()
 # The words that start a question.
 WH_WORDS = """what how why when where which who whom whose is are can should do does will would could""".split()
 # Words that negate a question.

@@ -10,12 +10,12 @@ from pairforge.functions.text import text_of
 
 # Patterns of text issues.
 ISSUES = {
-    "non_ascii": r"[^\x00-\x7F]",
+    "non_ascii": r"[^\x00-\x7f]",
     "mojibake_like": r"Ã.|â€|Â",
-    "html_entity": r"&(?:amp|lt|gt|quot|#[0-9]+);",
+    "html_entity": r"&(?:amp|lt|gt|quot|#\d+);",
     "latex_math_tag": r"\[math\]",
     "url": r"https?://|www\.",
-    "control_char": r"[\x00-\x08\x0B\x0C\x0E-\x1F]",
+    "control_char": r"[\x00-\x08\x0b\x0c\x0e-\x1f]",
     "newline": r"[\r\n]",
     "no_letters": r"^[^A-Za-z]*$",
 }

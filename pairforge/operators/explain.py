@@ -11,7 +11,15 @@ from pairforge.functions.constraints import GROUPS, PREFIXES, unmatched
 from pairforge.functions.text import WH_WORDS, words_of
 
 BORDERLINE, NEAR_BOUNDARY = 0.05, 0.016
-LABELS = {"num": "Numbers", "dateh": "Dates", "enth": "Named entities"}
+# The types of signals.
+TYPES = {
+    "num": ("numbers mismatch", "numbers only in one question"),
+    "dateh": ("dates mismatch", "dates only in one question"),
+    "enth": ("named entities mismatch", "named entities only in one question"),
+    "neg": ("negation mismatch",),
+    "wh": ("question word differs",),
+    "content": ("broader / narrower", "different content words"),
+}
 WHAT_IF = ["number", "date_heuristic", "entity_heuristic", "negation", "intent_word"]
 
 
@@ -19,26 +27,31 @@ def listed(items: Column) -> Column:
     return F.when(F.size(items) == 0, "-").otherwise(F.array_join(F.array_sort(items), ", "))
 
 
-def signal(kind: str | Column, detail: Column) -> Column:
-    return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("type"), detail.alias("detail"))
+def signal(kind: str, detail: Column) -> Column:
+    return F.struct(F.lit(kind).alias("type"), detail.alias("detail"))
 
 
 def signals(pairs: DataFrame) -> DataFrame:
-    """Adds signals: the mismatches of annotated pairs with constraint features, in a fixed order."""
+    """Adds signals: the mismatches of annotated pairs with constraint features, in the order of TYPES.
+
+    type is a fixed value; detail names what each text (first, second) has that the other lacks.
+    """
+
+    def lacks(a: Column, b: Column) -> Column:
+        return F.format_string("first: %s; second: %s", listed(a), listed(b))
+
     out = []
     for prefix, field in PREFIXES.items():
         a = unmatched(F.col(f"a1.{field}"), F.col(f"a2.{field}"), F.col("a2.norm"))
         b = unmatched(F.col(f"a2.{field}"), F.col(f"a1.{field}"), F.col("a1.norm"))
-        name = LABELS[prefix]
-        out.append(F.when(F.col(f"{prefix}_mismatch") == 1, signal(f"{name.lower()} mismatch", F.concat(F.lit(f"{name} differ: "), listed(a), F.lit(" vs "), listed(b)))).when(
-            F.col(f"{prefix}_one_sided") == 1, signal(f"{name.lower()} only in one question", F.concat(F.lit(f"{name} only in question "), F.when(F.size(a) > 0, "A").otherwise("B"), F.lit(": "), listed(F.when(F.size(a) > 0, a).otherwise(b))))))
-    out.append(F.when(F.col("neg_xor") == 1, signal("negation mismatch", F.concat(F.lit("Only question "), F.when(F.col("a1.negation") > 0, "A").otherwise("B"), F.lit(" is negated")))))
-    out.append(F.when(F.col("wh_mismatch") == 1, signal("question word differs", F.concat(F.col("a1.wh"), F.lit(" vs "), F.col("a2.wh")))))
+        both, one = TYPES[prefix]
+        out.append(F.when(F.col(f"{prefix}_mismatch") == 1, signal(both, lacks(a, b))).when(F.col(f"{prefix}_one_sided") == 1, signal(one, lacks(a, b))))
+    out.append(F.when(F.col("neg_xor") == 1, signal(TYPES["neg"][0], F.format_string("negated: the %s text", F.when(F.col("a1.negation") > 0, "first").otherwise("second")))))
+    out.append(F.when(F.col("wh_mismatch") == 1, signal(TYPES["wh"][0], F.format_string("first: %s; second: %s", F.col("a1.wh"), F.col("a2.wh")))))
     wh = words_of(WH_WORDS)
     a, b = F.array_except(F.array_except("a1.content", "a2.content"), wh), F.array_except(F.array_except("a2.content", "a1.content"), wh)
-    extra = F.when(F.size(a) == 0, b).otherwise(a)
-    broader = F.concat(F.lit("Question "), F.when(F.size(a) == 0, "A").otherwise("B"), F.lit(" is broader"), F.when(F.size(extra) > 0, F.concat(F.lit("; the other adds "), listed(extra))).otherwise(""))
-    out.append(F.when(F.col("content_subset") == 1, signal("broader / narrower", broader)).when((F.size(a) > 0) | (F.size(b) > 0), signal("different content words", F.concat(F.lit("only in A: "), listed(F.slice(F.array_sort(a), 1, 6)), F.lit("; only in B: "), listed(F.slice(F.array_sort(b), 1, 6))))))
+    a, b = (F.slice(F.array_sort(x), 1, 6) for x in (a, b))
+    out.append(F.when(F.col("content_subset") == 1, signal(TYPES["content"][0], lacks(a, b))).when((F.size(a) > 0) | (F.size(b) > 0), signal(TYPES["content"][1], lacks(a, b))))
     return pairs.withColumn("signals", F.filter(F.array(*out), lambda s: s.isNotNull()))
 
 
