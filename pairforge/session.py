@@ -1,4 +1,4 @@
-"""Session plumbing: the shared folder for tables between steps."""
+"""Session plumbing: the shared folder for tables between steps, and joins that hot keys do not slow."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -37,3 +37,27 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """Writes df as Parquet and reads it back, which cuts its lineage."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch path that is no longer read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Groups with more than this share of all rows are heavy: there are fewer than HEAVY of them.
+HEAVY = 1024
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of rows with one row per group, without moving the rows of heavy groups.
+
+    size is a column of groups, total the rows. A group of over total / HEAVY rows is heavy, so fewer than HEAVY groups
+    are broadcast whatever the input; the rows of the others are shuffled, at most total / HEAVY to a key.
+    """
+    limit = max(total // HEAVY, 1)
+    heavy = F.broadcast(groups.where(F.col(size) > limit))
+    light = groups.where(F.col(size) <= limit)
+    there = rows.join(heavy, keys, "inner")
+    rest = rows.join(F.broadcast(groups.where(F.col(size) > limit).select(*keys)), keys, "left_anti")
+    return there.unionByName(rest.join(light, keys, "inner"))
