@@ -2,9 +2,10 @@
 
 The page is cut into blocks at block-level tags. The first pass decides blocks by link density, length and stop-word
 density, with the structure they stand in as a prior; short or odd blocks stay undecided. In the second pass these
-inherit the label of their nearest decided neighbours. Prose is a long block with many stop words and few links.
-An element that says its content is no article is not believed when most of the page's prose stands in it and no
-article outside; an article without prose is a card when there is prose outside of it.
+inherit the label of their nearest decided neighbours, but not from within an element that says it is no article.
+Prose is a long block with many stop words and few links. An element that says its content is no article is not
+believed when most of the page's prose stands in it and no article outside; an article without prose is a card when
+there is prose outside of it.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ LONG, SHORT, LINKS, STOP_SHARE = 200, 70, 0.34, 0.1
 
 _TOKEN = re.compile(
     rf"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 #: Name and value of one attribute after another, so that no name is found within another name or a value.
@@ -74,38 +75,52 @@ def _mark(tag: str, attrs: str) -> str:
         return "readers"
     if tag == "article":
         return "in"
-    return "out" if names & HINTS and not re.fullmatch("h[1-6]|p|span|a|b|i|em|strong", tag) else ""
+    return "out" if names & HINTS and not re.fullmatch("h[1-6]|span|a|b|i|em|strong", tag) else ""
 
 
-#: The marked elements a block stands in, from the outside: their numbers and marks.
-Path = tuple[tuple[int, str], ...]
+class Marked:
+    """The marked elements of a page as a tree: each has a mark and the number of the marked element around it, -1 for none."""
 
+    def __init__(self) -> None:
+        self.up: list[int] = []
+        self.mark: list[str] = []
 
-def blocks(page: str) -> list[tuple[str, int, Path]]:
-    """(text, characters in links, path) of each block in order."""
-    out: list[tuple[str, int, Path]] = []
+    def add(self, up: int, mark: str) -> int:
+        self.up.append(up)
+        self.mark.append(mark)
+        return len(self.up) - 1
+
+
+def blocks(page: str) -> tuple[list[tuple[str, int, int]], Marked]:
+    """(text, characters in links, innermost marked element) of each block in order, and the marked elements."""
+    out: list[tuple[str, int, int]] = []
+    marked = Marked()
     text: list[str] = []
     linked = depth_a = 0
-    stack: list[tuple[str, int, str]] = []
-    path: Path = ()
+    stack: list[tuple[str, int]] = []  # open elements, and the marked element around each
+    open_: dict[str, int] = {}
+    inner = -1
 
     def flush() -> None:
         nonlocal text, linked
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append((joined, linked, path))
+                out.append((joined, linked, inner))
         text, linked = [], 0
 
-    def settle() -> Path:
-        return tuple((i, mark) for _, i, mark in stack if mark)
-
     def add(piece: str) -> None:
         nonlocal linked
         text.append(piece)
         if depth_a:
             linked += len(piece.strip())
 
+    def pop() -> str:
+        nonlocal inner
+        tag, inner = stack.pop()
+        open_[tag] -= 1
+        return tag
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -122,11 +137,14 @@ def blocks(page: str) -> list[tuple[str, int, Path]]:
         if m["end"]:
             if tag == "a":
                 depth_a = max(0, depth_a - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    path = settle()
-                    break
+            if open_.get(tag):
+                before = inner
+                while pop() != tag:
+                    pass
+                if inner != before and text:  # an inline element that is marked ends
+                    inner, after = before, inner
+                    flush()
+                    inner = after
             continue
         if tag in VOID or m["attrs"].endswith("/"):
             continue
@@ -134,18 +152,20 @@ def blocks(page: str) -> list[tuple[str, int, Path]]:
             depth_a = 1
         mark = _mark(tag, m["attrs"])
         if tag == "header":
-            mark = mark or ("" if path and path[-1][1] == "in" else "out")
-        if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
-            stack.pop()
+            mark = mark or ("" if inner >= 0 and marked.mark[inner] == "in" else "out")
+        if tag in ("p", "li") and stack and stack[-1][0] == tag:
+            pop()
         if tag in BLOCKS or mark:
-            stack.append((tag, m.start(), mark))
             if mark:
                 flush()
-                path = settle()
+            stack.append((tag, inner))
+            open_[tag] = open_.get(tag, 0) + 1
+            if mark:
+                inner = marked.add(inner, mark)
     if at < len(page):
         add(page[at:])
     flush()
-    return out
+    return out, marked
 
 
 def stop_share(text: str) -> float:
@@ -153,44 +173,59 @@ def stop_share(text: str) -> float:
     return sum(w in STOPS for w in words) / max(1, len(words))
 
 
-def states(found: list[tuple[str, int, Path]], prose: list[bool]) -> list[str]:
-    """'in', 'out', 'card' or '' of each block: its prior."""
-    held: dict[int, int] = {}  # characters of prose, or of text on a page without prose, in each marked element
-    inside: set[int] = set()  # elements around an article
+def states(found: list[tuple[str, int, int]], marked: Marked, prose: list[bool]) -> list[str]:
+    """'in', 'out', 'card' or '' of each block: its prior. Takes time in proportion to blocks and marked elements."""
+    up, mark, n = marked.up, marked.mark, len(marked.up)
+    hidden, bad, inside = [False] * n, [False] * n, [False] * n  # inside: around a block in an article of its own
+    for i in range(n):  # elements come after those around them
+        hidden[i] = mark[i] == "hidden" or up[i] >= 0 and hidden[up[i]]
+        bad[i] = mark[i] != "in" or up[i] >= 0 and bad[up[i]]
+    held, used = [0] * n, [False] * n  # characters of prose, or of text on a page without prose, in each element; whether it has blocks
     total, any_prose = 0, any(prose)
-    for (text, _, path), good in zip(found, prose, strict=True):
-        if any(mark == "hidden" for _, mark in path) or any_prose and not good:
+    for (text, _, at), good in zip(found, prose, strict=True):
+        if at >= 0:
+            used[at] = True
+        if at >= 0 and hidden[at] or any_prose and not good:
             continue
         total += len(text)
-        for i, _ in path:
-            held[i] = held.get(i, 0) + len(text)
-    for *_, path in found:
-        last = max((k for k, (_, mark) in enumerate(path) if mark == "in"), default=0)
-        inside.update(i for i, _ in path[:last])
-    bad = [[(i, mark) for i, mark in path if mark != "in"] for *_, path in found]
-    if not any(path and not b for (*_, path), b in zip(found, bad, strict=True)):  # no article outside of such elements
-
-
-        def believed(i: int, mark: str) -> bool:
-            n = held.get(i, 0)
-            if mark == "hidden":
-                return True
-            if not any_prose:
-                return n < total or i not in inside
-            return n * 2 <= total if mark == "out" else n < total
-
-        bad = [[(i, mark) for i, mark in b if believed(i, mark)] for b in bad]
-    articles = [[i for i, mark in path if mark == "in"] if not b else [] for (*_, path), b in zip(found, bad, strict=True)]
-    outside = any(good and not b and not a for good, b, a in zip(prose, bad, articles, strict=True))
-    return ["out" if b else ("card" if outside and not any(held.get(i) for i in a) else "in") if a else "" for b, a in zip(bad, articles, strict=True)]
-
-
-def classified(found: list[tuple[str, int, Path]]) -> list[bool]:
+        if at >= 0:
+            held[at] += len(text)
+    for i in range(n - 1, -1, -1):
+        if up[i] >= 0:
+            held[up[i]] += held[i]
+            used[up[i]] = used[up[i]] or used[i]
+            inside[up[i]] = inside[up[i]] or inside[i] or used[i] and mark[i] == "in"
+    if not any(at >= 0 and not bad[at] for *_, at in found):  # no article outside of elements that say they are none
+        for i in range(n):
+            if mark[i] == "in":
+                believed = False
+            elif mark[i] == "hidden":
+                believed = True
+            elif not any_prose:
+                believed = held[i] < total or not inside[i]
+            else:
+                believed = held[i] * 2 <= total if mark[i] == "out" else held[i] < total
+            bad[i] = believed or up[i] >= 0 and bad[up[i]]
+    article, held_in = [False] * n, [False] * n
+    for i in range(n):
+        article[i] = mark[i] == "in" or up[i] >= 0 and article[up[i]]
+        held_in[i] = mark[i] == "in" and held[i] > 0 or up[i] >= 0 and held_in[up[i]]
+    outside = any(good and (at < 0 or not bad[at] and not article[at]) for (*_, at), good in zip(found, prose, strict=True))
+
+    def state(at: int) -> str:
+        if at < 0 or not bad[at] and not article[at]:
+            return ""
+        return "out" if bad[at] else "card" if outside and not held_in[at] else "in"
+
+    return [state(at) for *_, at in found]
+
+
+def classified(found: list[tuple[str, int, int]], marked: Marked) -> list[bool]:
     """Whether each block belongs to the main text."""
     dense = [linked > LINKS * len(text) for text, linked, _ in found]
     shares = [stop_share(text) if len(text) >= SHORT else 0.0 for text, *_ in found]
     prose = [len(text) >= LONG and share >= STOP_SHARE and not d for (text, *_), share, d in zip(found, shares, dense, strict=True)]
-    priors = states(found, prose)
+    priors = states(found, marked, prose)
     article = "in" in priors
     label: list[bool | None] = []
     for i, ((text, linked, _), state) in enumerate(zip(found, priors, strict=True)):
@@ -209,14 +244,16 @@ def classified(found: list[tuple[str, int, Path]]) -> list[bool]:
         else:
             label.append(True if n >= LONG or shares[i] >= STOP_SHARE else None)
     before: list[tuple[int, bool] | None] = []
+    # An element that says its content is no article, or a card, ends where it ends: its blocks speak for no others.
+    speaks = [x is not None and state in ("", "in") for x, state in zip(label, priors, strict=True)]
     last = None
     for i, x in enumerate(label):
-        last = last if x is None else (i, x)
+        last = (i, x) if speaks[i] else last
         before.append(last)
     result, last = [False] * len(label), None
     for i in range(len(label) - 1, -1, -1):
         if label[i] is not None:
-            last = (i, label[i])
+            last = (i, label[i]) if speaks[i] else last
             result[i] = label[i]
             continue
         left, right = before[i], last
@@ -230,8 +267,8 @@ def classified(found: list[tuple[str, int, Path]]) -> list[bool]:
 
 def main_text(page: str) -> str:
     """The blocks of the main text, joined by single spaces."""
-    found = blocks(page)
-    return " ".join(text for (text, *_), good in zip(found, classified(found), strict=True) if good)
+    found, marked = blocks(page)
+    return " ".join(text for (text, *_), good in zip(found, classified(found, marked), strict=True) if good)
 
 
 def extract(pages: DataFrame) -> DataFrame:
