@@ -1,9 +1,11 @@
 """Secret scan with multipart credential linking, in DataFrame operations only.
 
-Strong findings stand alone. Weak candidates (identifiers, endpoints, opaque strings) are parts of a credential and
-are reported only when a complementary part begins within SCOPE code points: an opaque string with an identifier
-or endpoint, and these with an opaque string or a strong secret. The interval join is a range frame over the parts
-of one document in order of their start, so no pairs are made.
+A credential has an identifying part (an access key, a user name, an endpoint) and a secret one (an assigned value, a
+hexadecimal or an opaque string). Access keys, assignments and hexadecimal strings are strong and stand alone; the
+others are weak candidates, reported only with a complementary part: one of the other side, disjoint from it, with a
+gap of at most SCOPE code points between the two. A weak candidate that overlaps a strong finding or a weak one of
+a more telling kind (endpoint, ident, opaque) is no part. The interval join is a pass over the parts of one document in
+either direction that carries the last part of each side, so no pairs are made.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ IDENT = "(?:" + "|".join(map(_either, ["username", "user", "login", "client_id",
 ENDPOINT = r"""[hH][tT][tT][pP][sS]?://[!#-&(-;=?-~]+|[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"""
 OPAQUE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "ident", "endpoint", "opaque"]
+#: The kinds of an identifying part; those of a secret one are the others. Weak kinds, from the most telling.
+NAMES, WEAK = ["access", "ident", "endpoint"], ["endpoint", "ident", "opaque"]
 
 
 def parts(text: Column, guard: Column, kind: str, pattern: str, valid) -> Column:
@@ -48,10 +52,12 @@ def parts(text: Column, guard: Column, kind: str, pattern: str, valid) -> Column
 
 
 def scan(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Per row of documents: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+    """Per row of documents: doc_id, n_assign, n_access, n_hex, base_sha256, spans, links.
 
-    Null texts are empty; texts without findings have counts 0 and empty spans. Rows are told apart by their place,
-    so rows that repeat, or have no doc_id, are reported each. Other columns are ignored.
+    spans has all findings as kind:start:end, links those of them that have a complementary part, with the nearest of
+    these: kind:start:end+kind:start:end (the one before on a tie). Null texts are empty; texts without findings have
+    counts 0 and empty strings; texts are read whole, however long. Rows are told apart by their place, so rows that
+    repeat, or have no doc_id, are reported each. Empty tables give empty results; other columns are ignored, whatever their names.
     """
     docs = as_text(documents.select("doc_id", "text")).withColumn("row", F.monotonically_increasing_id())
     t = F.col("text")
@@ -76,25 +82,35 @@ def scan(documents: DataFrame, scope: int = SCOPE) -> DataFrame:
     rows = rows.withColumn("kind", F.when(F.col("ok"), F.col("kind")))  # a document keeps a row, whatever fails
     base = F.coalesce(F.col("kind").isin(KINDS[:3]), F.lit(False))
     order = sum((F.when(F.col("kind") == k, i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))
-    rows = rows.withColumn("base", base).withColumn("order", order)
-    by_start = Window.partitionBy("row").orderBy("start")
-    near = by_start.rangeBetween(-scope, scope)
-    each = Window.partitionBy("row").orderBy("start", "order")
-    last_end = F.max(F.when(F.col("base"), F.col("end"))).over(each.rowsBetween(Window.unboundedPreceding, -1))
-    next_start = F.min(F.when(F.col("base"), F.col("start"))).over(each.rowsBetween(1, Window.unboundedFollowing))
-    clear = (F.coalesce(last_end, F.lit(0)) <= F.col("start")) & F.coalesce(next_start >= F.col("end"), F.lit(True))
-    rows = rows.withColumn("clear", F.col("base") | clear)
-    has = lambda *kinds: F.max(F.when(F.col("kind").isin(*kinds) & F.col("clear"), 1)).over(near).isNotNull()
-    linked = F.when(F.col("kind") == "opaque", has("access", "ident", "endpoint")).otherwise(has("assign", "hex", "opaque"))
-    rows = rows.withColumn("shown", F.col("base") | (F.col("kind").isNotNull() & F.col("clear") & linked))
+    rows = rows.withColumn("base", base).withColumn("order", order).withColumn("clear", F.col("base"))
+    # Both windows run from one end of the document to the part before or after: what lies beyond is carried along.
+    passed = Window.partitionBy("row").orderBy("start", "order").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("order")).rowsBetween(Window.unboundedPreceding, -1)
+    for kind in WEAK:
+        before, after = (F.max(F.when(F.col("clear"), F.col("end"))).over(passed), F.min(F.when(F.col("clear"), F.col("start"))).over(ahead))
+        rows = rows.withColumns({"before": before, "after": after})
+        free = F.coalesce(F.col("before") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("after") >= F.col("end"), F.lit(True))
+        rows = rows.withColumn("clear", F.col("clear") | (F.coalesce(F.col("kind") == kind, F.lit(False)) & free))
     span = F.struct("start", "order", "end", "kind")
-    text = lambda a: F.array_join(F.transform(F.array_sort(a), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    sides = {"name": F.col("kind").isin(NAMES), "secret": ~F.col("kind").isin(NAMES)}
+    near = {f"{side}_{way}": F.last(F.when(F.col("clear") & is_, span), ignorenulls=True).over(w) for side, is_ in sides.items() for way, w in (("before", passed), ("after", ahead))}
+    rows = rows.withColumns(near)
+    other = lambda way: F.when(sides["name"], F.col(f"secret_{way}")).otherwise(F.col(f"name_{way}"))
+    rows = rows.withColumns({"before": other("before"), "after": other("after")})
+    gaps = {"gap_before": F.col("start") - F.col("before.end"), "gap_after": F.col("after.start") - F.col("end")}
+    rows = rows.withColumns({k: F.when(F.col("clear") & g.between(0, scope), g) for k, g in gaps.items()})
+    link = F.when(F.coalesce(F.col("gap_before") <= F.col("gap_after"), F.col("gap_before").isNotNull()), F.col("before")).when(F.col("gap_after").isNotNull(), F.col("after"))
+    rows = rows.withColumn("link", link).withColumn("shown", F.col("base") | F.col("link").isNotNull())
+    said = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
+    text = lambda a: F.array_join(F.transform(F.array_sort(a), said), ",")
     count = lambda k: F.count_if(F.col("kind") == k).alias(f"n_{k}")
     out = rows.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"), count("assign"), count("access"), count("hex"),
         F.collect_list(F.when(F.col("base"), span)).alias("b"), F.collect_list(F.when(F.col("shown"), span)).alias("s"),
+        F.collect_list(F.when(F.col("link").isNotNull(), F.struct("start", "order", span.alias("x"), F.col("link").alias("y")))).alias("l"),
     )
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(text(F.col("b")), 256).alias("base_sha256"), text(F.col("s")).alias("spans"))
+    links = F.array_join(F.transform(F.array_sort("l"), lambda z: F.concat_ws("+", said(z["x"]), said(z["y"]))), ",")
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(text(F.col("b")), 256).alias("base_sha256"), text(F.col("s")).alias("spans"), links.alias("links"))
 
 
 def _sql_parts(kind: str, order: int, pattern: str, valid: str) -> str:
@@ -109,17 +125,30 @@ _UNION = "\nUNION ALL ".join(
     _sql_parts(k, i, p, {"assign": f"len(regexp_replace(m[i], '{HEAD.replace(chr(39), chr(39) * 2)}', '')) >= 12", "opaque": "regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[A-Za-z]')"}.get(k, "true"))
     for i, (k, p) in enumerate(zip(KINDS, [ASSIGN, ACCESS, HEX, IDENT, ENDPOINT, OPAQUE], strict=True))
 )
+
+
+def _sql_clear(step: int, kind: str) -> str:
+    """Table c{step}: weak parts of kind are clear if they overlap nothing that is clear in the table before."""
+    return f"""c{step} AS (SELECT * EXCLUDE (clear), clear OR (kind = '{kind}' AND coalesce(max(CASE WHEN clear THEN stop END) OVER b <= start, true) AND coalesce(min(CASE WHEN clear THEN start END) OVER a >= stop, true)) AS clear
+  FROM c{step - 1} WINDOW b AS (PARTITION BY doc_id ORDER BY start, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY doc_id ORDER BY start, ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))"""
+
+
+_NAME = "kind IN (" + ", ".join(f"'{k}'" for k in NAMES) + ")"
+_SPAN = "{'s': start, 'o': ord, 'e': stop, 'k': kind}"
+_near = lambda side, f, w: f"{f}(CASE WHEN clear AND {side} THEN {_SPAN} END IGNORE NULLS) OVER {w}"
 #: doc_id tells the rows of documents apart here.
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 p AS ({_UNION}),
-q AS (SELECT *, start + n AS stop FROM p),
-c AS (SELECT *, base OR (coalesce(max(CASE WHEN base THEN stop END) OVER (PARTITION BY doc_id ORDER BY start, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= start
-  AND coalesce(min(CASE WHEN base THEN start END) OVER (PARTITION BY doc_id ORDER BY start, ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) >= stop, true)) AS clear FROM q),
-s AS (SELECT *, base OR (clear AND CASE WHEN kind = 'opaque' THEN bool_or(clear AND kind IN ('access', 'ident', 'endpoint')) OVER w ELSE bool_or(clear AND kind IN ('assign', 'hex', 'opaque')) OVER w END) AS shown
-  FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)),
-g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (base) AS b, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (shown) AS spans FROM s GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN g USING (doc_id)
+c0 AS (SELECT *, start + n AS stop, base AS clear FROM p),
+{", ".join(_sql_clear(i + 1, k) for i, k in enumerate(WEAK))},
+n AS (SELECT *, CASE WHEN {_NAME} THEN {_near(f"NOT {_NAME}", "last_value", "b")} ELSE {_near(_NAME, "last_value", "b")} END AS y, CASE WHEN {_NAME} THEN {_near(f"NOT {_NAME}", "first_value", "a")} ELSE {_near(_NAME, "first_value", "a")} END AS z
+  FROM c3 WINDOW b AS (PARTITION BY doc_id ORDER BY start, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY doc_id ORDER BY start, ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+g AS (SELECT *, CASE WHEN clear AND start - y.e BETWEEN 0 AND {SCOPE} THEN start - y.e END AS gy, CASE WHEN clear AND z.s - stop BETWEEN 0 AND {SCOPE} THEN z.s - stop END AS gz FROM n),
+l AS (SELECT *, CASE WHEN gy IS NOT NULL AND (gz IS NULL OR gy <= gz) THEN y WHEN gz IS NOT NULL THEN z END AS x FROM g),
+f AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (base) AS b, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (base OR x IS NOT NULL) AS spans,
+  string_agg(kind || ':' || start || ':' || stop || '+' || x.k || ':' || x.s || ':' || x.e, ',' ORDER BY start, ord) FILTER (x IS NOT NULL) AS links FROM l GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(links, '') AS links
+FROM d LEFT JOIN f USING (doc_id)
 """
