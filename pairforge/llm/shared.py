@@ -1,73 +1,27 @@
-"""Session plumbing shared by the text operators."""
+"""Session plumbing of the text operators."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package wherever the driver found it."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
-    env.setdefault("OMP_NUM_THREADS", "1")
-    return spark
-
-
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which all executors share.
-
-    Only a local master without that setting gets a temporary folder instead.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = Path(tempfile.mkdtemp(prefix="pairforge-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/pairforge-{uuid.uuid4().hex}"
-
+from pairforge import session
+from pairforge.session import HEAVY, join_groups, removed, scratch, written
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """Writes df as Parquet and reads it back: cuts lineage with a copy that outlives executors."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["HEAVY", "as_text", "join_groups", "ready", "removed", "scratch", "wrapped", "written"]
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch path that is no longer read."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-#: Groups with more than this share of all rows are heavy: there are fewer than HEAVY of them.
-HEAVY = 1024
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """Inner join of rows with one row per group, without moving the rows of heavy groups.
-
-    A group of over total / HEAVY rows is heavy, so fewer than HEAVY groups are broadcast whatever the
-    input; the rows of the others are shuffled, at most total / HEAVY to a key.
-    """
-    limit = max(total // HEAVY, 1)
-    heavy = F.broadcast(groups.where(F.col(size) > limit))
-    light = groups.where(F.col(size) <= limit)
-    there = rows.join(heavy, keys, "inner")
-    rest = rows.join(F.broadcast(groups.where(F.col(size) > limit).select(*keys)), keys, "left_anti")
-    return there.unionByName(rest.join(light, keys, "inner"))
+def ready(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package, with one thread each."""
+    spark.sparkContext.environment.setdefault("OMP_NUM_THREADS", "1")
+    return session.ready(spark)
 
 
 def as_text(documents: DataFrame, text: str = "text") -> DataFrame:
     """The text column as a string without nulls."""
     return documents.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def wrapped(documents: DataFrame) -> DataFrame:
+    """doc_id, text, and whole rows as r: columns of any name can't clash with an operator's own."""
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("r"))
