@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.functions.text import NEGATIONS, STOP_WORDS, TAG_NEGATIONS, WH_WORDS, jaccard, normalize, tokenize, undotted, words_of
+from pairforge.functions.text import NEGATIONS, STOP_WORDS, TAG_NEGATIONS, WH_WORDS, distinct_texts, jaccard, normalize, text_key, tokenize, undotted, words_of
 
 # Number words; "one" and "zero" are left out.
 NUMBER_WORDS = {
@@ -99,14 +99,13 @@ def consistency(a: str, b: str, field: str, prefix: str) -> dict[str, Column]:
 def constraint_features(pairs: DataFrame, compose: bool = True) -> DataFrame:
     """Adds the columns of GROUPS to pairs (question1, question2), the same when the sides change places.
 
-    Each distinct text is annotated once and joined to both sides by its hash and itself.
+    Each distinct text is annotated once and joined to both sides by its hash, so annotations move and no text but once.
     """
-    sides = pairs.select(F.explode(F.array("question1", "question2")).alias("_text")).distinct()
-    known = annotate(sides, "_text", compose=compose)
-    out = pairs
+    out = pairs.withColumns({f"_k{i}": text_key(F.col(f"question{i}")) for i in (1, 2)})
+    known = annotate(distinct_texts(out), "_text", compose=compose).drop("_text")
     for i in (1, 2):
-        out = out.join(known.select(F.col("_text").alias(f"_t{i}"), F.col("ann").alias(f"a{i}")), F.col(f"question{i}").eqNullSafe(F.col(f"_t{i}")), "inner").drop(f"_t{i}")
-    return agreement(out)
+        out = out.join(known.select(F.col("_key").alias(f"_k{i}"), F.col("ann").alias(f"a{i}")), f"_k{i}")
+    return agreement(out.drop("_k1", "_k2"))
 
 
 def agreement(out: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -42,16 +42,40 @@ STOP_WORDS = sorted(
 )
 
 
+def _stable() -> str:
+    """A class of characters that NFKC leaves alone in any order: below the combining marks and in the general punctuation."""
+    kept = [chr(c) for lo, hi in ((0, 0x300), (0x2010, 0x2028)) for c in range(lo, hi) if unicodedata.normalize("NFKC", chr(c)) == chr(c)]
+    return "".join(rf"\x{{{ord(c):X}}}" if not c.isalnum() else c for c in kept)
+
+
+MAY_CHANGE = f"[^{_stable()}]"
+
+
 @F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
-    """Unicode compatibility composition; text that has it is passed on."""
+def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFKC", t) else unicodedata.normalize("NFKC", t))
 
 
+def nfkc(t: Column) -> Column:
+    """Unicode compatibility composition. Only texts with a character that it may change are sent to Python."""
+    return F.coalesce(_composed(F.when(t.rlike(MAY_CHANGE), t)), t)
+
+
 def text_of(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def text_key(c: Column) -> Column:
+    """128 bits that stand for a text; null is a text of its own."""
+    return F.coalesce(F.md5(c), F.lit("null"))
+
+
+def distinct_texts(pairs: DataFrame) -> DataFrame:
+    """_key, _text: each text of pairs with _k1 and _k2 once."""
+    sides = pairs.select(F.explode(F.array(*[F.struct(F.col(f"_k{i}").alias("_key"), F.col(f"question{i}").alias("_text")) for i in (1, 2)])).alias("s")).select("s.*")
+    return sides.groupBy("_key").agg(F.first("_text").alias("_text"))
+
+
 def squeezed(c: Column) -> Column:
     """Runs of white space become one blank; none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)[\s&&[^ ]]\s*| \s+", " "))

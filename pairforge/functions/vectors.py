@@ -57,3 +57,16 @@ def base_logit(p: Column) -> Column:
 def canonical(x: Column) -> Column:
     """Six decimals, half to even."""
     return F.bround(x, 6)
+
+
+def half(x: Column) -> Column:
+    """A number at half precision (11 bits, half to even), as vectors are stored; beyond 65,504 it is infinite."""
+    a = F.abs(x.cast("double"))
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(a)), F.lit(-14)) - 10)
+    r = F.bround(a / step, 0) * step
+    r = F.when(a == 0, 0.0).when(r > 65504.0, float("inf")).otherwise(r)
+    return F.when(x.isNotNull(), r * F.signum(x))
+
+
+def halves(x: Column) -> Column:
+    return F.transform(doubles(x), half)

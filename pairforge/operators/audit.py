@@ -67,6 +67,12 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return whole.crossJoin(pairs.agg(F.sum(F.col("n") - 1).alias("same_pair"), F.count_if(F.col("labels") > 1).alias("conflicting")))
 
 
+def repeated_id_pairs(df: DataFrame, a: str = "qid1", b: str = "qid2") -> DataFrame:
+    """rows, repeated: rows beyond the first of each unordered pair of ids."""
+    n = df.groupBy(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).agg(F.count(F.lit(1)).alias("n"))
+    return n.agg(F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("repeated"))
+
+
 def repeated_pairs(df: DataFrame) -> DataFrame:
     """The rows whose unordered pair of texts occurs more than once, with its count."""
     keyed = df.withColumns(dict(zip(("lo", "hi"), unordered(df), strict=True)))

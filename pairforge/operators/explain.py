@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.functions.constraints import GROUPS, PREFIXES, unmatched
-from pairforge.functions.text import WH_WORDS, words_of
+from pairforge.functions.text import WH_WORDS, cleaned, words_of
 
-BORDERLINE, NEAR_BOUNDARY = 0.05, 0.016
+BORDERLINE, NEAR_BOUNDARY, STRONG = 0.05, 0.016, 0.05
 # The types of signals.
 TYPES = {
     "num": ("numbers mismatch", "numbers only in one question"),
@@ -23,6 +23,12 @@ TYPES = {
 WHAT_IF = ["number", "date_heuristic", "entity_heuristic", "negation", "intent_word"]
 
 
+def complete(pairs: DataFrame) -> None:
+    """Raises if a side of a pair is empty: there is nothing to explain."""
+    if not pairs.where((cleaned(F.col("question1")) == "") | (cleaned(F.col("question2")) == "")).isEmpty():
+        raise ValueError("both texts of a pair must hold something")
+
+
 def listed(items: Column) -> Column:
     return F.when(F.size(items) == 0, "-").otherwise(F.array_join(F.array_sort(items), ", "))
 
@@ -82,10 +88,29 @@ def decide(scored: DataFrame, tau: float, base_tau: float) -> DataFrame:
     return scored.withColumns({"decision": F.col("score") >= tau, "base_decision": F.col("base") >= base_tau, "borderline": F.abs(F.col("score") - tau) < BORDERLINE, "near_boundary": F.col("margin") < NEAR_BOUNDARY})
 
 
-def rationale(decided: DataFrame, tau: float) -> DataFrame:
-    """Adds rationale: sentences on similarity, signals and the decision, of rows with cosine, score, base, signals and decision."""
+def extracted(pairs: DataFrame) -> DataFrame:
+    """Adds items_a and items_b to annotated pairs: sorted numbers, dates, entities and content words, whether it is negated, and its question word."""
+    def items(a: str) -> Column:
+        lists = [F.array_sort(F.array_distinct(f"{a}.{f}")).alias(f) for f in ("numbers", "dates", "entities", "content")]
+        return F.struct(*lists, (F.col(f"{a}.negation") > 0).alias("negated"), F.when(F.col(f"{a}.wh") != "", F.col(f"{a}.wh")).alias("question_word"))
+
+    return pairs.withColumns({"items_a": items("a1"), "items_b": items("a2")})
+
+
+def strong_effects(effects: DataFrame, least: float = STRONG, most: int = 3) -> DataFrame:
+    """id, strong: the what-if rows of each pair that change its score by `least` or more, from the most lowering one on."""
+    rows = F.array_sort(F.collect_list(F.when(F.abs("effect") >= least, F.struct("effect", "group", "probability_if_no_difference"))))
+    return effects.groupBy("id").agg(F.slice(rows, 1, most).alias("strong"))
+
+
+def rationale(decided: DataFrame, tau: float, base_tau: float) -> DataFrame:
+    """Adds rationale: sentences on similarity, signals, strong what-ifs, the decision and the region's border, of rows with
+    cosine, score, base, signals, strong, decision, base_decision, borderline and near_boundary."""
+    verdict = lambda c: F.when(c, "a duplicate").otherwise("no duplicate")
     word = F.when(F.col("cosine") >= 0.85, "very similar").when(F.col("cosine") >= 0.6, "similar").otherwise("not very similar")
-    first = F.format_string("The texts are %s (cosine %.2f); the first model gives %.2f.", word, F.col("cosine"), F.col("base"))
-    found = F.when(F.size("signals") > 0, F.concat(F.lit("Differences: "), F.array_join(F.transform("signals", lambda s: s["detail"]), "; "), F.lit("."))).otherwise("No number, date, entity, negation or scope difference.")
-    last = F.format_string("Score %.2f, threshold %.2f: %s%s.", F.col("score"), F.lit(tau), F.when(F.col("decision"), "duplicate").otherwise("not a duplicate"), F.when(F.col("borderline"), " (borderline)").otherwise(""))
-    return decided.withColumn("rationale", F.array(first, found, last))
+    first = F.format_string("Their vectors are %s (cosine %.2f). By these alone the pair scores %.2f and is %s from %.2f on.", word, F.col("cosine"), F.col("base"), verdict(F.col("base_decision")), F.lit(base_tau))
+    found = F.when(F.size("signals") > 0, F.concat(F.lit("Signals: "), F.array_join(F.transform("signals", lambda s: F.concat(s["type"], F.lit(" ("), s["detail"], F.lit(")"))), ", "), F.lit("."))).otherwise("There is no signal.")
+    change = F.transform(F.coalesce("strong", F.array().cast("array<struct<effect:double,group:string,probability_if_no_difference:double>>")), lambda s: F.format_string("Had both the same %s, the score would be %.2f, not %.2f.", s["group"], s["probability_if_no_difference"], F.col("score")))
+    last = F.format_string("The score is %.2f against a threshold of %.2f: %s%s.", F.col("score"), F.lit(tau), verdict(F.col("decision")), F.when(F.col("borderline"), ", but close").otherwise(""))
+    border = F.when(F.col("near_boundary"), F.array(F.lit("The pair lies between two regions, so its region says little."))).otherwise(F.array().cast("array<string>"))
+    return decided.withColumn("rationale", F.concat(F.array(first, found), change, F.array(last), border))

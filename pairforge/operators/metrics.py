@@ -233,3 +233,38 @@ def quartile(df: DataFrame, x: str) -> DataFrame:
     cuts = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("cuts"))
     marked = df.crossJoin(F.broadcast(cuts))
     return marked.withColumn("quartile", sum(((F.col(x) >= F.col("cuts")[i]).cast("int") for i in range(3)), F.lit(0))).drop("cuts")
+
+
+def confident_errors(scored: DataFrame, tau: float, k: int, key: str = "id") -> DataFrame:
+    """kind (FP, FN), rank, key, score: the k negatives of the greatest scores from tau on, and the k positives of the least below it."""
+    out = []
+    for kind, rows, order in (("FP", (F.col("y") == 0) & (F.col("score") >= tau), F.desc("score")), ("FN", (F.col("y") == 1) & (F.col("score") < tau), F.asc("score"))):
+        top = scored.where(rows).orderBy(order, key).limit(k)
+        out.append(top.select(F.lit(kind).alias("kind"), F.row_number().over(Window.partitionBy(F.lit(kind)).orderBy(order, key)).alias("rank"), key, "score"))
+    return out[0].unionByName(out[1])
+
+
+def cluster_tag_rates(tagged: DataFrame, tags: list[str], cluster: str = "cluster", overlap: str = "jaccard") -> DataFrame:
+    """By cluster, of decisions pred with outcome: the shares of false positives with each tag and of great overlap, of false negatives
+    of little overlap, and the error rates of negatives of great and positives of little overlap. Null where there are none."""
+    high, low = F.col(overlap) > 0.6, F.col(overlap) <= 0.2
+    share = lambda rows, x: F.avg(F.when(rows, x.cast("int")))
+    fp, fn = F.col("outcome") == "FP", F.col("outcome") == "FN"
+    return tagged.groupBy(cluster).agg(
+        F.count(F.lit(1)).alias("n"), *[share(fp, F.col(t)).alias(f"fp_with_{t}") for t in tags], share(fp, high).alias("fp_high_overlap"), share(fn, low).alias("fn_low_overlap"),
+        share((F.col("y") == 0) & high, F.col("pred") == 1).alias("fpr_high_overlap"), share((F.col("y") == 1) & low, F.col("pred") == 0).alias("fnr_low_overlap"),
+    )
+
+
+def rate_profile(features: DataFrame) -> DataFrame:
+    """feature, rate: the mean of each column that tells of a difference (mismatch, one_sided, xor, subset)."""
+    names = [c for c in features.columns if c.endswith(("_mismatch", "_one_sided", "_xor", "_subset"))]
+    row = F.array(*[F.struct(F.lit(c).alias("feature"), F.avg(c).alias("rate")) for c in names])
+    return features.agg(row.alias("r")).select(F.explode("r").alias("r")).select("r.*")
+
+
+def flip_report(errors: DataFrame, decisions: DataFrame, key: str = "id") -> DataFrame:
+    """system, outcome, category, total, fixed: labelled errors (key, outcome FP or FN, category) under decisions (key, system, pred)."""
+    rows = errors.join(decisions, key)
+    right = F.when(F.col("outcome") == "FP", F.col("pred") == 0).otherwise(F.col("pred") == 1)
+    return rows.groupBy("system", "outcome", "category").agg(F.count(F.lit(1)).alias("total"), F.count_if(right).alias("fixed"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml import Model
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def design(df: DataFrame, columns: list[str], scale: bool = True) -> DataFrame:
     return StandardScaler(withMean=True, inputCol="_raw", outputCol="features").fit(out).transform(out).drop("_raw") if scale else out
 
 
+def vectors(df: DataFrame, column: str) -> DataFrame:
+    """Adds features: an array column as vectors."""
+    return df.withColumn("features", array_to_vector(F.col(column)))
+
+
 def logistic(train: DataFrame, c: float):
     """L2 logistic regression with inverse strength c, summed over rows."""
     n = train.count()
@@ -38,6 +45,12 @@ def boosted(train: DataFrame, seed: int = 1):
     return GBTClassifier(labelCol="y", maxIter=20, maxDepth=3, seed=seed).fit(train)
 
 
+def mlp(train: DataFrame, hidden: int = 256, epochs: int = 25, seed: int = 42):
+    """A network of one hidden layer for a fixed number of passes. MLlib's: sigmoid units and L-BFGS, no dropout."""
+    d = train.head()["features"].size
+    return MultilayerPerceptronClassifier(labelCol="y", layers=[d, hidden, 2], maxIter=epochs, seed=seed).fit(train)
+
+
 def score(model, df: DataFrame) -> DataFrame:
     """Adds score: the chance of label 1."""
     return model.transform(df).withColumn("score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
@@ -51,9 +64,9 @@ def pick_c(train: DataFrame, dev: DataFrame, grid: list[float]):
     return tried[best][1], marks
 
 
-def out_of_fold(df: DataFrame, folds: int, c: float = 1.0) -> DataFrame:
+def out_of_fold(df: DataFrame, folds: int, fit: Callable[[DataFrame], Model] = lambda train: logistic(train, 1.0)) -> DataFrame:
     """Scores of rows with fold and features, each from a model of the other folds."""
-    made = [score(logistic(df.where(F.col("fold") != f), c), df.where(F.col("fold") == f)) for f in range(folds)]
+    made = [score(fit(df.where(F.col("fold") != f)), df.where(F.col("fold") == f)) for f in range(folds)]
     return reduce(DataFrame.unionByName, made)
 
 
@@ -62,7 +75,16 @@ def coefficients(model, columns: list[str]) -> list[tuple[str, float]]:
     return sorted(zip(columns, map(float, model.coefficients), strict=True), key=lambda x: -abs(x[1]))
 
 
-def variants(base: list[str], groups: dict[str, list[str]]) -> dict[str, list[str]]:
-    """Column sets of the full model and of the model without each group."""
-    full = list(dict.fromkeys(base + [c for g in groups.values() for c in g]))
-    return {"full": full} | {f"without_{k}": [c for c in full if c not in g] for k, g in groups.items()}
+def variants(base: list[str], groups: dict[str, list[str]], lexical: list[str], clusters: list[str] = ()) -> dict[str, tuple[str, list[str]]]:
+    """Kind of model (lr, trees) and columns of each variant: base alone, with groups, with more, and without each group."""
+    all_ = [*base, *dict.fromkeys(c for g in groups.values() for c in g)]
+    less = lambda k: [c for c in all_ if c not in groups[k] or any(c in g for n, g in groups.items() if n != k)]
+    out = {"recal": ("lr", list(base)), "constraints": ("lr", all_), "no_specificity": ("lr", less("specificity")), "plus_lexical": ("lr", list(dict.fromkeys([*all_, *lexical])))}
+    if clusters:
+        out["plus_cluster"] = ("lr", [*all_, *clusters])
+    out |= {"trees": ("trees", all_), "recal_trees": ("trees", list(base))}
+    return out | {f"minus_{k}": ("lr", less(k)) for k in groups} | {f"trees_minus_{k}": ("trees", less(k)) for k in groups}
+
+
+def fitted(train: DataFrame, kind: str):
+    return logistic(train, 1.0) if kind == "lr" else boosted(train)

@@ -1,7 +1,7 @@
 """Bootstrap intervals, permutation nulls and subsample studies, as grouped aggregations over replicates.
 
-Draw i of replicate b takes the row whose place is a hash of (seed, b, i) modulo the rows of its group. Metrics
-need only the grid cell and the label of a row, so rows are first counted by cell and draws fall on cumulative counts.
+Draw i of replicate b takes the row whose place is a hash of (seed, b, i) modulo the rows of its group, which SQL can do
+as well; it takes rows times replicates. For many replicates of many rows, replicates.py draws counts instead.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairforge.functions.text import ratio
-from pairforge.operators.metrics import best_threshold, cell, confusion, sweep
+from pairforge.operators.metrics import best_threshold, confusion, sweep
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -38,7 +38,7 @@ def numbered(df: DataFrame, by: list[str], place: Column, order: list, name: str
 def by_key(df: DataFrame, by: list[str], key: str, name: str) -> DataFrame:
     """numbered in order of a numeric key."""
     bounds = df.groupBy(*by).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"), F.count(F.lit(1)).alias("size"))
-    out = df.join(F.broadcast(bounds), by) if by else df.crossJoin(F.broadcast(bounds))
+    out = df.join(bounds, by) if by else df.crossJoin(F.broadcast(bounds))
     place = (F.col(key) - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1)
     return numbered(out, by, place, [key], name).drop("_lo", "_hi")
 
@@ -121,8 +121,3 @@ def threshold_reliability(scored: DataFrame, sizes: list[int], replicates: int,
     top = full.agg(F.max("full").alias("top"))
     out = best.drop("f1").join(F.broadcast(full), "threshold").crossJoin(F.broadcast(top))
     return out.groupBy("size").agg(F.stddev_pop("threshold").alias("tau_std"), F.percentile("threshold", F.lit(0.05)).alias("tau_p5"), F.percentile("threshold", F.lit(0.95)).alias("tau_p95"), F.avg(F.col("top") - F.col("full")).alias("regret_mean"), F.percentile(F.col("top") - F.col("full"), F.lit(0.95)).alias("regret_p95"))
-
-
-def counted(scored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, k, y, n: all that threshold metrics need of a table of any size."""
-    return scored.groupBy(*by, cell(F.col("score")).alias("k"), "y").agg(F.count(F.lit(1)).alias("n"))

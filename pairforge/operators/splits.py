@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from pairforge.functions.text import ratio
 from pairforge.operators.graph import components
 from pairforge.operators.metrics import band
+from pairforge.operators.resample import by_hash, uniform
 
 RATIOS = {"train": 0.8, "val": 0.1, "test": 0.1}
 BUCKETS = [1, 2, 5, 10]
@@ -50,7 +51,7 @@ def before(df: DataFrame, by: list[str], key: str, weight: str, seed: int) -> Da
     cells = df.groupBy(*by, "_b").agg(F.sum(weight).alias("_w"))
     cells = cells.select(*by, "_b", F.coalesce(F.sum("_w").over(w), F.lit(0)).alias("_w"), F.sum("_w").over(Window.partitionBy(*by)).alias("_all"))
     w = Window.partitionBy(*by, "_b").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, -1)
-    out = df.join(F.broadcast(cells), [*by, "_b"])
+    out = df.join(cells, [*by, "_b"])
     return out.withColumn("share", (F.col("_w") + F.coalesce(F.sum(weight).over(w), F.lit(0))) / F.col("_all")).drop("_h", "_b", "_w", "_all")
 
 
@@ -175,13 +176,63 @@ def id_checksum(split: DataFrame) -> DataFrame:
     return split.groupBy("split").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ","), 256).alias("checksum"))
 
 
-def group_folds(sizes: list[tuple[str, int]], folds: int, seed: int) -> dict[str, int]:
-    """Folds of whole groups: the largest first, each to the lightest fold. sizes comes to the driver, where it must fit."""
-    from hashlib import md5
+def fold_segments(sizes: list[tuple[int, int]], folds: int) -> dict[int, list[tuple[int, int, list[int]]]]:
+    """For sizes of groups and how many have each, from the largest: segments (from, to, order) of the groups of a size.
 
+    Each group goes to the lightest fold, the first on ties. Within a segment, folds take groups in turn in that order.
+    """
     load, out = [0] * folds, {}
-    for g, n in sorted(sizes, key=lambda x: (-x[1], md5(f"{seed}|{x[0]}".encode()).hexdigest())):
-        f = load.index(min(load))
-        load[f] += n
-        out[g] = f
+    for size, count in sorted(sizes, reverse=True):
+        at, segments = 0, []
+        while at < count:
+            order = sorted(range(folds), key=lambda f: (load[f], f))
+            turn = [f for f in order if load[f] < load[order[0]] + size]  # those that get one before the first gets two
+            last, rest = turn[-1], order[len(turn) :]
+            # Whole turns until another fold is as light; a turn that is cut short ends the groups of this size.
+            turns = max(1, (load[rest[0]] - load[last]) // size) if rest else -(-(count - at) // len(turn))
+            to = min(count, at + turns * len(turn))
+            segments.append((at, to, turn))
+            for i, f in enumerate(turn):
+                load[f] += size * len(range(at + i, to, len(turn)))
+            at = to
+        out[size] = segments
+    return out
+
+
+def group_folds(groups: DataFrame, folds: int, seed: int, key: str = "component") -> DataFrame:
+    """Adds fold to a table of groups (key, pairs): the largest first, in hash order among equals, each to the lightest fold.
+
+    Only the number of groups of each size reaches the driver; groups find their fold by their place among equals.
+    """
+    spark = groups.sparkSession
+    sizes = [(r.pairs, r.n) for r in groups.groupBy("pairs").agg(F.count(F.lit(1)).alias("n")).collect()]
+    rows = [(size, [{"lo": a, "hi": b, "turn": t} for a, b, t in segments]) for size, segments in fold_segments(sizes, folds).items()]
+    table = spark.createDataFrame(rows, "pairs long, segments array<struct<lo:long,hi:long,turn:array<int>>>")
+    placed = by_hash(groups, ["pairs"], uniform(seed, F.col(key)), key, "_place").withColumn("_place", F.col("_place") - 1).join(table, "pairs")
+    own = F.filter("segments", lambda s: (s["lo"] <= F.col("_place")) & (F.col("_place") < s["hi"]))[0]
+    fold = F.get(own["turn"], ((F.col("_place") - own["lo"]) % F.size(own["turn"])).cast("int"))
+    return placed.withColumn("fold", fold).drop("_place", "segments")
+
+
+PROFILE = {"isolated": (0, 1), "small": (1, 10), "medium": (10, 500), "large": (500, None)}
+
+
+def profile_report(split: DataFrame, size: str = "size") -> DataFrame:
+    """split (also the dropped one), pairs, share_of_retained, positive_rate, retention, and the shares of its pairs by component size."""
+    inside = {n: (F.col(size) > a) & (F.col(size) <= b if b else F.lit(True)) for n, (a, b) in PROFILE.items()}
+    kept = F.col("split") != DROPPED
+    out = split.groupBy("split").agg(F.count(F.lit(1)).alias("pairs"), F.avg("is_duplicate").alias("positive_rate"), *[F.avg(c.cast("int")).alias(n) for n, c in inside.items()])
+    totals = split.agg(F.count_if(kept).alias("_kept"), F.count(F.lit(1)).alias("_all"))
+    out = out.crossJoin(F.broadcast(totals))  # one row
+    return out.select("split", "pairs", F.when(kept, ratio(F.col("pairs"), F.col("_kept"))).alias("share_of_retained"), "positive_rate", ratio(F.col("_kept"), F.col("_all")).alias("retention"), *PROFILE)
+
+
+def overlap_report(split: DataFrame) -> DataFrame:
+    """key (strict, loose), split, reference, and text_overlap of validation and test with what comes before; split has key_a, key_b, loose_a, loose_b."""
+    out = None
+    for name, (a, b) in {"strict": ("key_a", "key_b"), "loose": ("loose_a", "loose_b")}.items():
+        rows = split.select("split", F.col(a).alias("key_a"), F.col(b).alias("key_b"))
+        for other, reference in (("val", "train"), ("test", "train"), ("test", "val")):
+            r = text_overlap(rows, reference, other).select(F.lit(name).alias("key"), F.lit(other).alias("split"), F.lit(reference).alias("reference"), "*")
+            out = r if out is None else out.unionByName(r)
     return out

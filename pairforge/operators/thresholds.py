@@ -29,15 +29,24 @@ def apply(scored: DataFrame, policy: DataFrame, fallback: DataFrame, by: tuple[s
     return rows.withColumn("pred", (F.col("score") >= F.coalesce("_own", "_all")).cast("int")).drop("_own", "_all")
 
 
-def cross_fit(scored: DataFrame, folds: int, min_pairs: int = MIN_PAIRS, min_positives: int = MIN_POSITIVES) -> tuple[DataFrame, DataFrame]:
-    """Decisions of rows with fold 0 to folds - 1, each by a policy of the other folds; and these policies.
+def cross_fit(scored: DataFrame, folds: int, min_pairs: int = MIN_PAIRS, min_positives: int = MIN_POSITIVES, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Decisions of rows with fold 0 to folds - 1, each by a policy of the other folds; and these policies. by: columns of repetitions.
 
     Each row is repeated for the folds that learn from it: folds - 1 copies, a fixed factor.
     """
     others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("_own_fold"))
     train = scored.withColumnRenamed("fold", "_own_fold").withColumn("fold", F.explode(others)).drop("_own_fold")
-    policy = fit(train, min_pairs, min_positives, ("fold",))
-    return apply(scored, policy, best_threshold(train, ("fold",)), ("fold",)), policy
+    by = (*by, "fold")
+    policy = fit(train, min_pairs, min_positives, by)
+    return apply(scored, policy, best_threshold(train, by), by), policy
+
+
+def repetitions(scored: DataFrame, reps: int, folds: int, min_pairs: int = MIN_PAIRS, min_positives: int = MIN_POSITIVES, key: str = "id") -> DataFrame:
+    """rep, f1 of cross-fitted decisions over shufflings of rows to folds, in one plan."""
+    rows = scored.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    text = F.concat_ws("|", F.col("rep").cast("string"), F.col(key).cast("string"))
+    rows = rows.withColumn("fold", F.pmod(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long"), F.lit(folds)).cast("int"))
+    return decision_metrics(cross_fit(rows, folds, min_pairs, min_positives, ("rep",))[0], ("rep",)).select("rep", "f1")
 
 
 def stability(policies: DataFrame) -> DataFrame:
@@ -90,3 +99,16 @@ def to_record(policy: DataFrame, fallback: DataFrame) -> dict:
 
 def curve(scored: DataFrame) -> DataFrame:
     return sweep(scored).select("threshold", "precision", "recall", "f1")
+
+
+def choose_stepwise(first: str, simpler: str, richer: dict[str, tuple[str, ...]], gains: dict[tuple[str, str], tuple[float, float]], least: float = 0.005) -> str:
+    """The pre-registered rule: the simpler variant unless the first clearly beats it, then each richer one of that if it clearly beats what is chosen.
+
+    gains: gain and lower bound of (variant, over variant). Clearly: by the least gain, with an interval above 0.
+    """
+    clear = lambda a, b: gains[a, b][0] >= least and gains[a, b][1] > 0
+    choice = base = first if clear(first, simpler) else simpler
+    for name in richer[base]:
+        if clear(name, choice):
+            choice = name
+    return choice

@@ -11,7 +11,7 @@ from pairforge.functions import constraints as C
 from pairforge.functions import text as X
 from pairforge.functions import vectors as V
 from pairforge.functions.lexical import FEATURES, audit_jaccard, lexical_features, with_tokens
-from pairforge.operators import audit, clusters, explain, graph, models, resample, splits, tfidf, thresholds, vocabulary
+from pairforge.operators import audit, clusters, explain, graph, models, replicates, resample, splits, tfidf, thresholds, vocabulary
 from pairforge.operators import metrics as M
 from pairforge.plans.views import PAIRS_SQL, STOPS_SQL, TOKENS_SQL, VECTORS_SQL, except_sql, jaccard_sql, key_sql, norm_sql, q, scored, table, text_pairs, tokens_sql, vector_pairs, words_sql
 from pairforge.session import ready, scratch, written
@@ -242,29 +242,39 @@ def number_entity_consistency(spark: SparkSession, sf: str) -> DataFrame:
     return C.constraint_features(text_pairs(spark, sf)).select("id", *C.GROUPS["number"], *C.GROUPS["entity_heuristic"])
 
 
-@query(f"""WITH {TOKENS_SQL}, e AS (SELECT id, list_concat({except_sql('t1', 't2')}, {except_sql('t2', 't1')}) AS diff, list_concat(t1, t2) AS both_, {jaccard_sql('t1', 't2')} AS jaccard FROM tok)
-SELECT id, len(list_filter(diff, lambda x: regexp_matches(x, '[0-9]'))) > 0 AS number_diff, len(list_filter(diff, lambda x: list_contains({words_sql(X.TAG_NEGATIONS)}, x) OR (starts_with(x, 'non') AND list_contains(both_, x[4:])))) > 0 AS negation_diff,
+def _caps(i: int) -> str:
+    """Capitalised words within sentences: the first of a text or sentence is passed over."""
+    pattern = r"(?:^|[.?!]\s)[A-Z][\p{L}\p{N}_]*|[^\p{L}\p{N}_]([A-Z][\p{L}\p{N}_'-]*)"
+    return f"regexp_extract_all(trim(question{i}), {q(pattern)}, 1)"
+
+
+_ENTITY = f"len(list_filter(diff, lambda x: list_contains(caps, x) AND NOT list_contains({words_sql(C.PRONOUN)}, x))) > 0 AS entity_diff"
+_CAPS = f"list_transform(list_concat({_caps(1)}, {_caps(2)}), lambda x: lower(x)) AS caps"
+
+
+@query(f"""WITH {TOKENS_SQL}, e AS (SELECT id, list_concat({except_sql('t1', 't2')}, {except_sql('t2', 't1')}) AS diff, list_concat(t1, t2) AS both_, {jaccard_sql('t1', 't2')} AS jaccard, {_CAPS} FROM tok)
+SELECT id, {_ENTITY}, len(list_filter(diff, lambda x: regexp_matches(x, '[0-9]'))) > 0 AS number_diff, len(list_filter(diff, lambda x: list_contains({words_sql(X.TAG_NEGATIONS)}, x) OR (starts_with(x, 'non') AND list_contains(both_, x[4:])))) > 0 AS negation_diff,
 jaccard >= 0.6 AS high_overlap, jaccard < 0.2 AS low_overlap, len(list_filter(diff, lambda x: regexp_matches(x, '^(19|20)[0-9][0-9]$') OR list_contains({words_sql(C.DATE_WORDS[:19])}, x))) > 0 AS date_diff FROM e""")
 def pair_error_tags(spark: SparkSession, sf: str) -> DataFrame:
     t = C.error_tags(with_tokens(text_pairs(spark, sf))).withColumn("date_diff", C.date_difference())
-    return t.select("id", "number_diff", "negation_diff", "high_overlap", "low_overlap", "date_diff")
+    return t.select("id", "number_diff", "entity_diff", "negation_diff", "high_overlap", "low_overlap", "date_diff")
 
 
 # Decisions on text pairs: same language, by overlap of words -----------------------
 
-TAGS = ["number_diff", "negation_diff", "high_overlap", "low_overlap"]
-_TAGGED = f"""WITH {TOKENS_SQL}, e AS (SELECT id, same_lang AS y, list_concat({except_sql('t1', 't2')}, {except_sql('t2', 't1')}) AS diff, list_concat(t1, t2) AS both_, {jaccard_sql('t1', 't2')} AS jaccard FROM tok),
-g AS (SELECT id, y, jaccard, jaccard >= 0.05 AS pred, jaccard >= 0.1 AS new_, len(list_filter(diff, lambda x: regexp_matches(x, '[0-9]'))) > 0 AS number_diff, len(list_filter(diff, lambda x: list_contains({words_sql(X.TAG_NEGATIONS)}, x) OR (starts_with(x, 'non') AND list_contains(both_, x[4:])))) > 0 AS negation_diff,
+TAGS = ["number_diff", "entity_diff", "negation_diff", "high_overlap", "low_overlap"]
+_TAGGED = f"""WITH {TOKENS_SQL}, e AS (SELECT id, same_lang AS y, list_concat({except_sql('t1', 't2')}, {except_sql('t2', 't1')}) AS diff, list_concat(t1, t2) AS both_, {jaccard_sql('t1', 't2')} AS jaccard, {_CAPS} FROM tok),
+g AS (SELECT id, y, jaccard, jaccard >= 0.05 AS pred, jaccard >= 0.1 AS new_, {_ENTITY}, len(list_filter(diff, lambda x: regexp_matches(x, '[0-9]'))) > 0 AS number_diff, len(list_filter(diff, lambda x: list_contains({words_sql(X.TAG_NEGATIONS)}, x) OR (starts_with(x, 'non') AND list_contains(both_, x[4:])))) > 0 AS negation_diff,
   jaccard >= 0.6 AS high_overlap, jaccard < 0.2 AS low_overlap FROM e),
 o AS (SELECT *, CASE WHEN y = 1 AND pred THEN 'TP' WHEN y = 0 AND pred THEN 'FP' WHEN y = 0 THEN 'TN' ELSE 'FN' END AS outcome FROM g)"""
 _LONG = ", ".join(f"{{'tag': '{t}', 'has': {t}::INT}}" for t in TAGS)
 
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:
-    """id, y, jaccard, pred, new, tags, outcome, computed once and written."""
+    """id, y, jaccard, pred, new, tags, outcome."""
     t = C.error_tags(with_tokens(text_pairs(spark, sf))).withColumnRenamed("same_lang", "y")
     t = t.withColumns({"pred": (F.col("jaccard") >= 0.05).cast("int"), "new": (F.col("jaccard") >= 0.1).cast("int")})
-    t = t.withColumn("outcome", M.outcome(F.col("y"), F.col("pred"))).select("id", "y", "jaccard", "pred", "new", "outcome", "entity_diff", *TAGS)
+    t = t.withColumn("outcome", M.outcome(F.col("y"), F.col("pred"))).select("id", "y", "jaccard", "pred", "new", "outcome", *TAGS)
     return t
 
 
@@ -518,38 +528,47 @@ def threshold_reliability(spark: SparkSession, sf: str) -> DataFrame:
     return six(resample.threshold_reliability(written(scored(spark, sf), scratch(spark)), [200, 1000], 8))
 
 
-@query()
-def averaged_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+def decided_thrice(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions of three repetitions."""
     s = written(scored(spark, sf), scratch(spark))
-    reps = s.select("id", "y", F.explode(F.array(*[F.struct(F.lit(i).alias("rep"), (F.col("score") >= t).cast("int").alias("pred")) for i, t in enumerate((0.48, 0.5, 0.52))])).alias("r")).select("id", "y", "r.*")
-    return six(resample.averaged_bootstrap(reps, BOOTSTRAPS))
+    return s.select("id", "y", F.explode(F.array(*[F.struct(F.lit(i).alias("rep"), (F.col("score") >= t).cast("int").alias("pred")) for i, t in enumerate((0.48, 0.5, 0.52))])).alias("r")).select("id", "y", "r.*")
+
+
+@query(f"""{_VP}, pl AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS place, count(*) OVER () AS size FROM vp), asked AS (SELECT boot, {hex_sql("'3|' || boot || '|0|' || place", 12)} % size AS place FROM pl, range(0, 20) b(boot)),
+dr AS (SELECT asked.boot, y, score, t FROM asked JOIN pl USING (place), (SELECT unnest([0.48::DOUBLE, 0.5::DOUBLE, 0.52::DOUBLE]) AS t)), f AS (SELECT boot, t, {div('2 * count(*) FILTER (score >= t AND y = 1)', 'count(*) FILTER (score >= t) + sum(y)')} AS f1 FROM dr GROUP BY boot, t), m AS (SELECT boot, avg(f1) AS f1 FROM f GROUP BY boot)
+SELECT round(quantile_cont(f1, 0.025), 6) AS f1_low, round(quantile_cont(f1, 0.975), 6) AS f1_high, round(stddev_pop(f1), 6) AS f1_std FROM m""")
+def averaged_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    return six(resample.averaged_bootstrap(decided_thrice(spark, sf), 20))
+
+
+@query()
+def averaged_bootstrap_1000(spark: SparkSession, sf: str) -> DataFrame:
+    return six(replicates.averaged_bootstrap(decided_thrice(spark, sf), BOOTSTRAPS))
 
 
-# The reference's replicates, sizes and sample. The queries above of the same kind are cut down to what their SQL can do.
+# The reference's replicates, sizes and sample. They draw counts, not rows. The queries above of the same kind draw rows and are cut down to what their SQL can do.
 BOOTSTRAPS, PERMUTATIONS, SUBSAMPLES, SUBSAMPLE_SIZES, SILHOUETTE_ROWS = 1000, 500, 300, [100, 250, 500, 1000, 2000, 4000], 20_000
 
 
 @query()
 def cluster_bootstrap_1000(spark: SparkSession, sf: str) -> DataFrame:
-    return six(resample.cluster_bootstrap(written(scored(spark, sf), scratch(spark)), 0.5, BOOTSTRAPS))
+    return six(replicates.cluster_bootstrap(scored(spark, sf), 0.5, BOOTSTRAPS))
 
 
 @query()
 def paired_bootstrap_1000(spark: SparkSession, sf: str) -> DataFrame:
-    return six(resample.paired_bootstrap(written(scored(spark, sf), scratch(spark)), 0.5, 0.51, BOOTSTRAPS))
+    """The seven decision metrics and both areas."""
+    return six(replicates.paired_bootstrap(scored(spark, sf), 0.5, 0.51, BOOTSTRAPS))
 
 
 @query()
 def random_partition_null_500(spark: SparkSession, sf: str) -> DataFrame:
-    return six(resample.partition_null(written(scored(spark, sf), scratch(spark)), 0.5, PERMUTATIONS))
+    return six(replicates.partition_null(scored(spark, sf), 0.5, PERMUTATIONS))
 
 
 @query()
 def threshold_reliability_300(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes over the number of rows are left out."""
-    s = written(scored(spark, sf), scratch(spark))
-    n = s.count()
-    return six(resample.threshold_reliability(s, [k for k in SUBSAMPLE_SIZES if k <= n], SUBSAMPLES))
+    return six(replicates.threshold_reliability(scored(spark, sf), SUBSAMPLE_SIZES, SUBSAMPLES))
 
 
 # Graph and splits ----------------------------------------------------------------------
@@ -562,11 +581,16 @@ def linked(spark: SparkSession, sf: str) -> DataFrame:
     label = (F.conv(F.substring(F.md5(F.concat_ws("|", "conv_id", "turn")), 1, 1), 16, 10).cast("int") % 4 == 0).cast("int")
     p = p.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question1"), "question2", label.alias("is_duplicate"))
     path = scratch(spark)
-    e = written(graph.edges(p).drop("question1", "question2"), f"{path}/edges")
+    p = graph.edges(p).withColumns({f"loose_{s}": F.md5(X.loose_key(F.col(f"question{i}"))) for i, s in ((1, "a"), (2, "b"))})
+    e = written(p.drop("question1", "question2"), f"{path}/edges")
     return written(graph.with_components(e), f"{path}/linked")
 
 
-_LK = rf"""WITH RECURSIVE ed AS (SELECT a.conv_id * 1000 + a.turn AS id, md5({key_sql('a.text')}) AS key_a, md5({key_sql('b.text')}) AS key_b, ({hex_sql("a.conv_id || '|' || a.turn", 1)} % 4 = 0)::INT AS is_duplicate FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+def loose_sql(x: str) -> str:
+    return f"trim(regexp_replace(lower(coalesce({x}, '')), '[^0-9a-z]+', ' ', 'g'))"
+
+
+_LK = rf"""WITH RECURSIVE ed AS (SELECT a.conv_id * 1000 + a.turn AS id, md5({key_sql('a.text')}) AS key_a, md5({key_sql('b.text')}) AS key_b, ({hex_sql("a.conv_id || '|' || a.turn", 1)} % 4 = 0)::INT AS is_duplicate, md5({loose_sql('a.text')}) AS loose_a, md5({loose_sql('b.text')}) AS loose_b FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
 un AS (SELECT key_a AS a, key_b AS b FROM ed UNION SELECT key_b, key_a FROM ed), reach AS (SELECT a AS src, a AS dst FROM un UNION SELECT r.src, un.b FROM reach r JOIN un ON r.dst = un.a), cc AS (SELECT src AS key, min(dst) AS component FROM reach GROUP BY src),
 lk AS (SELECT ed.*, component, count(*) OVER (PARTITION BY component) AS size FROM ed JOIN cc ON cc.key = ed.key_a)"""
 SEED = 42
@@ -586,8 +610,8 @@ def node_sql(key: str) -> str:
     return f"(CASE WHEN {u} < {p['train']!r}::DOUBLE THEN 'train' WHEN {u} < {p['train'] + p['val']!r}::DOUBLE THEN 'val' ELSE 'test' END)"
 
 
-def comp_sql(src: str) -> str:
-    return f"(SELECT component, {_BY_SHARE} AS split FROM {before_sql(f'(SELECT component, count(*) AS pairs, (count(*) > 1)::INT + (count(*) > 2)::INT + (count(*) > 5)::INT + (count(*) > 10)::INT AS bucket FROM {src} GROUP BY component)', 'bucket', 'component', 'pairs', SEED)})"
+def comp_sql(src: str, seed: int = 42) -> str:
+    return f"(SELECT component, {_BY_SHARE} AS split FROM {before_sql(f'(SELECT component, count(*) AS pairs, (count(*) > 1)::INT + (count(*) > 2)::INT + (count(*) > 5)::INT + (count(*) > 10)::INT AS bucket FROM {src} GROUP BY component)', 'bucket', 'component', 'pairs', seed)})"
 
 
 _NODE = f"(SELECT *, CASE WHEN {node_sql('key_a')} = {node_sql('key_b')} THEN {node_sql('key_a')} ELSE 'dropped_cross_split' END AS split FROM lk)"
@@ -666,19 +690,24 @@ def split_checksums(spark: SparkSession, sf: str) -> DataFrame:
     return splits.id_checksum(splits.hybrid_split(linked(spark, sf), SEED, _CAP))
 
 
-@query()
+_SEEDS = " UNION ALL ".join(f"SELECT {i} AS seed, split, is_duplicate FROM (SELECT lk.*, split FROM lk JOIN {comp_sql('lk', i)} USING (component))" for i in range(3))
+
+
+@query(f"{_LK}, u AS ({_SEEDS}), r AS (SELECT seed, split, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY seed) AS share, avg(is_duplicate) AS positive_rate FROM u GROUP BY seed, split) SELECT split, " + ", ".join(f"round({f}({c}), 6) AS {f}_{c}" for c in ("share", "positive_rate") for f in ("min", "max")) + " FROM r GROUP BY split")
 def seed_stability(spark: SparkSession, sf: str) -> DataFrame:
     return six(splits.seed_stability(linked(spark, sf), "component", range(3)))
 
 
-@query()
+_GREEDY = f"""{_LK}, co AS (SELECT component, count(*) AS pairs FROM lk GROUP BY component), od AS (SELECT *, row_number() OVER (ORDER BY pairs DESC, {hex_sql(f"'{SEED}|' || component", 12)}, component) AS i FROM co),
+gr AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, -1 AS fold, NULL::VARCHAR AS component, 0::BIGINT AS pairs
+  UNION ALL SELECT od.i, list_transform(range(1, 6), lambda j: loads[j] + CASE WHEN j = list_position(loads, list_min(loads)) THEN od.pairs ELSE 0 END), list_position(loads, list_min(loads)) - 1, od.component, od.pairs FROM gr JOIN od ON od.i = gr.i + 1)"""
+
+
+@query(f"{_GREEDY} SELECT component, pairs, fold::INT AS fold FROM gr WHERE i > 0")
 def group_folds(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of each of five folds of whole components."""
-    n = linked(spark, sf).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    sizes = [(r.component, r.n) for r in n.toLocalIterator()]
-    of = splits.group_folds(sizes, 5, SEED)
-    rows = spark.createDataFrame([(c, of[c], k) for c, k in sizes], "component string, fold int, n long")
-    return rows.groupBy("fold").agg(F.sum("n").alias("pairs"), F.count(F.lit(1)).alias("components"))
+    """The fold of each component, of five."""
+    n = linked(spark, sf).groupBy("component").agg(F.count(F.lit(1)).alias("pairs"))
+    return splits.group_folds(n, 5, SEED).select("component", "pairs", "fold")
 
 
 # Regions ------------------------------------------------------------------------------------
@@ -764,7 +793,7 @@ def noise_stability(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def kmeans_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return six(clusters.k_sweep(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", "vec_id", [5, 8], range(1, 3)))
+    return six(clusters.k_sweep(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", "vec_id", [5, 8, 10, 12, 15, 20], range(1, 3)))
 
 
 @query()
@@ -828,15 +857,17 @@ def encoded_texts(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("key", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query()
+_REPS = f"""{_VP}{_SWEEP}, f AS (SELECT vp.*, rep, ({hex_sql("rep || '|' || id", 12)} % 4)::INT AS fold FROM vp, range(0, 20) r(rep)), tr AS (SELECT f.* EXCLUDE (fold), rep * 10 + i AS rf, (rep * 10 + i) * 1000 + cluster AS fc FROM f JOIN range(0, 4) t(i) ON i <> f.fold),
+all_ AS (SELECT rf, threshold AS t FROM {best_sql('rf', 'tr')}), own AS (SELECT fc, threshold AS o FROM {best_sql('fc', 'tr')}), sz AS (SELECT fc, rf, count(*) AS n, sum(y) AS p FROM tr GROUP BY fc, rf),
+pol AS (SELECT fc, CASE WHEN n >= 240 AND p >= 28 THEN o ELSE t END AS threshold FROM sz JOIN own USING (fc) JOIN all_ USING (rf)),
+de AS (SELECT rep, y, score >= coalesce(threshold, t) AS pred FROM (SELECT *, rep * 10 + fold AS rf, (rep * 10 + fold) * 1000 + cluster AS fc FROM f) LEFT JOIN pol USING (fc) JOIN all_ USING (rf)), fs AS (SELECT rep, {div('2 * count(*) FILTER (pred AND y = 1)', 'count(*) FILTER (pred) + sum(y)')} AS f1 FROM de GROUP BY rep)"""
+
+
+@query(f"{_REPS} SELECT round(avg(f1), 6) AS mean, round(min(f1), 6) AS min, round(max(f1), 6) AS max FROM fs")
 def fold_repetitions(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean, least and greatest F1 of cross-fitted policies over repetitions of the folds."""
-    s, out = written(scored(spark, sf), scratch(spark)), None
-    for rep in range(3):
-        folded = s.withColumn("fold", F.pmod(resample.uniform(rep, F.col("id")), F.lit(4)).cast("int"))
-        r = M.decision_metrics(thresholds.cross_fit(folded, 4, 240, 28)[0]).select("f1")
-        out = r if out is None else out.unionByName(r)
-    return six(out.agg(F.avg("f1").alias("mean"), F.min("f1").alias("min"), F.max("f1").alias("max")))
+    """Mean, least and greatest F1 of cross-fitted policies over 20 shufflings of the rows to folds."""
+    each = thresholds.repetitions(written(scored(spark, sf), scratch(spark)), 20, 4, 240, 28)
+    return six(each.agg(F.avg("f1").alias("mean"), F.min("f1").alias("min"), F.max("f1").alias("max")))
 
 
 # Models and explanations -------------------------------------------------------------------------
@@ -845,7 +876,7 @@ def fold_repetitions(spark: SparkSession, sf: str) -> DataFrame:
 def _features(spark: SparkSession, sf: str) -> DataFrame:
     """Features of text pairs with a hashed fold; y is whether both texts have one language."""
     p = written(text_pairs(spark, sf).drop("is_duplicate").withColumnRenamed("same_lang", "y"), scratch(spark))
-    f = C.constraint_features(lexical_features(p).drop("n1", "n2", "t1", "t2"))
+    f = C.constraint_features(lexical_features(p))
     return written(fold_of(f, 3).drop("question1", "question2"), scratch(spark))
 
 
@@ -862,7 +893,7 @@ def standard_scores(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def logistic_grid(spark: SparkSession, sf: str) -> DataFrame:
     d = models.design(_features(spark, sf), FEATURES)
-    _, marks = models.pick_c(d.where("fold > 0"), d.where("fold = 0"), [0.1, 1.0])
+    _, marks = models.pick_c(d.where("fold > 0"), d.where("fold = 0"), [0.1, 0.3, 1.0, 3.0, 10.0])
     return spark.createDataFrame(marks, "c double, pr_auc double")
 
 
@@ -874,11 +905,17 @@ def out_of_fold_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def boosted_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """Areas of boosted trees on all features and without each group."""
-    f, out = _features(spark, sf), None
-    for name, columns in models.variants(FEATURES, _GROUPS).items():
-        d = models.design(f, columns, scale=False)
-        r = M.auc(models.score(models.boosted(d.where("fold > 0")), d.where("fold = 0"))).select(F.lit(name).alias("variant"), "roc_auc", "pr_auc")
+    """Areas, tuned threshold, and F1 overall and by cluster of each variant, on a fold that none has seen."""
+    f = _features(spark, sf)
+    base = models.out_of_fold(models.design(f, FEATURES).select("id", "y", "fold", "features"), 3)
+    f = f.join(base.select("id", V.base_logit(F.col("score")).alias("base_logit")), "id").withColumn("cluster", F.pmod("id", F.lit(4)).cast("int"))
+    f, out = written(f.withColumns({f"cluster_{i}": (F.col("cluster") == i).cast("double") for i in range(4)}), scratch(spark)), None
+    for name, (kind, columns) in models.variants(["base_logit"], C.GROUPS, FEATURES, [f"cluster_{i}" for i in range(4)]).items():
+        d = models.design(f, columns, scale=kind == "lr")
+        r = written(models.score(models.fitted(d.where("fold > 0"), kind), d.where("fold = 0")).select("y", "score", "cluster"), scratch(spark))
+        best = M.best_threshold(r)
+        by = M.confusion(r.crossJoin(F.broadcast(best.select("threshold"))), F.col("threshold"), ("cluster",)).agg(F.avg("f1").alias("macro_f1"), F.min("f1").alias("worst_f1"))
+        r = M.auc(r).crossJoin(best).crossJoin(by).select(F.lit(name).alias("variant"), F.lit(kind).alias("kind"), "roc_auc", "pr_auc", "threshold", "f1", "macro_f1", "worst_f1")
         out = r if out is None else out.unionByName(r)
     return out
 
@@ -889,12 +926,37 @@ def model_coefficients(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(models.coefficients(m, FEATURES), "feature string, weight double")
 
 
+DIMS, REGIONS = 128, 8
+
+
+def hashed_vectors(p: DataFrame) -> DataFrame:
+    """va and vb: unit vectors of the tokens t1 and t2, hashed to DIMS places. The encoder's stand-in."""
+    place = lambda t: F.pmod(F.xxhash64(t), F.lit(DIMS)).cast("int")
+    vector = lambda c: F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.size(F.filter(F.transform(c, place), lambda k: k == i)).cast("double"))
+    return p.withColumns({"va": V.unit(vector(F.col("t1"))), "vb": V.unit(vector(F.col("t2")))})
+
+
 @query()
 def explained_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    p = text_pairs(spark, sf)
-    f = explain.signals(C.constraint_features(lexical_features(p).drop("n1", "n2", "t1", "t2")))
-    f = f.select("id", F.col("char3_jaccard").alias("score"), F.col("word_jaccard").alias("base"), F.col("content_jaccard").alias("cosine"), F.lit(0.1).alias("margin"), "signals")
-    return explain.rationale(explain.decide(f, 0.35, 0.32), 0.35)
+    """Adjacent turns: base and final score of fitted models, region, extracted items, signals, what-ifs and a rationale."""
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question1"), "role")
+    p = c.join(c.select((F.col("id") - 1).alias("id"), F.col("question1").alias("question2"), F.col("role").alias("other")), "id")
+    p = p.select("id", "question1", "question2", (F.col("role") == "user").cast("int").alias("y"))
+    f = written(hashed_vectors(with_tokens(explain.extracted(explain.signals(C.constraint_features(lexical_features(p)))))).drop("n1", "n2", "t1", "t2", "a1", "a2"), scratch(spark))
+    cents = clusters.kmeans(f.select(V.midpoint(F.col("va"), F.col("vb")).alias("m")), "m", REGIONS, range(1, 2))
+    f = f.withColumn("_m", V.midpoint(F.col("va"), F.col("vb")))
+    f = written(clusters.assign(f, "_m", cents).withColumn("cosine", V.cosine(F.col("va"), F.col("vb"))).drop("_m", "second", "cos_assigned", "va", "vb"), scratch(spark))
+    lexical = [*FEATURES, "cosine"]
+    base = models.score(models.logistic(models.design(f, lexical, scale=False), 1.0), models.design(f, lexical, scale=False)).select("id", F.col("score").alias("base"))
+    f = written(f.join(base, "id").withColumn("base_logit", V.base_logit(F.col("base"))), scratch(spark))
+    columns = ["base_logit", *dict.fromkeys(c for g in C.GROUPS.values() for c in g)]
+    model = models.logistic(models.design(f, columns, scale=False), 1.0)
+    scorer = lambda df: models.score(model, models.design(df, columns, scale=False))
+    effects = explain.what_if(f.select("id", *columns), scorer)
+    tau, base_tau = (M.best_threshold(s).head().threshold for s in (scorer(f.select("id", "y", *columns)), f.select("y", F.col("base").alias("score"))))
+    out = f.join(scorer(f.select("id", *columns)).select("id", "score"), "id").join(explain.strong_effects(effects), "id", "left")
+    out = explain.rationale(explain.decide(out, tau, base_tau), tau, base_tau)
+    return out.select("id", "score", "decision", "borderline", "base", "base_decision", "cosine", "cluster", "margin", "near_boundary", "items_a", "items_b", "signals", "strong", "rationale")
 
 
 @query()

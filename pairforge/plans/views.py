@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.text import STOP_WORDS, TOKEN, WORD, identity_key, text_of
 from pairforge.functions.vectors import dot, doubles
+from pairforge.session import join_groups
 
 NEIGHBOURS = 8
 
@@ -25,8 +26,10 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = d.select(*[F.col(c).alias(f"a_{c}") for c in d.columns]), d.select(*[F.col(c).alias(f"b_{c}") for c in d.columns])
     cols = lambda first, one, two: (first.alias("id"), F.col(f"{one}_text").alias("question1"), F.col(f"{two}_text").alias("question2"), (F.col("a_key") == F.col("b_key")).cast("int").alias("is_duplicate"), (F.col("a_lang") == F.col("b_lang")).cast("int").alias("same_lang"))
     following = a.join(b, F.col("b_doc_id") == F.col("a_doc_id") + 1).select(*cols(F.col("a_doc_id"), "a", "b"))
-    first = d.groupBy("key").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("a_key"), "keep")
-    copies = a.join(first, "a_key").where("a_doc_id != keep").join(b, F.col("b_doc_id") == F.col("keep")).select(*cols(F.lit(10**12) + F.col("a_doc_id"), "b", "a"))
+    # Each repeated text's first row, met by its copies without moving those of texts with very many.
+    first = d.groupBy("key").agg(F.min("doc_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("a_key"), "keep", "n")
+    first = first.join(b, F.col("b_doc_id") == F.col("keep"))
+    copies = join_groups(a, first, ["a_key"], "n", d.count()).where("a_doc_id != keep").select(*cols(F.lit(10**12) + F.col("a_doc_id"), "b", "a"))
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text"))
     turns = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next")), ["conv_id", "turn"])
     turns = turns.select((F.lit(2 * 10**12) + F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("question1"), F.col("next").alias("question2"), (identity_key(F.col("text")) == identity_key(F.col("next"))).cast("int").alias("is_duplicate"), F.lit(0).alias("same_lang"))

@@ -9,7 +9,7 @@ from pairforge.functions import constraints as C
 from pairforge.functions import text as X
 from pairforge.functions import vectors as V
 from pairforge.functions.lexical import FEATURES, lexical_features
-from pairforge.operators import audit, clusters, explain, graph, resample, splits, tfidf, thresholds
+from pairforge.operators import audit, clusters, explain, graph, models, replicates, resample, splits, tfidf, thresholds
 from pairforge.operators import metrics as M
 from pairforge.sources import tables
 
@@ -180,9 +180,22 @@ def test_split_strategies(toy):
     assert p["train"] ** 2 / p["val"] ** 2 == pytest.approx(8)
     with pytest.raises(ValueError):
         splits.make_split(toy, "none")
-    folds = splits.group_folds([(str(i), 1 + i % 5) for i in range(300)], 5, 1)
-    load = [sum(1 + int(g) % 5 for g, f in folds.items() if f == k) for k in range(5)]
-    assert max(load) - min(load) <= 5
+
+
+def test_group_folds_equal_one_group_after_another(spark):
+    from hashlib import md5
+
+    for sizes in ([1 + i % 5 for i in range(300)], [900, 40, 40, *[3] * 50, *[1] * 200], [7], [10**6, 1, 1], [5] * 23):
+        groups = [(str(i), n) for i, n in enumerate(sizes)]
+        got = {r.component: r.fold for r in splits.group_folds(spark.createDataFrame(groups, "component string, pairs long"), 5, 1).collect()}
+        load = [0] * 5
+        for g, n in sorted(groups, key=lambda x: (-x[1], md5(f"1|{x[0]}".encode()).hexdigest())):
+            f = load.index(min(load))
+            assert got[g] == f
+            load[f] += n
+    assert splits.group_folds(spark.createDataFrame([], "component string, pairs long"), 5, 1).count() == 0
+    segments = splits.fold_segments([(10**9, 1), (1, 10**10)], 5)  # few, however many groups there are
+    assert sum(map(len, segments.values())) < 20 and segments[1][-1][1] == 10**10
 
 
 def test_audit(spark):
@@ -232,24 +245,105 @@ def test_registered_with_the_reference_replicates(spark, monkeypatch):
     from pairforge.plans import catalog
 
     asked = {}
-    frame = spark.createDataFrame([(i, 1, 0.5, 0.5, 0) for i in range(4000)], "id int, y int, score double, score_b double, cluster int")
+    frame = spark.createDataFrame([(i, 1, 0.5, 0.5, 0) for i in range(40)], "id int, y int, score double, score_b double, cluster int")
     for name in ("cluster_bootstrap", "paired_bootstrap", "averaged_bootstrap", "partition_null", "threshold_reliability"):
-        monkeypatch.setattr(catalog.resample, name, lambda df, *a, n=name: asked.update({n: a}) or df)
+        monkeypatch.setattr(catalog.replicates, name, lambda df, *a, n=name: asked.update({n: a}) or df)
     monkeypatch.setattr(catalog.clusters, "silhouette", lambda df, *a: asked.update(silhouette=a) or df)
     monkeypatch.setattr(catalog, "scored", lambda *a: frame)
     monkeypatch.setattr(catalog, "labelled", lambda *a: frame)
-    monkeypatch.setattr(catalog, "_features", lambda *a: frame.withColumn("fold", F.col("id") % 2))
-    monkeypatch.setattr(catalog.models, "design", lambda f, *a, **k: f)
-    monkeypatch.setattr(catalog.models, "boosted", lambda f: None)
-    monkeypatch.setattr(catalog.models, "score", lambda m, f: f)
-    monkeypatch.setattr(catalog.M, "auc", lambda f: spark.createDataFrame([(0.5, 0.5)], "roc_auc double, pr_auc double"))
-    for name in ("cluster_bootstrap_1000", "paired_bootstrap_1000", "averaged_bootstrap", "random_partition_null_500", "threshold_reliability_300", "silhouette_sample_20000"):
+    for name in ("cluster_bootstrap_1000", "paired_bootstrap_1000", "averaged_bootstrap_1000", "random_partition_null_500", "threshold_reliability_300", "silhouette_sample_20000"):
         catalog.QUERIES[name](spark, "")
     assert asked == {
         "cluster_bootstrap": (0.5, 1000), "paired_bootstrap": (0.5, 0.51, 1000), "averaged_bootstrap": (1000,), "partition_null": (0.5, 500),
         "threshold_reliability": ([100, 250, 500, 1000, 2000, 4000], 300), "silhouette": ("embedding", "cluster", "vec_id", 20000, 1),
     }
-    assert [v.variant for v in catalog.QUERIES["boosted_variants"](spark, "").collect()] == ["full", *(f"without_{g}" for g in catalog._GROUPS)]
+    made = models.variants(["base_logit"], C.GROUPS, ["word_jaccard"], ["c0", "c1"])
+    assert len(made) == 7 + 2 * len(C.GROUPS) and made["recal"] == ("lr", ["base_logit"]) and "neg_xor" not in made["minus_negation"][1] and made["trees_minus_number"][0] == "trees"
+    assert set(made["constraints"][1]) - set(made["no_specificity"][1]) == set(C.GROUPS["specificity"])
+
+
+def test_counts_draw_as_rows_do(spark):
+    """Replicates of counts have the distribution of replicates of rows; metrics of counts are those of the rows they stand for."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    rows = [(i, int(y), float(np.clip(0.3 + 0.3 * y + s, 0, 1)), float(np.clip(0.25 + 0.4 * y + t, 0, 1)), i % 3) for i, (y, s, t) in enumerate(zip(rng.integers(0, 2, 900), rng.normal(0, 0.2, 900), rng.normal(0, 0.2, 900), strict=True))]
+    df = spark.createDataFrame(rows, "id int, y int, score double, score_b double, cluster int").cache()
+    a, b = (sorted(m.cluster_bootstrap(df, 0.5, 300).collect(), key=lambda r: r.cluster) for m in (resample, replicates))
+    for x, y in zip(a, b, strict=True):
+        assert x.cluster == y.cluster and all(abs(x[c] - y[c]) < 0.04 for c in ("f1_low", "f1_high", "f1_std"))
+    x, y = resample.paired_bootstrap(df, 0.5, 0.51, 300).head(), {r.metric: r for r in replicates.paired_bootstrap(df, 0.5, 0.51, 300).collect()}
+    assert abs(x.gain - y["f1"].gain_mean) < 0.01 and abs(x.gain_low - y["f1"].gain_low) < 0.03 and set(y) == {"f1", "precision", "recall", "macro_cluster_f1", "worst_cluster_f1", "fpr", "fnr", "roc_auc", "pr_auc"}
+    whole = M.auc(df).head().pr_auc, M.auc(df.withColumn("score", F.col("score_b"))).head().pr_auc
+    assert abs(y["pr_auc"].gain_mean - (whole[1] - whole[0])) < 0.02
+    x, y = resample.partition_null(df, 0.5, 200).head(), {r.metric: r for r in replicates.partition_null(df, 0.5, 200).collect()}
+    assert abs(x.observed - y["f1"].observed) < 1e-9 and abs(x.null_mean - y["f1"].null_mean) < 0.01 and abs(x.p_value - y["f1"].p_value) < 0.15 and set(y) == {"f1", "tau", "roc_auc"}
+    x, y = ({(r.size): r for r in got.collect()} for got in (resample.threshold_reliability(df, [200, 600], 200), replicates.threshold_reliability(df, [200, 600, 5000], 200).where("cluster is null")))
+    assert set(x) == set(y) and all(abs(x[n].tau_std - y[n].tau_std) < 0.03 and abs(x[n].regret_mean - y[n].regret_mean) < 0.01 for n in x)
+    k, y_, n = np.array([-1, 3, 50, 50, 100]), np.array([1, 0, 1, 0, 1]), np.array([2, 3, 4, 1, 2])
+    hist = replicates.on_grid(k, y_, n)
+    tall = [(int(a), int(b)) for a, b, c in zip(k, y_, n, strict=True) for _ in range(c)]
+    taus, f1 = replicates.curve(hist)
+    for t in (0, 3, 4, 50, 51, 100):
+        tp, said = sum(b for a, b in tall if a >= t), sum(a >= t for a, _ in tall)
+        assert f1[t] == pytest.approx(2 * tp / (said + 8))
+    roc, pr = replicates.areas(hist)
+    pairs = [(p, q) for p, l in tall if l for q, m in tall if not m]
+    assert roc == pytest.approx(sum((p > q) + (p == q) / 2 for p, q in pairs) / len(pairs)) and replicates.best(hist) == taus[f1.argmax()]
+    want = sum(sum(b for a, b in tall if a == t) * sum(b for a, b in tall if a >= t) / sum(a >= t for a, _ in tall) for t in {a for a, _ in tall}) / 8
+    assert pr == pytest.approx(want)
+    got = replicates.averaged_bootstrap(df.select("id", "y", F.explode(F.array(*[F.struct(F.lit(i).alias("rep"), (F.col("score") >= t).cast("int").alias("pred")) for i, t in enumerate((0.4, 0.6))])).alias("r")).select("id", "y", "r.*"), 200).head()
+    assert got.f1_low < np.mean([M.confusion(df, t).head().f1 for t in (0.4, 0.6)]) < got.f1_high
+    monkeypatch = pytest.MonkeyPatch()
+    monkeypatch.setattr(replicates, "MOST_CELLS", 3)
+    with pytest.raises(ValueError):
+        replicates.cluster_bootstrap(df, 0.5, 2)
+    monkeypatch.undo()
+
+
+def test_repetitions_equal_one_cross_fit_after_another(spark):
+    rows = [(i, int(i * 7 % 5 < 2), (i * 37 % 101) / 101, i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, y int, score double, cluster int")
+    got = {r.rep: r.f1 for r in thresholds.repetitions(df, 3, 4, 40, 5).collect()}
+    for rep in range(3):
+        folded = df.withColumn("fold", F.pmod(resample.uniform(rep, F.col("id")), F.lit(4)).cast("int"))
+        assert got[rep] == pytest.approx(M.decision_metrics(thresholds.cross_fit(folded, 4, 40, 5)[0]).head().f1)
+
+
+def test_choices(spark):
+    gains = {("all", "less"): (0.01, 0.001), ("all+", "all"): (0.004, 0.001), ("all trees", "all"): (0.02, 0.01), ("less+", "less"): (0.01, -0.001), ("less trees", "less"): (0.01, -0.1)}
+    richer = {"all": ("all+", "all trees"), "less": ("less+", "less trees")}
+    assert thresholds.choose_stepwise("all", "less", richer, gains) == "all trees"
+    assert thresholds.choose_stepwise("all", "less", richer, gains | {("all", "less"): (0.01, 0.0)}) == "less"
+
+
+def test_half_precision(spark):
+    import numpy as np
+
+    xs = [0.0, -0.0, 1.0, -1.0, 1 / 3, 2**-14, 2**-24, 2**-25, 3 * 2.0**-25, 1e-9, 65504.0, 65519.0, 65520.0, 1e30, 2049.0, 2051.0, 0.1, -123.456, 2**-14 - 2**-25, 1 - 2**-12, *np.random.default_rng(1).normal(size=400).tolist()]
+    got = [r.h for r in spark.createDataFrame(list(enumerate(xs)), "i int, x double").select("i", V.half(F.col("x")).alias("h")).orderBy("i").collect()]
+    with np.errstate(over="ignore"):
+        assert got == [float(np.float16(x)) for x in xs]
+
+
+def test_error_reports(spark):
+    df = spark.createDataFrame([(1, 0, 0.9), (2, 0, 0.6), (3, 0, 0.2), (4, 1, 0.1), (5, 1, 0.4), (6, 1, 0.8), (7, 0, 0.6)], "id int, y int, score double")
+    assert [(r.kind, r["rank"], r.id) for r in M.confident_errors(df, 0.5, 2).collect()] == [("FP", 1, 1), ("FP", 2, 2), ("FN", 1, 4), ("FN", 2, 5)]
+    t = spark.createDataFrame([(0, 0, 1, "FP", 0.7, True), (0, 0, 0, "TN", 0.9, False), (0, 1, 0, "FN", 0.1, True), (1, 1, 1, "TP", 0.2, False)], "cluster int, y int, pred int, outcome string, jaccard double, tag boolean")
+    got = {r.cluster: r for r in M.cluster_tag_rates(t, ["tag"]).collect()}
+    assert tuple(got[0])[1:] == (3, 1.0, 1.0, 1.0, 0.5, 1.0) and got[1].fp_with_tag is None and got[1].fnr_low_overlap == 0.0
+    assert {r.feature: r.rate for r in M.rate_profile(spark.createDataFrame([(1.0, 0.0, 9.0), (0.0, 0.0, 9.0)], "neg_xor double, num_mismatch double, num_any double")).collect()} == {"neg_xor": 0.5, "num_mismatch": 0.0}
+    assert audit.repeated_id_pairs(spark.createDataFrame([(1, 2), (2, 1), (1, 3)], "qid1 int, qid2 int")).head() == (3, 1)
+
+
+def test_split_reports(toy):
+    made = splits.node_split(toy, 7)
+    rows = {r.split: r for r in splits.profile_report(made).collect()}
+    assert sum(r.pairs for r in rows.values()) == made.count() and rows[splits.DROPPED].share_of_retained is None
+    for r in rows.values():
+        assert r.isolated + r.small + r.medium + r.large == pytest.approx(1) and r.retention == pytest.approx(1 - rows[splits.DROPPED].pairs / made.count())
+    both = made.withColumns({"loose_a": F.col("key_a"), "loose_b": F.col("key_b")})
+    assert {(r.key, r.split, r.reference): r.shared for r in splits.overlap_report(both).collect()} == {(k, s, r): 0 for k in ("strict", "loose") for s, r in (("val", "train"), ("test", "train"), ("test", "val"))}
 
 
 def test_full_resampling_equals_brute_force(spark):
@@ -290,6 +384,11 @@ def test_explanations(spark):
         explain.what_if(C.constraint_features(p), lambda d: d.withColumn("score", F.lit(0.5)), ["specificity"])
     w = explain.what_if(C.constraint_features(p), lambda d: d.withColumn("score", F.col("num_mismatch") / 2), ["number"]).collect()
     assert [(r.id, r.effect) for r in w] == [(1, 0.5)]
+    f = explain.extracted(explain.signals(C.constraint_features(p))).join(explain.strong_effects(explain.what_if(C.constraint_features(p), lambda d: d.withColumn("score", F.col("num_mismatch") / 2), ["number"])), "id", "left")
+    f = f.withColumns({"score": F.col("num_mismatch") / 2, "base": F.lit(0.2), "cosine": F.lit(0.7), "margin": F.lit(0.01)})
+    said = {r.id: r for r in explain.rationale(explain.decide(f, 0.48, 0.1), 0.48, 0.1).collect()}
+    assert len(said[1].rationale) == 5 and "0.00, not 0.50" in said[1].rationale[2] and "but close" in said[1].rationale[3] and said[1].decision and said[1].items_a.numbers == ["5"]
+    assert len(said[2].rationale) == 4 and said[2].rationale[1] == "There is no signal." and not said[2].decision and said[2].near_boundary
 
 
 def test_sources(spark, tmp_path):
