@@ -197,13 +197,16 @@ def with_statistics(documents: DataFrame) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id long, stats array<float>")
 
 
-def train(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Trees:
-    """Fits trees to labels.quality of the documents whose crc32(doc_id as text) mod 5 is not 0."""
+def sampled(labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """doc_id, y: about max_labelled labels at most of the documents whose crc32(doc_id as text) mod 5 is not 0, by a hash of their id."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     labels = labels.where(F.col("y").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     n = labels.count()
-    if n > max_labelled:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * (max_labelled / n)))
+    return labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * (max_labelled / n))) if n > max_labelled else labels
+
+
+def train(stats: DataFrame, labels: DataFrame) -> Trees:
+    """Fits trees to sampled labels."""
     rows = stats.join(labels, "doc_id").select("doc_id", "y", "stats").toArrow()
     order = np.lexsort((rows.column("y").to_numpy(), rows.column("doc_id").to_numpy()))  # one result however rows arrive
     x = rows.column("stats").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATS))
@@ -215,11 +218,12 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null texts are empty; these have statistics too and so a score. A row without doc_id is scored and not held out.
     Labels other than 0 and 1 are left out; without labels, or with one kind only, all scores are equal.
-    Repeated rows are scored each, repeated labels count each; other columns are ignored.
+    Repeated rows are scored each, repeated labels count each; empty tables give empty results; texts are read whole,
+    however long; other columns are ignored, whatever their names.
     """
     spark = ready(documents.sparkSession)
     stats = written(with_statistics(documents), f"{scratch(spark)}/stats")
-    trees = spark.sparkContext.broadcast(train(stats, labels))
+    trees = spark.sparkContext.broadcast(train(stats, sampled(labels)))
 
     def scan(batches):
         for batch in batches:
@@ -232,11 +236,16 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents, with all their columns, that are predicted 1. Rows are judged one by one by their text."""
+    """The rows of documents, with all their columns, that are predicted 1.
+
+    Rows are judged one by one by their text, null as empty, so ids may repeat or be null and columns may have any name.
+    """
     spark = ready(documents.sparkSession)
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    trees = spark.sparkContext.broadcast(train(with_statistics(documents).join(ids, "doc_id", "left_semi"), labels))
-    at = documents.columns.index("text")
+    own = written(sampled(labels), f"{scratch(spark)}/labels")
+    asked = F.broadcast(own.select("doc_id").distinct())  # about MAX_LABELLED ids at most
+    learned = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).join(asked, "doc_id", "left_semi")
+    trees = spark.sparkContext.broadcast(train(with_statistics(learned), own))
+    at = [c.lower() for c in documents.columns].index("text")
 
     def scan(batches):
         for batch in batches:
