@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": secret_scan.ORACLE, "op7_exact_duplicates": exact_dedup.ORACLE}
+    return {"op1_secrets": secret_scan.ORACLE, "op7_exact_duplicates": exact_dedup.ORACLE, "op10_decontamination": decontam.ORACLE}
