@@ -23,6 +23,8 @@ from pairforge.llm.vectext import Known, hashed, pieces, words
 MAX_LABELLED = 400
 ROUNDS, FLOOR, UNKNOWN = 4, 0.01, -16.0
 CACHE = 500_000
+#: Words of more bytes (texts without blanks) are scored in one pass along the word, and cut for learning.
+LONG = 512
 _MARK = "▁"
 
 #: Bytes of words: letters after lower-casing and everything outside ASCII.
@@ -109,6 +111,49 @@ class Lattice:
         return alpha
 
 
+    def forward_long(self, word: bytes, logp: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+        """The log chances of one long word, blank included: what forward() gives, in time and memory in proportion to its length."""
+        data, length = np.frombuffer(word, np.uint8), len(word)
+        begins = np.append((data & 0xC0) != 0x80, True)
+        chars = np.flatnonzero(begins)
+        alpha = np.full((length + 1, logp.shape[1]), -np.inf)
+        alpha[0] = 0
+        for lo in range(0, length, block):
+            at = chars[(chars >= lo) & (chars < min(lo + block, length))]
+            after = chars[np.searchsorted(chars, at) + 1]
+            alone = np.zeros(len(at), bool)
+            starts, ends, pieces_ = [], [], []
+            for size, (keys, ids) in self.by_len.items():
+                who = np.flatnonzero(at + size <= length)
+                who = who[begins[at[who] + size]]
+                h = hashed(data, at[who], at[who] + size)
+                place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = keys[place] == h
+                who = who[hit]
+                alone[who] |= at[who] + size == after[who]
+                starts.append(at[who]), ends.append(at[who] + size), pieces_.append(ids[place[hit]])
+            other = np.flatnonzero(~alone)
+            starts.append(at[other]), ends.append(after[other]), pieces_.append(np.full(len(other), self.size))
+            s, e, p = (np.concatenate(x) for x in (starts, ends, pieces_))
+            order = np.argsort(s, kind="stable")
+            s, e, weight = s[order], e[order], logp[p[order]]
+            cut = np.append(np.flatnonzero(np.append(True, s[1:] != s[:-1])), len(s)).tolist()
+            for i, j in zip(cut[:-1], cut[1:], strict=True):  # from one place no two pieces end alike
+                to = e[i:j]
+                alpha[to] = np.logaddexp(alpha[to], alpha[s[i]] + weight[i:j])
+        return alpha[length]
+
+
+def parted(word: bytes, most: int = LONG) -> list[bytes]:
+    """A word cut into parts of at most `most` bytes, between characters."""
+    out = []
+    while len(word) > most:
+        n = next(k for k in range(most, 0, -1) if word[k] & 0xC0 != 0x80)
+        out.append(word[:n])
+        word = word[n:]
+    return [*out, word]
+
+
 def by_length(texts: list[bytes], most: int = 2_000_000):
     """Words with the blank before them as matrices of one length, and their places."""
     lens = np.array([len(t) for t in texts])
@@ -128,7 +173,11 @@ def learn(counts: dict[str, dict[bytes, int]], vocab: list[bytes]) -> tuple[list
     logp[-1] = UNKNOWN
     kept: dict[int, list] = {}
     for l, lang in enumerate(langs):
-        texts, weights = list(counts[lang]), np.array(list(counts[lang].values()), np.float64)
+        cut: dict[bytes, int] = {}
+        for word, n in counts[lang].items():
+            for part in parted(word) if len(word) > LONG else [word]:
+                cut[part] = cut.get(part, 0) + n
+        texts, weights = list(cut), np.array(list(cut.values()), np.float64)
         stored: list[tuple[np.ndarray, int, int, list]] = []
         for part, matrix in by_length(texts):
             keep: list = []
@@ -183,8 +232,12 @@ class Scorer:
             base = len(self.known)
             while base + len(missing) > len(self.values):
                 self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-            for part, matrix in by_length(texts):
-                self.values[base + part] = self.lattice.forward(matrix, self.logp)[-1]
+            short = np.array([i for i, t in enumerate(texts) if len(t) <= LONG], np.int64)
+            for part, matrix in by_length([texts[i] for i in short.tolist()]):
+                self.values[base + short[part]] = self.lattice.forward(matrix, self.logp)[-1]
+            for i, t in enumerate(texts):
+                if len(t) > LONG:
+                    self.values[base + i] = self.lattice.forward_long(b" " + t, self.logp)
             numbers[missing] = self.known.add(h[missing])
         each = self.values[numbers[inverse]]
         return np.column_stack([np.bincount(s.row, each[:, j], n) for j in range(k)])
@@ -231,7 +284,9 @@ def identify(documents: DataFrame, vocabulary_path: str, max_labelled: int = MAX
 
     score is the chance of lang_pred among the learned languages, all equally likely before. Null texts and texts
     without letters are und with score 0, and so is every text if no language can be learned. Rows that repeat are
-    scored each; a row without doc_id is not learned from and not held out. Other columns are ignored.
+    scored each; a row without doc_id is not learned from and not held out. Empty tables give empty results; texts
+    are read whole, however long, also without blanks. The model has a column for each value of lang, which must be
+    few (languages). Other columns are ignored, whatever their names.
     """
     spark = ready(documents.sparkSession)
     docs = as_text(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")))
