@@ -14,15 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairforge.llm import bitfilter
 from pairforge.llm.shared import as_text, ready, scratch, written
-from pairforge.llm.vectext import NOT_SPACE, grams, mix, pieces, words
+from pairforge.llm.vectext import NOT_SPACE, grams, pieces, words
 
 #: Lines of a chunk.
 ROLL = 2
 #: A line of so many words is long and counts alone.
 LONG_WORDS = 40
-#: Bits of the filter of repeated hashes: 4 MB, whatever the input; when full it passes all chunks.
-FILTER_BITS = 1 << 25
 _NOT_BREAK = np.ones(256, bool)
 _NOT_BREAK[10] = False
 
@@ -43,19 +42,6 @@ def chunked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[first], line[first], start[first], end[last], h[order]
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (mix(h.view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _bits(batches):
-    held = np.zeros(FILTER_BITS, bool)
-    for batch in batches:
-        held[_slot(batch.column(0).to_numpy(zero_copy_only=False))] = True
-    packed = np.packbits(held, bitorder="little").reshape(-1, 4096)
-    for i in np.flatnonzero(packed.any(axis=1)).tolist():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed[i].tobytes()], pa.binary())], names=["page", "bits"])
-
-
 def keyed(documents: DataFrame) -> DataFrame:
     docs = as_text(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return docs.withColumns({"row": F.xxhash64("doc_id", "text"), "tag": F.xxhash64(F.lit(1), "text", "doc_id")})
@@ -76,18 +62,14 @@ def repeats(documents: DataFrame) -> DataFrame:
                 *_, h = chunked(data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
-    counted = docs.select("text").mapInArrow(hashes, "h long").groupBy("h").count().where("count > 1").select("h")
-    held = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in counted.mapInArrow(_bits, "page int, bits binary").toLocalIterator():
-        held[r.page * 4096 : (r.page + 1) * 4096] |= np.frombuffer(r.bits, np.uint8)
-    filter_ = spark.sparkContext.broadcast(held)
+    counted = written(docs.select("text").mapInArrow(hashes, "h long").groupBy("h").count().where("count > 1").select("h"), f"{path}/counted")
+    filter_ = bitfilter.made(counted, counted.count())
 
     def texts(batches):
         for batch in batches:
             for lo, _, data, offsets in pieces(batch.column(1)):
                 row, line, start, end, h = chunked(data, offsets)
-                slot = _slot(h)
-                keep = np.flatnonzero((filter_.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+                keep = np.flatnonzero(bitfilter.passes(filter_.value, h))
                 raw = data.tobytes()
                 at = pa.array(row[keep] + lo)
                 base = offsets[row[keep]]
@@ -125,7 +107,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
 
     Chunks that overlap are one passage. A passage is removed with the line break after it, or at the end of a text the one before it. A null text is empty,
     as may be what stays of a text; rows that repeat with id and text are one document and keep and lose the same
-    chunks. Other columns are ignored.
+    chunks. Empty tables give empty results; texts are read whole, however long; other columns are ignored, whatever their names.
     """
     ready(documents.sparkSession)
     docs = keyed(documents)

@@ -6,29 +6,32 @@ for a set of many elements a few rounds do; the share of equal coordinates of tw
 similarity of their sets with the concentration of T independent samples. (Dahlgaard, Knudsen, Thorup: Fast
 similarity sketching, FOCS 2017.)
 
-Documents with one set form a class, and one document stands for it. Classes that agree on all R coordinates of a
-band share a bucket. Each member of a bucket is verified against the bucket's leader on full sets; groups that
-links to leaders leave in several components are then verified pair by pair between these components, in blocks.
+Documents with one set (equal in size and in a digest of 128 bits over all its elements) form a class, and one of them
+stands for it. Classes that agree on all R coordinates of a band share a bucket. Each member of a bucket is verified
+against the bucket's leader on full sets; groups that links to leaders leave in several components are then verified
+pair by pair between these components, in blocks.
 Two sets of similarity 0.8 share no bucket with a chance of (1 - 0.8^R)^(T/R) < 5e-8.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.shared import as_text, join_groups, ready, scratch, written
+from pairforge.llm import bitfilter
+from pairforge.llm.shared import as_text, join_groups, ready, removed, scratch, wrapped, written
 from pairforge.llm.vectext import FOLD, NOT_SPACE, gram_at, mix, pieces, words
+from pairforge.operators import graph
 
 T, R = 128, 4
 #: Words of a shingle unless a caller says otherwise, and the least similarity of a link.
 SHINGLE, PERCENT = 5, 80
 #: Elements of the sets that one block of a group may hold, and cells of one matrix.
-BLOCK_ELEMENTS, CELLS = 1_000_000, 1 << 25
-#: Bits of the filter of documents in buckets: 4 MB, whatever the input; when full it passes all documents.
-FILTER_BITS = 1 << 25
+BLOCK_ELEMENTS, CELLS = 1_000_000, 1 << 23
 #: Members of a leader that one task verifies.
 SALTED = 5000
 
@@ -82,10 +85,10 @@ def _sketch(batches, shingle: int):
             row, h = shingled(data, offsets, shingle)
             size = np.bincount(row, minlength=n)
             sizes.append(size)
-            for acc, seed in ((one, 1), (two, 0x5851F42D4C957F2D)):
-                total = np.zeros(n, np.uint64)
-                np.add.at(total, row, mix(h ^ np.uint64(seed)))
-                acc.append(total)
+            raw, ends = memoryview(h.tobytes()), (8 * np.cumsum(size)).tolist()
+            digest = b"".join(blake2b(raw[a:b], digest_size=16).digest() for a, b in zip([0, *ends[:-1]], ends, strict=True))
+            one.append(np.frombuffer(digest, np.int64)[::2])
+            two.append(np.frombuffer(digest, np.int64)[1::2])
             sk = sketches(row, h, n)
             b = np.zeros((n, T // R), np.uint64)
             for i in range(R):
@@ -95,45 +98,16 @@ def _sketch(batches, shingle: int):
             continue
         size, b = np.concatenate(sizes), np.concatenate(bands)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, T // R, 0))]), pa.int32()), pa.array(b[size > 0].ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64)), lists], names=["doc_id", "n_shingles", "one", "two", "bands"])
-
-
-def _slots(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
-def _bits(batches):
-    held = np.zeros(FILTER_BITS, bool)
-    for batch in batches:
-        held[_slots(batch.column(0).to_numpy(zero_copy_only=False))] = True
-    packed = np.packbits(held, bitorder="little").reshape(-1, 4096)
-    for i in np.flatnonzero(packed.any(axis=1)).tolist():
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed[i].tobytes()], pa.binary())], names=["page", "bits"])
-
-
-def _or(batches):
-    pages: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for page, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            got = np.frombuffer(bits, np.uint8)
-            pages[page] = pages[page] | got if page in pages else got
-    for page, bits in pages.items():
-        yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names=["page", "bits"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(np.concatenate(one)), pa.array(np.concatenate(two)), lists], names=["doc_id", "n_shingles", "one", "two", "bands"])
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, items) of the documents of ids: a filter of bounded size leaves out most others before rows move."""
-    spark = docs.sparkSession
-    pages = ids.select("doc_id").mapInArrow(_bits, "page int, bits binary").repartition(8, "page").mapInArrow(_or, "page int, bits binary")
-    held = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in pages.toLocalIterator():
-        held[r.page * 4096 : (r.page + 1) * 4096] |= np.frombuffer(r.bits, np.uint8)
-    filter_ = spark.sparkContext.broadcast(held)
+    filter_ = bitfilter.made(ids.select("doc_id"), ids.count())
 
     def scan(batches):
         for batch in batches:
-            slot = _slots(batch.column(0).to_numpy(zero_copy_only=False))
-            batch = batch.filter(pa.array((filter_.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0))
+            batch = batch.filter(pa.array(bitfilter.passes(filter_.value, batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
             for lo, hi, data, offsets in pieces(batch.column(1)):
                 row, h = shingled(data, offsets, shingle)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=hi - lo))])
@@ -189,26 +163,9 @@ def _between(table):
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
-def components(links: DataFrame, path: str) -> DataFrame:
-    """(doc_id, component_id) of all ends of links (a, b): the least id reachable.
-
-    Alternates large and small stars (Kiveris et al., Connected components in MapReduce and beyond, 2014), each
-    written to the shared folder, until the edges are stars around the least id.
-    """
-    edges = written(links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct(), f"{path}/0")
-    before = None
-    for i in range(1, 60):
-        both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.col("m").alias("lo"), F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"))
-        edges = written(small.where("lo < hi").distinct(), f"{path}/{i}")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).head()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
-    return edges.select(F.col("hi").alias("doc_id"), F.col("lo").alias("component_id")).unionByName(edges.select(F.col("lo").alias("doc_id"), F.col("lo").alias("component_id")).distinct())
+def components(links: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of all ends of links (a, b): the least id reachable."""
+    return graph.components(links, "a", "b").withColumnsRenamed({"key": "doc_id", "component": "component_id"})
 
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -216,7 +173,8 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     Null and empty texts and texts without words have an empty set and are linked with nothing. A row without doc_id
     is linked with nothing either: component_id is null and kept true. Rows that repeat a doc_id are one document
-    with several sets: they share a component. Other columns are ignored, whatever their names.
+    with several sets: they share a component. Empty tables give empty results; texts are read whole, however long.
+    Other columns are ignored, whatever their names.
     """
     spark, path = ready(documents.sparkSession), scratch(documents.sparkSession)
     docs = as_text(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
@@ -233,18 +191,18 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     met = written(banded.join(buckets, "band").select("leader", "doc_id").distinct(), f"{path}/met")
     docs = docs.where("doc_id is not null")
     # Sets of the representatives that share a bucket; a document of several sets has a row for each.
-    sets = written(sets_of(docs, met.select("doc_id").distinct(), shingle).where(F.size("items") > 0).distinct(), f"{path}/sets")
+    sets = written(sets_of(docs, written(met.select("doc_id").distinct(), f"{path}/asked"), shingle).where(F.size("items") > 0).distinct(), f"{path}/sets")
     pairs = met.where("doc_id != leader")
     salts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("salts"))
     leaders = sets.join(salts, sets.doc_id == salts.leader).select("leader", F.col("items").alias("other"), F.explode(F.sequence(F.lit(1), "salts")).alias("salt"), "salts")
-    asked = pairs.join(F.broadcast(salts.where("salts > 1")) if total // SALTED < 1_000_000 else salts.where("salts > 1"), "leader", "left")
+    asked = pairs.join(F.broadcast(salts.where("salts > 1")) if total * (T // R) // SALTED < 1_000_000 else salts.where("salts > 1"), "leader", "left")
     asked = asked.select("leader", "doc_id", (F.pmod(F.xxhash64("doc_id"), F.coalesce("salts", F.lit(1))) + 1).cast("int").alias("salt"))
     both = asked.join(sets, "doc_id").join(leaders.drop("salts"), ["leader", "salt"])
     inter = F.size(F.array_intersect("items", "other"))
     linked = both.select("leader", "doc_id", inter.alias("i"), (F.size("items") + F.size("other")).alias("n")).where(f"i > 0 and 100 * i >= {PERCENT} * (n - i)")
     links = written(linked.select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct(), f"{path}/links")
 
-    stars = components(links.unionByName(own.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))), f"{path}/stars")
+    stars = components(links.unionByName(own.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     placed = met.join(stars, "doc_id", "left").withColumn("component", F.coalesce("component_id", "doc_id")).drop("component_id")
     sized = sets.select("doc_id", F.size("items").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n"))
     placed = written(placed.join(sized, "doc_id"), f"{path}/placed")
@@ -255,13 +213,23 @@ def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     spread = spread.select("leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.col("block").alias("side"), "doc_id", "component")
     more = spread.join(sets, "doc_id").groupBy("leader", "i", "j").applyInArrow(_between, "a long, b long").distinct()
     links = stars.where("doc_id != component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).unionByName(more)
-    final = components(links, f"{path}/final")
+    final = components(links)
+    for used in ("classes", "own", "met", "asked", "sets", "links", "placed"):
+        removed(spark, f"{path}/{used}")
     out = base.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def kept(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of documents, with all their columns, that stay: one document of each component."""
-    gone = near_duplicates(documents, shingle).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return documents.join(gone, documents["doc_id"] == F.col("_gone"), "left_anti")
+    """The rows of documents, with all their columns, that stay: one of each component, that of the least doc_id.
+
+    Rows are told apart by their place where ids repeat or are null, so a row goes only if its own text is linked; the
+    first row of a component stays then. Rows without words all stay; columns may have any name.
+    """
+    spark = ready(documents.sparkSession)
+    rows = wrapped(documents)
+    if not documents.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        rows = written(rows.withColumn("doc_id", F.monotonically_increasing_id()), f"{scratch(spark)}/rows")
+    gone = near_duplicates(rows.select("doc_id", "text"), shingle).where("not kept").select("doc_id").distinct()
+    return rows.join(gone, "doc_id", "left_anti").select("r.*")
