@@ -44,8 +44,10 @@ STOP_WORDS = sorted(
 
 def _stable() -> str:
     """A class of characters that NFKC leaves alone in any order: below the combining marks and in the general punctuation."""
-    kept = [chr(c) for lo, hi in ((0, 0x300), (0x2010, 0x2028)) for c in range(lo, hi) if unicodedata.normalize("NFKC", chr(c)) == chr(c)]
-    return "".join(rf"\x{{{ord(c):X}}}" if not c.isalnum() else c for c in kept)
+    kept = [c for lo, hi in ((0, 0x300), (0x2010, 0x2028)) for c in range(lo, hi) if unicodedata.normalize("NFKC", chr(c)) == chr(c)]
+    ends = [c for c in kept if c + 1 not in set(kept)]
+    starts = [c for c in kept if c - 1 not in set(kept)]
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(starts, ends, strict=True))
 
 
 MAY_CHANGE = f"[^{_stable()}]"
@@ -58,7 +60,7 @@ def _composed(texts: pd.Series) -> pd.Series:
 
 def nfkc(t: Column) -> Column:
     """Unicode compatibility composition. Only texts with a character that it may change are sent to Python."""
-    return F.coalesce(_composed(F.when(t.rlike(MAY_CHANGE), t)), t)
+    return F.coalesce(_composed(F.when(t.rlike(r"[^\x00-\x7F]") & t.rlike(MAY_CHANGE), t)), t)
 
 
 def text_of(c: Column) -> Column:

@@ -48,7 +48,7 @@ def boosted(train: DataFrame, seed: int = 1):
 def mlp(train: DataFrame, hidden: int = 256, epochs: int = 25, seed: int = 42):
     """A network of one hidden layer for a fixed number of passes. MLlib's: sigmoid units and L-BFGS, no dropout."""
     d = train.head()["features"].size
-    return MultilayerPerceptronClassifier(labelCol="y", layers=[d, hidden, 2], maxIter=epochs, seed=seed).fit(train)
+    return MultilayerPerceptronClassifier(labelCol="y", layers=[d, hidden, 2], maxIter=epochs, tol=1e-4, blockSize=512, seed=seed).fit(train)
 
 
 def score(model, df: DataFrame) -> DataFrame:
