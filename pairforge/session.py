@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,10 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Scratch folders of this process, for tidy().
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir; a local master without that setting gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,7 +36,18 @@ def scratch(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = Path(tempfile.mkdtemp(prefix="pairforge-")).as_uri()
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/pairforge-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/pairforge-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch folders that the block asked for: what it made must be written elsewhere by its end."""
+    before = len(_made)
+    yield
+    for path in _made[before:]:
+        removed(spark, path)
+    del _made[before:]
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
