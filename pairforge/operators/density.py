@@ -1,0 +1,120 @@
+"""Density clusters of a bounded sample: mutual reachability, its spanning tree, and the most stable clusters of the tree.
+
+Campello, Moulavi, Sander: Density-based clustering based on hierarchical density estimates, PAKDD 2013. Distances are
+computed row by row, so a sample of n rows takes n times its size in work and its size in memory; settings run as
+tasks of their own on the broadcast sample.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pairforge.functions.vectors import doubles
+
+MOST_ROWS = 30_000
+
+
+def reachability_tree(x: np.ndarray, min_samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (a, b, length) of a least spanning tree of mutual reachability, in ascending length."""
+    n, sq = len(x), (x * x).sum(1)
+    away = lambda i: np.sqrt(np.maximum(sq + sq[i] - 2 * (x @ x[i]), 0))
+    core = np.array([np.partition(away(i), min(min_samples, n) - 1)[min(min_samples, n) - 1] for i in range(n)])  # a row is its own first neighbour
+    best, near, outside = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool)
+    at, a, b, length = 0, [], [], []
+    for _ in range(n - 1):
+        outside[at] = False
+        d = np.maximum(np.maximum(away(at), core), core[at])
+        closer = outside & (d < best)
+        best[closer], near[closer] = d[closer], at
+        at = int(np.where(outside, best, np.inf).argmin())
+        a.append(near[at]), b.append(at), length.append(best[at])
+    order = np.argsort(length, kind="stable")
+    return np.array(a, np.int64)[order], np.array(b, np.int64)[order], np.array(length)[order]
+
+
+def merges(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """The two nodes that each edge joins, and the rows below every node; rows are nodes 0 to n - 1, edge i makes n + i."""
+    up, size, joined = list(range(2 * n - 1)), [1] * n, []
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, (p, q) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        p, q = top(p), top(q)
+        up[p] = up[q] = n + i
+        joined.append((p, q))
+        size.append(size[p] + size[q])
+    return joined, size
+
+
+def labels(x: np.ndarray, min_size: int, min_samples: int) -> np.ndarray:
+    """The cluster of each row from 0 on, -1 for noise."""
+    n = len(x)
+    if n < 2:
+        return np.full(n, -1)
+    a, b, length = reachability_tree(x, min_samples)
+    joined, size = merges(a, b, n)
+    density = 1 / np.maximum(length, 1e-12)
+    born, parent, stable, left = [0.0], [-1], [0.0], np.zeros(n, np.int64)  # by cluster; left: the cluster that each row falls out of
+    todo = [(2 * n - 2, 0)]
+    while todo:
+        node, own = todo.pop()
+        if node < n:
+            left[node] = own
+            continue
+        at, sides = density[node - n], joined[node - n]
+        large = [s for s in sides if size[s] >= min_size]
+        if len(large) == 2:
+            stable[own] += (at - born[own]) * size[node]
+            for s in sides:
+                born.append(at), parent.append(own), stable.append(0.0)
+                todo.append((s, len(born) - 1))
+            continue
+        for s in sides:
+            if s in large:
+                todo.append((s, own))
+                continue
+            stable[own] += (at - born[own]) * size[s]
+            below = [s]
+            while below:
+                i = below.pop()
+                if i < n:
+                    left[i] = own
+                else:
+                    below += joined[i - n]
+    inner, taken = [0.0] * len(born), [False] * len(born)
+    for c in range(len(born) - 1, 0, -1):  # children come after their parents; the whole is no cluster
+        taken[c] = stable[c] >= inner[c]
+        inner[parent[c]] += max(stable[c], inner[c])
+    name, of = [-1] * len(born), 0
+    for c in range(1, len(born)):
+        if name[parent[c]] >= 0:
+            name[c] = name[parent[c]]
+        elif taken[c]:
+            name[c], of = of, of + 1
+    return np.array(name)[left]
+
+
+def density_sweep(df: DataFrame, vector: str, key: str, settings: list[tuple[int, int]], sample: int = MOST_ROWS, seed: int = 1) -> DataFrame:
+    """min_size, min_samples, clusters, noise (share of rows), largest (share of rows) of each setting, on the first rows in hash order."""
+    spark = df.sparkSession
+    rows = df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(min(sample, MOST_ROWS)).select(doubles(F.col(vector)).alias("x")).collect()
+    x = spark.sparkContext.broadcast(np.array([r.x for r in rows], dtype=np.float64))
+
+    def each(batches):
+        for asked in batches:
+            out = []
+            for m, k in zip(asked["min_size"], asked["min_samples"], strict=True):
+                found = labels(x.value, int(m), int(k))
+                n = np.bincount(found[found >= 0], minlength=1)
+                out.append((int(m), int(k), int((n > 0).sum()), float((found < 0).mean()) if len(found) else 0.0, float(n.max() / max(len(found), 1))))
+            yield pd.DataFrame(out, columns=["min_size", "min_samples", "clusters", "noise", "largest"])
+
+    asked = spark.createDataFrame(settings, "min_size int, min_samples int").repartition(len(settings))
+    return asked.mapInPandas(each, "min_size int, min_samples int, clusters int, noise double, largest double")

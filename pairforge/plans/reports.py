@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import constraints as C
 from pairforge.functions import vectors as V
-from pairforge.operators import audit, clusters, models, splits
+from pairforge.operators import audit, clusters, density, models, splits
 from pairforge.operators import metrics as M
 from pairforge.plans import catalog as K
 from pairforge.plans.catalog import query, r6, six
@@ -123,3 +123,10 @@ def mlp_out_of_fold_scores(spark: SparkSession, sf: str) -> DataFrame:
     p = p.join(folds, "group").select("id", "y", "fold", V.pair_vector(F.col("va"), F.col("vb")).alias("x"))
     d = written(models.vectors(p, "x").select("id", "y", "fold", "features"), scratch(spark))
     return models.out_of_fold(d, 5, models.mlp).select("id", "y", "fold", "score")
+
+
+@query()
+def density_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Density clusters of reduced vectors at five settings, on a sample of at most 30,000 rows, which is the feature."""
+    e = clusters.pca(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 10).select("vec_id", "reduced")
+    return six(density.density_sweep(e, "reduced", "vec_id", [(5, 5), (10, 5), (20, 5), (20, 10), (50, 10)]))

@@ -6,11 +6,14 @@ import hashlib
 import json
 import zipfile
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairforge.functions.vectors import halves
+
 PAIRS = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("qid1", T.LongType()), T.StructField("qid2", T.LongType()),
     T.StructField("question1", T.StringType()), T.StructField("question2", T.StringType()), T.StructField("is_duplicate", T.IntegerType()),
@@ -52,17 +55,50 @@ def complete(df: DataFrame, columns: list[str]) -> None:
         raise ValueError(f"missing values in {bad}")
 
 
-def cached_vectors(texts: DataFrame, encode, path: str, key: str = "text") -> DataFrame:
-    """Vectors of distinct texts: those at path are kept, new ones are encoded and added. encode: DataFrame to DataFrame with a vector."""
+def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Scores, sweeps, assignments and reports as Parquet, CSV (with a header) or lines of JSON. Lists and structs go to CSV as JSON."""
+    if kind == "csv":
+        df = df.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes])
+    writer = df.write.mode("overwrite")
+    writer = writer.option("header", True).option("escape", '"') if kind == "csv" else writer
+    writer.format(kind).save(path)
+
+
+def write_record(record: dict | list, path: str) -> None:
+    """A result, policy or configuration as JSON, on the driver."""
+    Path(path).write_text(json.dumps(record, indent=1, sort_keys=isinstance(record, dict)))
+
+
+def read_record(path: str, *keys: str) -> Any:
+    """A JSON file, or a value within it: an expected figure is read from where it was recorded."""
+    found = json.loads(Path(path).read_text())
+    for k in keys:
+        found = found[k]
+    return found
+
+
+def cached_vectors(texts: DataFrame, encode, path: str, key: str = "text", half: bool = False) -> DataFrame:
+    """Vectors of distinct texts: those at path are kept, new ones are encoded and added.
+
+    encode: DataFrame to DataFrame with a vector. half: vectors are kept at half precision, as single-precision numbers.
+    """
     spark = texts.sparkSession
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     known = spark.read.parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
     new = texts.select(key).distinct()
     new = new if known is None else new.join(known, key, "left_anti")
-    encode(new).write.mode("append").parquet(path)
+    made = encode(new)
+    made = made.withColumn("vector", halves(F.col("vector")).cast("array<float>")) if half else made
+    made.write.mode("append").parquet(path)
     return spark.read.parquet(path).join(texts.select(key).distinct(), key, "left_semi")
 
 
+def vector_info(vectors: DataFrame, encoder: str, key: str = "text") -> dict:
+    """What a store of vectors holds: encoder, texts, dims, and a checksum of its keys that does not depend on their order."""
+    r = vectors.agg(F.count(F.lit(1)).alias("texts"), F.max(F.size("vector")).alias("dims"), F.sum(F.xxhash64(key).cast("decimal(38,0)")).alias("keys")).head()
+    return {"encoder": encoder, "texts": r.texts, "dims": r.dims, "keys": str(r["keys"])}
+
+
 def extract_archive(archive: str, member: str, to: str) -> Path:
     """A file of a zip archive, or of a zip archive within it. A driver-side step before data reach the shared store."""
     with zipfile.ZipFile(archive) as z:

@@ -9,7 +9,7 @@ from pairforge.functions import constraints as C
 from pairforge.functions import text as X
 from pairforge.functions import vectors as V
 from pairforge.functions.lexical import FEATURES, lexical_features
-from pairforge.operators import audit, clusters, explain, graph, models, replicates, resample, splits, tfidf, thresholds
+from pairforge.operators import audit, clusters, density, explain, graph, harness, models, replicates, resample, splits, tfidf, thresholds
 from pairforge.operators import metrics as M
 from pairforge.sources import tables
 
@@ -424,3 +424,74 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.id: r.pred for r in spark.table("decided").collect()} == {1: 0, 2: 1}
+
+
+def test_sinks_records_and_vector_store(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,\"b\"", [1.0, 2.0]), (2, None, [])], "id int, t string, x array<double>")
+    for kind in ("parquet", "csv", "json"):
+        tables.write_table(df, str(tmp_path / kind), kind)
+    back = spark.read.csv(str(tmp_path / "csv"), header=True, escape='"')
+    assert sorted((r.id, r.t, r.x) for r in back.collect()) == [("1", 'a,"b"', "[1.0,2.0]"), ("2", None, "[]")] and spark.read.parquet(str(tmp_path / "parquet")).count() == 2
+    tables.write_record({"a": {"f1": 0.5}}, str(tmp_path / "r.json"))
+    assert tables.read_record(str(tmp_path / "r.json"), "a", "f1") == 0.5
+    texts_ = spark.createDataFrame([("x",), ("y",), ("x",)], "text string")
+    encode = lambda d: d.withColumn("vector", F.array(F.lit(1 / 3), F.length("text").cast("double")))
+    v = tables.cached_vectors(texts_, encode, str(tmp_path / "v"), half=True)
+    assert v.count() == 2 and v.head().vector[0] == pytest.approx(0.333251953125, abs=0) and tables.vector_info(v, "e")["dims"] == 2
+    assert tables.cached_vectors(texts_.limit(1), lambda d: encode(d.where("false")), str(tmp_path / "v")).count() == 1
+
+
+def test_harness(spark):
+    score = lambda d: d.withColumn("score", (F.length("question1") / 10).cast("double"))
+    got = harness.probe(spark, [("abc", "x"), ("abcdefgh", "y")], {"one": (score, 0.5), "two": (score, 0.1)})
+    kept = harness.record(got.drop("question1"), ["system", "id"])
+    assert [(r["system"], r["decision"]) for r in kept] == [("one", False), ("one", True), ("two", True), ("two", True)]
+    again = [dict(r) for r in kept]
+    again[0]["score"] += 1e-7
+    assert harness.differences(again, kept, ["system", "id"]) == []
+    again[1]["decision"] = False
+    assert len(harness.differences(again[:-1], kept, ["system", "id"])) == 2
+    pairs = spark.createDataFrame([(i, "a", "b") for i in range(6)], "id long, question1 string, question2 string")
+    assert set(harness.latency(pairs, score, 1, 2, 5)) == {"median_ms", "p95_ms", "batch_ms_per_pair"}
+
+
+def test_command_line(tmp_path, capsys):
+    from pairforge import __main__ as cli
+
+    assert cli.main(["--list"]) == 0 and "best_threshold" in capsys.readouterr().out.split()
+    names = ["a", "b", "c", "d"]
+    assert cli.chosen(names, ["c", "a"], None, None) == ["a", "c"] and cli.chosen(names, [], "b", None) == ["b", "c", "d"] and cli.chosen(names, [], None, "b") == ["a", "b"]
+    with pytest.raises(SystemExit):
+        cli.chosen(names, ["x"], None, None)
+    (tmp_path / "f.txt").write_text("x")
+    tables.freeze([str(tmp_path / "f.txt")], str(tmp_path / "m.json"))
+    assert cli.main(["--verify", str(tmp_path / "m.json")]) == 0
+    (tmp_path / "f.txt").write_text("y")
+    assert cli.main(["--verify", str(tmp_path / "m.json")]) == 1
+
+
+def test_density_clusters(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    blobs = np.concatenate([rng.normal(c, 0.15, (120, 2)) for c in ((0, 0), (4, 0), (0, 4))] + [rng.uniform(-12, 12, (15, 2))])
+    found = density.labels(blobs, 15, 5)
+    assert [len(set(found[k : k + 120][found[k : k + 120] >= 0])) for k in (0, 120, 240)] == [1, 1, 1] and len(set(found[:360]) - {-1}) == 3
+    assert (found[:360] >= 0).mean() > 0.9 and (found[360:] < 0).mean() >= 0.8
+    # Two groups in one of two far clusters: parts that last longer than the whole are clusters of their own.
+    nested = np.concatenate([rng.normal(c, 0.02, (60, 2)) for c in ((0, 0), (1, 0), (30, 30))])
+    assert len(set(density.labels(nested, 10, 3)) - {-1}) == 3
+    a, b, length = density.reachability_tree(blobs[:40], 3)
+    d = np.sqrt(((blobs[:40, None] - blobs[None, :40]) ** 2).sum(2))
+    core = np.sort(d, 1)[:, 2]
+    m = np.maximum(np.maximum(d, core[:, None]), core[None])
+    inside, total = {0}, 0.0
+    while len(inside) < 40:  # Prim's tree on the full matrix
+        w, j = min((m[i, j], j) for i in inside for j in range(40) if j not in inside)
+        inside.add(j)
+        total += w
+    assert length.sum() == pytest.approx(total) and (np.diff(length) >= 0).all() and len(set(a) | set(b)) == 40
+    assert density.labels(blobs[:1], 5, 5).tolist() == [-1] and density.labels(np.zeros((30, 2)), 5, 5).tolist().count(-1) in (0, 30)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(blobs)], "id int, v array<double>")
+    got = {r.min_size: r for r in density.density_sweep(df, "v", "id", [(15, 5), (200, 5)]).collect()}
+    assert got[15].clusters == 3 and 0 < got[15].noise < 0.2 and got[200].clusters == 0 and got[200].noise == 1.0
