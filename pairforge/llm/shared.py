@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge import session
-from pairforge.session import HEAVY, join_groups, removed, scratch, written
+from pairforge.session import HEAVY, join_groups, removed, scratch, tidy, written
 
-__all__ = ["HEAVY", "as_text", "join_groups", "ready", "removed", "scratch", "wrapped", "written"]
+__all__ = ["HEAVY", "as_text", "join_groups", "ready", "removed", "scratch", "tidy", "wrapped", "written"]
 
 
 def ready(spark: SparkSession) -> SparkSession:

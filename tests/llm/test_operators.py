@@ -611,3 +611,27 @@ def test_pipeline(spark, tmp_path):
     left = [(i, t) for i, t, *_ in rows if i in {x for _, x in norm.values()}]
     comp, _ = brute_components(left, 5)
     assert got == {i for i, _ in left if comp[i] == i} - {48}
+
+
+def test_pipeline_stage_drops_what_the_query_marks(spark, docs):
+    """The near-duplicate stage keeps one document of each component of five words."""
+    import corpus_pipeline
+
+    own = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    marked = {r.doc_id for r in minhash.near_duplicates(own, 5).where("kept").collect()}
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, own, "").collect()} == marked
+
+
+def test_tidy_deletes_what_the_block_made(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from pairforge.session import scratch, tidy, written
+
+    there = lambda p: Path(urlparse(p).path).exists()
+    outer = scratch(spark)
+    written(spark.range(3), f"{outer}/a")
+    with tidy(spark):
+        inner = scratch(spark)
+        kept = written(written(spark.range(5), f"{inner}/x"), f"{outer}/b")
+    assert there(outer) and not there(inner) and kept.count() == 5
