@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairforge.llm import decontam, exact_dedup, html_extract, langid, line_dedup, minhash, packing, pii, quality, secret_scan
+from pairforge.llm import decontam, exact_dedup, html_extract, importance, langid, line_dedup, minhash, packing, pii, quality, secret_scan, set_join, word_runs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +68,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return word_runs.digests(word_runs.detect(docs.withColumn("text", word_runs.echoed(F.col("doc_id"), F.col("text")))))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": secret_scan.ORACLE, "op7_exact_duplicates": exact_dedup.ORACLE, "op10_decontamination": decontam.ORACLE}
+    return {
+        "op1_secrets": secret_scan.ORACLE, "op6_near_duplicates": set_join.NEAR_ORACLE, "op7_exact_duplicates": exact_dedup.ORACLE,
+        "op10_decontamination": decontam.ORACLE, "op12_importance": importance.ORACLE, "op13_set_join": set_join.ORACLE,
+    }
