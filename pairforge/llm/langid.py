@@ -8,7 +8,6 @@ forward and backward passes over the same lattice. Each distinct word is scored
 
 from __future__ import annotations
 
-import re
 import sys
 
 import numpy as np
@@ -30,7 +29,6 @@ _MARK = "▁"
 #: Bytes of words: letters after lower-casing and everything outside ASCII.
 LETTERS = np.zeros(256, bool)
 LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
-_HAS_LETTER = re.compile(r"[^\W\d_]")
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -307,7 +305,7 @@ def identify(documents: DataFrame, vocabulary_path: str, max_labelled: int = MAX
                     chance = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
                 else:
                     best, chance = np.zeros(hi - lo, np.int64), np.zeros(hi - lo)
-                letters = np.array([bool(_HAS_LETTER.search(t)) for t in batch.column(1).slice(lo, hi - lo).to_pylist()]) & bool(langs)
+                letters = np.array([any(map(str.isalpha, t)) for t in batch.column(1).slice(lo, hi - lo).to_pylist()]) & bool(langs)
                 best = np.where(letters, best, len(langs))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names[best].tolist(), pa.string()), pa.array(np.where(letters, chance, 0.0))], names=["doc_id", "lang_pred", "score"])
 

@@ -460,10 +460,10 @@ def test_languages_of_texts_without_blanks(spark):
 def test_languages(spark, docs):
     rng = random.Random(4)
     make = lambda ws: " ".join(rng.choice(ws) for _ in range(30))
-    rows = [(i, make(["the", "and", "with", "thing"]) if i % 2 else make(["der", "und", "mit", "ding"]), "en" if i % 2 else "de") for i in range(60)] + [(90, None, "en"), (91, "12 34!", "de"), (92, "THE AND", None)]
+    rows = [(i, make(["the", "and", "with", "thing"]) if i % 2 else make(["der", "und", "mit", "ding"]), "en" if i % 2 else "de") for i in range(60)] + [(90, None, "en"), (91, "12 34!", "de"), (93, "½ 12 ²", "de"), (94, "Ⅷ ①", "en"), (92, "THE AND", None)]
     got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), registry.PIECES()).collect()}
     assert all(got[i].lang_pred == lang and 0 <= got[i].score <= 1 and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _, lang in rows[:60])
-    assert got[90].lang_pred == got[91].lang_pred == "und" and got[92].lang_pred == "en"
+    assert got[90].lang_pred == got[91].lang_pred == got[93].lang_pred == got[94].lang_pred == "und" and got[92].lang_pred == "en"
     assert langid.identify(docs, registry.PIECES()).count() == docs.count()
 
 
