@@ -3,8 +3,8 @@
 For sets Q and S of similarity s or more, Q shares at least s * |Q| tokens with S, so with the union of any group that holds S.
 A group whose union has fewer tokens of Q is not opened for Q (Li et al., LES3: Learning-based exact set similarity search, 2021).
 
-1. Tokens are ordered by how often they occur, rare ones first (counts of hashed slots: any order common to all sets is right, a
-   rare-first one is fast). The first |Q| - ceil(s |Q|) + 1 + EXTRA tokens of Q are its prefix: two similar sets share
+1. Tokens are ordered by how often they occur, frequent ones last (counts of hashed slots: any order common to all sets is right,
+   this one is fast). The first |Q| - ceil(s |Q|) + 1 + EXTRA tokens of Q are its prefix: two similar sets share
    EXTRA + 1 tokens of their prefixes, or all if they have fewer to share (Wang et al., Can we beat the prefix filtering?, 2012).
 2. Equal sets are one class. A class joins the group of the leader (the least class with a token) that shares most of its prefix;
    groups are cut into blocks of bounded size. Classes of a block, and the leader of its group, are linked exactly.
@@ -34,7 +34,7 @@ SHINGLE, PERCENT = 3, 90
 #: Tokens of a prefix beyond those that must meet one.
 EXTRA = 7
 #: Tokens of the members of a block, tokens of the queries that one task bounds against it, and cells of one matrix.
-BLOCK_TOKENS, QUERY_TOKENS, CELLS = 128_000, 1_000_000, 1 << 22
+BLOCK_TOKENS, QUERY_TOKENS, CELLS = 128_000, 128_000, 1 << 22
 #: Least and most slots of the counts that order tokens, as powers of two, and slots of a page of them. A slot takes one byte.
 LEAST_SLOTS, MOST_SLOTS, PAGE = 18, 24, 1 << 15
 
@@ -42,17 +42,20 @@ LEAST_SLOTS, MOST_SLOTS, PAGE = 18, 24, 1 << 15
 def token_order(docs: DataFrame, shingle: int):
     """Broadcasts one byte for each slot of hashed tokens: the logarithm of how often its tokens occur, in eighths of an octave.
 
-    Tasks count into bytes, which stop at 255, and send pages that are not empty; the driver gets at most 2**MOST_SLOTS bytes.
+    Tasks count into bytes, which stop at 255, and send the counts that stand out from what chance puts in a slot, so what
+    they send is small and what is frequent shows at every size. The driver gets at most 2**MOST_SLOTS bytes.
     """
     letters = docs.agg(F.sum(F.length("text"))).head()[0] or 0
     slots = 1 << min(MOST_SLOTS, max(LEAST_SLOTS, (letters // 4).bit_length()))
 
     def count(batches):
-        held = np.zeros(slots, np.uint8)
+        held, total = np.zeros(slots, np.uint8), 0
         for batch in batches:
             for _, _, data, offsets in pieces(batch.column(1)):
                 at, n = np.unique(_slot(shingled(data, offsets, shingle)[1], slots), return_counts=True)
                 held[at] = np.minimum(held[at] + n, 255)
+                total += int(n.sum())
+        held[held <= 1 + 4 * total / slots] = 0
         for page in np.flatnonzero(held.reshape(-1, PAGE).any(axis=1)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([page], pa.int32()), pa.array([held[page * PAGE : (page + 1) * PAGE].tobytes()], pa.binary())], names=["page", "counts"])
 
@@ -110,8 +113,34 @@ def prefixes(docs: DataFrame, order, shingle: int, percent: int) -> DataFrame:
     return docs.mapInArrow(scan, "doc_id long, n_shingles long, cid binary, prefix array<long>")
 
 
-def sets_of(docs: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
-    """cid, items of the classes asked for (cid, doc_id): a filter of bounded size leaves out most other rows before sets move."""
+def shared_tokens(base: DataFrame, least: int) -> DataFrame:
+    """token: those in the prefixes of two different sets of at least so many tokens."""
+    each = base.where(F.col("n_shingles") >= least).select(F.xxhash64("cid").alias("c"), F.explode("prefix").alias("token"))
+    return each.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("token")
+
+
+def meeting(base: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
+    """cid, n, token of the tokens of prefixes that other sets have too: a filter of bounded size leaves out most others before rows move."""
+    filter_ = bitfilter.made(tokens, tokens.count())
+
+    def scan(batches):
+        for batch in batches:
+            lists = batch.column(2).flatten()
+            values = lists.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            use = np.flatnonzero(bitfilter.passes(filter_.value, values)) if len(values) else np.zeros(0, np.int64)
+            at = pa.array(row[use])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(values[use])], names=["cid", "n", "token"])
+
+    rows = base.where(F.col("n_shingles") >= least).select("cid", "n_shingles", "prefix")
+    return rows.mapInArrow(scan, "cid binary, n long, token long").distinct()
+
+
+def sets_of(docs: DataFrame, asked: DataFrame, shingle: int, repeats: bool) -> DataFrame:
+    """asked (cid, doc_id and more) with the items of its sets: a filter of bounded size leaves out most other rows before they are cut.
+
+    repeats: whether several rows may have the doc_id and the set of one class.
+    """
     filter_ = bitfilter.made(asked.select("doc_id"), asked.count())
 
     def scan(batches):
@@ -122,9 +151,8 @@ def sets_of(docs: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
                 size = np.bincount(row, minlength=hi - lo)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(_digests(h, size), pa.binary()), _lists(h, size)], names=["doc_id", "cid", "items"])
 
-    # Rows that repeat a doc_id with one text have the same set.
-    found = docs.mapInArrow(scan, "doc_id long, cid binary, items array<long>").join(asked, ["cid", "doc_id"], "left_semi")
-    return found.dropDuplicates(["cid"]).select("cid", "items")
+    found = docs.mapInArrow(scan, "doc_id long, cid binary, items array<long>")
+    return (found.dropDuplicates(["cid", "doc_id"]) if repeats else found).join(asked, ["cid", "doc_id"]).drop("doc_id")
 
 
 class _Sets:
@@ -236,19 +264,19 @@ def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     docs = as_text(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     base = written(prefixes(docs, token_order(docs, shingle), shingle, percent), f"{path}/prefixes")
     real = base.where("doc_id is not null and n_shingles > 0")
-    classes = real.groupBy("cid").agg(F.min(F.struct("doc_id", "n_shingles")).alias("r"), F.count(F.lit(1)).alias("members"))
-    classes = written(classes.select("cid", F.col("r.doc_id").alias("doc_id"), F.col("r.n_shingles").alias("n"), "members"), f"{path}/classes")
-    n_classes = classes.count()
+    rows = real.groupBy("cid", "doc_id").agg(F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("k"))
+    classes = rows.groupBy("cid").agg(F.min(F.struct("doc_id", "n", "k")).alias("r"), F.sum("k").alias("members"))
+    classes = written(classes.select("cid", "r.*", "members"), f"{path}/classes")
+    n_classes, repeats = classes.count(), not classes.where("k > 1").isEmpty()
 
-    # The tokens of prefixes that another class has too. A set of fewer tokens than this is similar to equal ones only.
+    # A set of fewer tokens than this is similar to equal ones only.
     least = -(-percent // max(100 - percent, 1))
-    reps = real.where(F.col("n_shingles") >= least).join(classes.select("cid", "doc_id"), ["cid", "doc_id"], "left_semi").dropDuplicates(["cid"])
-    met = reps.select("cid", F.col("n_shingles").alias("n"), F.explode("prefix").alias("token"))
+    common = written(shared_tokens(real, least), f"{path}/common")
+    met = written(meeting(real, common, least), f"{path}/met")
+    total = met.count()
     leaders = met.groupBy("token").agg(F.min("cid").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    total = base.agg(F.sum(F.size("prefix"))).head()[0] or 0
-    shared = join_groups(met, leaders, ["token"], "size", total).drop("size")
+    shared = written(join_groups(met, leaders, ["token"], "size", total).drop("size"), f"{path}/shared")
     enough = F.least(F.lit(EXTRA + 1), F.ceil(F.lit(percent) * F.col("n") / 100))
-    shared = written(shared, f"{path}/shared")
     able = shared.groupBy("cid").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n")).where(F.col("found") >= enough)
     group = shared.groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("k")).groupBy("cid").agg(F.max_by("leader", F.struct("k", "leader")).alias("leader"))
     placed = able.select("cid", "n").join(group, "cid")
@@ -256,11 +284,11 @@ def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     placed = join_groups(placed, blocks, ["leader"], "members", n_classes).drop("members")
     placed = written(placed.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int")), f"{path}/placed")
 
-    asked = written(placed.select("cid").unionByName(placed.select(F.col("leader").alias("cid"))).distinct().join(classes.select("cid", "doc_id"), "cid"), f"{path}/asked")
-    sets = written(sets_of(docs.where("doc_id is not null"), asked, shingle), f"{path}/sets")
     heads = placed.select("leader", "blocks").distinct().select(F.col("leader").alias("cid"), "leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    members = placed.select("cid", "leader", "block").unionByName(heads).distinct()
-    near = members.join(sets, "cid").groupBy("leader", "block").applyInArrow(_within(percent), "a binary, b binary")
+    named = classes.select("cid", "doc_id")
+    asked = written(placed.select("cid", "leader", "block").unionByName(heads).distinct().join(named, "cid"), f"{path}/asked")
+    docs = docs.where("doc_id is not null")
+    near = sets_of(docs, asked, shingle, repeats).groupBy("leader", "block").applyInArrow(_within(percent), "a binary, b binary")
     inner = written(_components(near), f"{path}/inner")
 
     own = placed.join(inner, "cid", "left").withColumn("component", F.coalesce("component", "cid")).drop("blocks")
@@ -281,14 +309,15 @@ def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     asking = join_groups(meets, salts, ["to", "at"], "asks", meets.count()).select("to", "at", F.pmod(F.xxhash64("cid"), "salts").cast("int").alias("salt"), "cid", "component", F.lit(True).alias("query"))
     there = own.select("cid", "component", F.col("leader").alias("to"), F.col("block").alias("at")).join(salts, ["to", "at"])
     there = there.select("to", "at", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "cid", "component", F.lit(False).alias("query"))
-    more = asking.unionByName(there).join(sets, "cid").groupBy("to", "at", "salt").applyInArrow(_across(percent), "a binary, b binary")
+    again = written(asking.unionByName(there).join(named, "cid"), f"{path}/again")
+    more = sets_of(docs, again, shingle, repeats).groupBy("to", "at", "salt").applyInArrow(_across(percent), "a binary, b binary")
     final = _components(more.unionByName(inner.where("cid != component").select(F.col("component").alias("a"), F.col("cid").alias("b"))))
 
     named = classes.join(final, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
     named = join_groups(named, ids, ["component"], "size", n_classes).select("cid", "members", "component_id")
     named = written(named, f"{path}/named")
-    for used in ("shared", "placed", "asked", "sets", "inner", "own", "tokens", "meets"):
+    for used in ("common", "met", "shared", "placed", "asked", "inner", "own", "tokens", "meets", "again"):
         removed(spark, f"{path}/{used}")
     found = join_groups(real.select("doc_id", "n_shingles", "cid"), named, ["cid"], "members", base.count()).select("doc_id", "n_shingles", "component_id")
     alone = base.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
