@@ -4,10 +4,10 @@ For sets Q and S of similarity s or more, Q shares at least s * |Q| tokens with
 A group whose union has fewer tokens of Q is not opened for Q (Li et al., LES3: Learning-based exact set similarity search, 2021).
 
 1. Tokens are ordered by how often they occur, frequent ones last (counts of hashed slots: any order common to all sets is right,
-   this one is fast). The first |Q| - ceil(s |Q|) + 1 + EXTRA tokens of Q are its prefix: two similar sets share
-   EXTRA + 1 tokens of their prefixes, or all if they have fewer to share (Wang et al., Can we beat the prefix filtering?, 2012).
-2. Equal sets are one class. A class joins the group of the leader (the least class with a token) that shares most of its prefix;
-   groups are cut into blocks of bounded size. Classes of a block, and the leader of its group, are linked exactly.
+   this one is fast). The first |Q| - ceil(s |Q|) + 1 + e tokens of Q are its prefix, e = EXTRA + |Q| / PART: two similar sets
+   share more tokens of their prefixes than the lesser e, or all if they have fewer to share (Wang et al., Can we beat the prefix filtering?, 2012).
+2. Equal sets are one class. A class joins the group of the leader (the least class with a token) that shares most of its prefix,
+   if that is enough for a link, else a group of its own; groups are cut into blocks of bounded size. Classes of a block, and the leader of its group, are linked exactly.
 3. The matrix holds (token, block) for the tokens of prefixes. A class meets the blocks that have enough of its prefix and a
    size that fits, but not those whose members all are in its component already.
 4. Its whole set is bounded against the union of each block it meets. Blocks that pass are opened: all members are compared.
@@ -31,8 +31,8 @@ from pairforge.llm.vectext import mix, pieces
 from pairforge.operators import graph
 
 SHINGLE, PERCENT = 3, 90
-#: Tokens of a prefix beyond those that must meet one.
-EXTRA = 7
+#: Tokens of a prefix beyond those that must meet one: so many, and one of so many of the set. Passages that texts share then don't suffice.
+EXTRA, PART = 7, 20
 #: Tokens of the members of a block, tokens of the queries that one task bounds against it, and cells of one matrix.
 BLOCK_TOKENS, QUERY_TOKENS, CELLS = 128_000, 128_000, 1 << 22
 #: Least and most slots of the counts that order tokens, as powers of two, and slots of a page of them. A slot takes one byte.
@@ -105,7 +105,7 @@ def prefixes(docs: DataFrame, order, shingle: int, percent: int) -> DataFrame:
                 rank = (order.value[_slot(h, len(order.value))].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
                 best = np.lexsort((rank, row))
                 place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-                length = np.minimum(size - needed(size, percent) + 1 + EXTRA, size)
+                length = np.minimum(size - needed(size, percent) + 1 + EXTRA + size // PART, size)
                 head = best[place < length[row]]
                 cols = [batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(_digests(h, size), pa.binary()), _lists(h[head], length)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "cid", "prefix"])
@@ -114,26 +114,24 @@ def prefixes(docs: DataFrame, order, shingle: int, percent: int) -> DataFrame:
 
 
 def shared_tokens(base: DataFrame, least: int) -> DataFrame:
-    """token: those in the prefixes of two different sets of at least so many tokens."""
+    """token, leader (the least c with it), size (rows) of the tokens in the prefixes of two different sets of at least so many tokens."""
     each = base.where(F.col("n_shingles") >= least).select(F.xxhash64("cid").alias("c"), F.explode("prefix").alias("token"))
-    return each.groupBy("token").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x != y").select("token")
+    return each.groupBy("token").agg(F.min("c").alias("leader"), F.max("c").alias("y"), F.count(F.lit(1)).alias("size")).where("leader != y").drop("y")
 
 
-def meeting(base: DataFrame, tokens: DataFrame, least: int) -> DataFrame:
-    """cid, n, token of the tokens of prefixes that other sets have too: a filter of bounded size leaves out most others before rows move."""
-    filter_ = bitfilter.made(tokens, tokens.count())
+def meeting(base: DataFrame, tokens: DataFrame, n: int, total: int, least: int) -> DataFrame:
+    """c, token, leader of the n tokens given: a filter of bounded size leaves out most others of the total before rows move."""
+    filter_ = bitfilter.made(tokens.select("token"), n)
 
     def scan(batches):
         for batch in batches:
-            lists = batch.column(2).flatten()
-            values = lists.to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
+            values = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
             use = np.flatnonzero(bitfilter.passes(filter_.value, values)) if len(values) else np.zeros(0, np.int64)
-            at = pa.array(row[use])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(values[use])], names=["cid", "n", "token"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[use])), pa.array(values[use])], names=["c", "token"])
 
-    rows = base.where(F.col("n_shingles") >= least).select("cid", "n_shingles", "prefix")
-    return rows.mapInArrow(scan, "cid binary, n long, token long").distinct()
+    rows = base.where(F.col("n_shingles") >= least).select(F.xxhash64("cid").alias("c"), "prefix")
+    return join_groups(rows.mapInArrow(scan, "c long, token long"), tokens, ["token"], "size", total).select("token", "c", "leader").distinct()
 
 
 def sets_of(docs: DataFrame, asked: DataFrame, shingle: int, repeats: bool) -> DataFrame:
@@ -266,34 +264,37 @@ def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     real = base.where("doc_id is not null and n_shingles > 0")
     rows = real.groupBy("cid", "doc_id").agg(F.first("n_shingles").alias("n"), F.count(F.lit(1)).alias("k"))
     classes = rows.groupBy("cid").agg(F.min(F.struct("doc_id", "n", "k")).alias("r"), F.sum("k").alias("members"))
-    classes = written(classes.select("cid", "r.*", "members"), f"{path}/classes")
+    # c finds the classes of candidates: two classes with one c, should there be any, are candidates together.
+    classes = written(classes.select("cid", F.xxhash64("cid").alias("c"), "r.*", "members"), f"{path}/classes")
     n_classes, repeats = classes.count(), not classes.where("k > 1").isEmpty()
 
     # A set of fewer tokens than this is similar to equal ones only.
     least = -(-percent // max(100 - percent, 1))
     common = written(shared_tokens(real, least), f"{path}/common")
-    met = written(meeting(real, common, least), f"{path}/met")
-    total = met.count()
-    leaders = met.groupBy("token").agg(F.min("cid").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = written(join_groups(met, leaders, ["token"], "size", total).drop("size"), f"{path}/shared")
-    enough = F.least(F.lit(EXTRA + 1), F.ceil(F.lit(percent) * F.col("n") / 100))
-    able = shared.groupBy("cid").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n")).where(F.col("found") >= enough)
-    group = shared.groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("k")).groupBy("cid").agg(F.max_by("leader", F.struct("k", "leader")).alias("leader"))
-    placed = able.select("cid", "n").join(group, "cid")
+    total = base.agg(F.sum(F.size("prefix"))).head()[0] or 0
+    shared = written(meeting(real, common, common.count(), total, least), f"{path}/shared")
+    own_share = F.ceil(F.lit(percent) * F.col("n") / 100)
+    enough = F.least(EXTRA + 1 + F.floor(own_share / PART), own_share)
+    found = shared.repartition("c").groupBy("c", "leader").agg(F.count(F.lit(1)).alias("k")).groupBy("c").agg(F.sum("k").alias("found"), F.max(F.struct("k", "leader")).alias("top"))
+    placed = found.join(classes.select("cid", "c", "n"), "c").where(F.col("found") >= enough)
+    placed = written(placed.select("cid", "c", "n", F.when(F.col("top.k") >= enough, F.col("top.leader")).otherwise(F.col("c")).alias("leader")), f"{path}/able")
     blocks = placed.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"))
     placed = join_groups(placed, blocks, ["leader"], "members", n_classes).drop("members")
     placed = written(placed.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int")), f"{path}/placed")
 
-    heads = placed.select("leader", "blocks").distinct().select(F.col("leader").alias("cid"), "leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # Members of groups, and the leader in each block of its group.
+    led = placed.where("leader != c")
+    heads = led.select("leader", "blocks").distinct().select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    heads = heads.join(classes.select("cid", F.col("c").alias("leader")), "leader").select("cid", "leader", "block")
     named = classes.select("cid", "doc_id")
-    asked = written(placed.select("cid", "leader", "block").unionByName(heads).distinct().join(named, "cid"), f"{path}/asked")
+    asked = written(led.select("cid", "leader", "block").unionByName(heads).distinct().join(named, "cid"), f"{path}/asked")
     docs = docs.where("doc_id is not null")
     near = sets_of(docs, asked, shingle, repeats).groupBy("leader", "block").applyInArrow(_within(percent), "a binary, b binary")
     inner = written(_components(near), f"{path}/inner")
 
     own = placed.join(inner, "cid", "left").withColumn("component", F.coalesce("component", "cid")).drop("blocks")
     own = written(own, f"{path}/own")
-    tokens = shared.select("cid", "token").join(own, "cid")
+    tokens = shared.select("c", "token").join(own, "c").drop("c")
     cell = F.struct("leader", "block")
     open_ = tokens.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(cell).alias("p"), F.max(cell).alias("q"), F.count(F.lit(1)).alias("size"))
     open_ = open_.where("x != y and p != q").select("token", "size")
@@ -317,7 +318,7 @@ def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size"))
     named = join_groups(named, ids, ["component"], "size", n_classes).select("cid", "members", "component_id")
     named = written(named, f"{path}/named")
-    for used in ("common", "met", "shared", "placed", "asked", "inner", "own", "tokens", "meets", "again"):
+    for used in ("common", "shared", "able", "placed", "asked", "inner", "own", "tokens", "meets", "again"):
         removed(spark, f"{path}/{used}")
     found = join_groups(real.select("doc_id", "n_shingles", "cid"), named, ["cid"], "members", base.count()).select("doc_id", "n_shingles", "component_id")
     alone = base.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
