@@ -6,10 +6,11 @@ A group whose union has fewer tokens of Q is not opened for Q (Li et al., LES3:
 1. Tokens are ordered by how often they occur, frequent ones last (counts of hashed slots: any order common to all sets is right,
    this one is fast). The first |Q| - ceil(s |Q|) + 1 + e tokens of Q are its prefix, e = EXTRA + |Q| / PART: two similar sets
    share more tokens of their prefixes than the lesser e, or all if they have fewer to share (Wang et al., Can we beat the prefix filtering?, 2012).
-2. Equal sets are one class. A class joins the group of the leader (the least class with a token) that shares most of its prefix,
-   if that is enough for a link, else a group of its own; groups are cut into blocks of bounded size. Classes of a block, and the leader of its group, are linked exactly.
+2. Equal sets are one class. A class joins the group of the leader (the least class with a token) that shares most of its prefix;
+   groups are cut into blocks of bounded size. Classes of a block that share enough with their leader for a link, and the leader
+   itself, are linked exactly; those linked with the leader are one component in all blocks.
 3. The matrix holds (token, block) for the tokens of prefixes. A class meets the blocks that have enough of its prefix and a
-   size that fits, but not those whose members all are in its component already.
+   size that fits, but not those whose members all are in its component already; its own one only if step 2 left it out.
 4. Its whole set is bounded against the union of each block it meets. Blocks that pass are opened: all members are compared.
 
 Links within a component are not listed, so a group of very many near copies costs its size, not its square.
@@ -214,12 +215,15 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _within(percent: int):
     def links(table):
-        """Each set of a block with the first of those it is connected with in the block."""
+        """The component of each set of a block: the name of the head if it is connected with that, else of the first it is connected with."""
         sets, cid = _Sets(table.column("items")), table.column("cid").combine_chunks()
+        head = table.column("head").to_numpy(zero_copy_only=False).astype(bool)
         a, b = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 2, *similar(sets, sets, percent), strict=True))
         to = _spanning(len(sets), a, b)
-        own = np.flatnonzero(to != np.arange(len(sets)))
-        return pa.table({"a": cid.take(pa.array(own)), "b": cid.take(pa.array(to[own]))})
+        name = np.arange(len(sets))
+        name[to[head]] = np.flatnonzero(head)
+        own = np.flatnonzero(~head)
+        return pa.table({"cid": cid.take(pa.array(own)), "component": cid.take(pa.array(name[to[own]]))})
 
     return links
 
@@ -277,40 +281,39 @@ def join(documents: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -
     enough = F.least(EXTRA + 1 + F.floor(own_share / PART), own_share)
     found = shared.repartition("c").groupBy("c", "leader").agg(F.count(F.lit(1)).alias("k")).groupBy("c").agg(F.sum("k").alias("found"), F.max(F.struct("k", "leader")).alias("top"))
     placed = found.join(classes.select("cid", "c", "n"), "c").where(F.col("found") >= enough)
-    placed = written(placed.select("cid", "c", "n", F.when(F.col("top.k") >= enough, F.col("top.leader")).otherwise(F.col("c")).alias("leader")), f"{path}/able")
-    blocks = placed.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members"))
-    placed = join_groups(placed, blocks, ["leader"], "members", n_classes).drop("members")
+    placed = written(placed.select("cid", "c", "n", F.col("top.leader").alias("leader"), (F.col("top.k") < enough).alias("weak")), f"{path}/able")
+    blocks = placed.groupBy("leader").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    placed = placed.join(blocks.where("blocks > 1"), "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = written(placed.withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int")), f"{path}/placed")
 
     # Members of groups, and the leader in each block of its group.
-    led = placed.where("leader != c")
+    led = placed.where("leader != c and not weak")
     heads = led.select("leader", "blocks").distinct().select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    heads = heads.join(classes.select("cid", F.col("c").alias("leader")), "leader").select("cid", "leader", "block")
+    heads = heads.join(classes.select("cid", F.col("c").alias("leader")), "leader").select("cid", "leader", "block", F.lit(True).alias("head"))
     named = classes.select("cid", "doc_id")
-    asked = written(led.select("cid", "leader", "block").unionByName(heads).distinct().join(named, "cid"), f"{path}/asked")
+    asked = written(led.select("cid", "leader", "block", F.lit(False).alias("head")).unionByName(heads).join(named, "cid"), f"{path}/asked")
     docs = docs.where("doc_id is not null")
-    near = sets_of(docs, asked, shingle, repeats).groupBy("leader", "block").applyInArrow(_within(percent), "a binary, b binary")
-    inner = written(_components(near), f"{path}/inner")
+    near = sets_of(docs, asked, shingle, repeats).groupBy("leader", "block").applyInArrow(_within(percent), "cid binary, component binary")
+    inner = written(near, f"{path}/inner")
 
     own = placed.join(inner, "cid", "left").withColumn("component", F.coalesce("component", "cid")).drop("blocks")
     own = written(own, f"{path}/own")
     tokens = shared.select("c", "token").join(own, "c").drop("c")
     cell = F.struct("leader", "block")
-    open_ = tokens.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(cell).alias("p"), F.max(cell).alias("q"), F.count(F.lit(1)).alias("size"))
-    open_ = open_.where("x != y and p != q").select("token", "size")
-    tokens = written(join_groups(tokens, open_, ["token"], "size", total).drop("size"), f"{path}/tokens")
-    matrix = tokens.groupBy("token", F.col("leader").alias("to"), F.col("block").alias("at")).agg(
-        F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("n").alias("most"))
-    fits = (F.struct("leader", "block") > F.struct("to", "at")) & ~((F.col("x") == F.col("y")) & (F.col("x") == F.col("component")))
+    open_ = tokens.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(cell).alias("p"), F.max(cell).alias("q"), F.max("weak").alias("weak"), F.count(F.lit(1)).alias("size"))
+    open_ = open_.where("x != y and (p != q or weak)").select("token", "size")
+    tokens = written(join_groups(tokens, open_, ["token"], "size", total).drop("size").withColumn("cell", cell), f"{path}/tokens")
+    matrix = tokens.groupBy("token", F.col("cell").alias("to")).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("n").alias("most"))
+    fits = ((F.col("cell") > F.col("to")) | (F.col("weak") & (F.col("cell") == F.col("to")))) & ~((F.col("x") == F.col("y")) & (F.col("x") == F.col("component")))
     fits &= (100 * F.col("most") >= percent * F.col("n")) & (percent * F.col("least") <= 100 * F.col("n"))
-    meets = tokens.join(matrix, "token").where(fits).groupBy("cid", "to", "at").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n"), F.first("component").alias("component"))
+    meets = tokens.join(matrix, "token").where(fits).groupBy("cid", "to").agg(F.count(F.lit(1)).alias("found"), F.first("n").alias("n"), F.first("component").alias("component"))
     meets = written(meets.where(F.col("found") >= enough).drop("found"), f"{path}/meets")
 
-    salts = meets.groupBy("to", "at").agg(F.ceil(F.sum("n") / QUERY_TOKENS).cast("int").alias("salts"), F.count(F.lit(1)).alias("asks"))
-    asking = join_groups(meets, salts, ["to", "at"], "asks", meets.count()).select("to", "at", F.pmod(F.xxhash64("cid"), "salts").cast("int").alias("salt"), "cid", "component", F.lit(True).alias("query"))
-    there = own.select("cid", "component", F.col("leader").alias("to"), F.col("block").alias("at")).join(salts, ["to", "at"])
-    there = there.select("to", "at", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "cid", "component", F.lit(False).alias("query"))
-    again = written(asking.unionByName(there).join(named, "cid"), f"{path}/again")
+    salts = meets.groupBy("to").agg(F.ceil(F.sum("n") / QUERY_TOKENS).cast("int").alias("salts"))
+    asking = meets.join(salts.where("salts > 1"), "to", "left").select("to", F.pmod(F.xxhash64("cid"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "cid", "component", F.lit(True).alias("query"))
+    there = own.select("cid", "component", F.struct("leader", "block").alias("to")).join(salts, "to")
+    there = there.select("to", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "cid", "component", F.lit(False).alias("query"))
+    again = written(asking.unionByName(there).join(named, "cid").select(F.col("to.leader").alias("to"), F.col("to.block").alias("at"), "salt", "cid", "component", "query", "doc_id"), f"{path}/again")
     more = sets_of(docs, again, shingle, repeats).groupBy("to", "at", "salt").applyInArrow(_across(percent), "a binary, b binary")
     final = _components(more.unionByName(inner.where("cid != component").select(F.col("component").alias("a"), F.col("cid").alias("b"))))
 
