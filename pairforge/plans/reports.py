@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import constraints as C
 from pairforge.functions import vectors as V
-from pairforge.operators import audit, clusters, density, models, splits
+from pairforge.operators import audit, clusters, graph, network, sparse, splits
 from pairforge.operators import metrics as M
 from pairforge.plans import catalog as K
 from pairforge.plans.catalog import query, r6, six
@@ -114,19 +114,66 @@ def fit_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return six(seeds)
 
 
+#: Vectors of one block share a fold.
+VECTOR_BLOCK = 500
+
+
+def folded_vector_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """id, y, fold, a, b (the vectors' ids) and x of vector pairs, so that no vector is in two folds.
+
+    Blocks of neighbouring vectors are the groups that folds are made of. A chain of neighbours links all blocks, as a very
+    large component does in the hybrid split: so, as there, a pair across two folds is in neither.
+    """
+    p = vector_pairs(spark, sf).withColumns({"a": F.floor(F.col("id") / 10), "b": F.floor(F.col("id") / 10) + F.col("id") % 10})
+    block = lambda c: F.floor(F.col(c) / VECTOR_BLOCK).cast("string")
+    groups = p.groupBy(block("a").alias("group")).agg(F.count(F.lit(1)).alias("pairs"))
+    folds = written(splits.group_folds(groups, 5, K.SEED, "group").select("group", "fold"), scratch(spark))
+    p = p.join(folds.withColumnRenamed("group", "_g"), F.col("_g") == block("a")).drop("_g")
+    p = p.join(folds.select(F.col("group").alias("_g"), F.col("fold").alias("_f")), (F.col("_g") == block("b")) & (F.col("_f") == F.col("fold")), "left_semi")
+    return p.select("id", "y", "fold", "a", "b", V.pair_vector(F.col("va"), F.col("vb")).alias("x"))
+
+
 @query()
 def mlp_out_of_fold_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of a network on pair vectors for a fixed number of passes, each from a network of the other folds; vectors of one group share a fold."""
-    p = vector_pairs(spark, sf).withColumn("group", F.floor(F.col("id") / 500).cast("string"))
-    groups = p.groupBy("group").agg(F.count(F.lit(1)).alias("pairs"))
-    folds = splits.group_folds(groups, 5, K.SEED, "group").select("group", "fold")
-    p = p.join(folds, "group").select("id", "y", "fold", V.pair_vector(F.col("va"), F.col("vb")).alias("x"))
-    d = written(models.vectors(p, "x").select("id", "y", "fold", "features"), scratch(spark))
-    return models.out_of_fold(d, 5, models.mlp).select("id", "y", "fold", "score")
+    """Scores of a network on pair vectors after a fixed number of passes, each from a network of the other folds; no vector is in two folds."""
+    d = written(folded_vector_pairs(spark, sf).drop("a", "b"), scratch(spark))
+    return network.train(d, 5, batch=2048, rate=4e-3).score(d).select("id", "y", "fold", "score")
+
+
+@query()
+def mlp_early_stop_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of held-out pairs by one network, trained on three folds until its area on a fourth no longer grows."""
+    d = written(folded_vector_pairs(spark, sf).drop("a", "b"), scratch(spark))
+    net = network.train(d.where("fold > 1"), dev=d.where("fold = 1"), batch=2048, rate=4e-3, epochs=30)
+    return net.score(d.where("fold = 0")).select("id", "y", "score")
+
+
+# Regression on TF-IDF vectors ------------------------------------------------------------------
+
+
+def split_text_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """id, question1, question2, y (one language), split of text pairs, drawn by text: no text is in two splits."""
+    p = text_pairs(spark, sf).select("id", "question1", "question2", F.col("same_lang").alias("y"))
+    p = splits.node_split(graph.edges(p), K.SEED).where(F.col("split") != splits.DROPPED)
+    return written(p.drop("key_a", "key_b"), scratch(spark))
+
+
+def tfidf_pair_model(spark: SparkSession, sf: str, grid: list[float]) -> tuple[DataFrame, sparse.TfidfPairModel, list[tuple[float, float]]]:
+    p = split_text_pairs(spark, sf)
+    return p, *sparse.fit(p.where("split = 'train'"), p.where("split = 'val'"), grid)
+
+
+@query()
+def tfidf_pair_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Average precision on validation pairs of regressions on TF-IDF pair vectors and lexical features, for each strength."""
+    return six(spark.createDataFrame(tfidf_pair_model(spark, sf, sparse.GRID)[2], "c double, pr_auc double"))
 
 
 @query()
-def density_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Density clusters of reduced vectors at five settings, on a sample of at most 30,000 rows, which is the feature."""
-    e = clusters.pca(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 10).select("vec_id", "reduced")
-    return six(density.density_sweep(e, "reduced", "vec_id", [(5, 5), (10, 5), (20, 5), (20, 10), (50, 10)]))
+def tfidf_pair_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of validation and test pairs by the regression that does best on validation pairs, saved and loaded before it scores."""
+    p, model, _ = tfidf_pair_model(spark, sf, sparse.GRID)
+    path = scratch(spark)
+    model.save(path)
+    held = p.where("split != 'train'")
+    return sparse.TfidfPairModel.load(spark, path).score(held).join(held.select("id", "split", "y"), "id").select("id", "split", "y", "score")

@@ -9,7 +9,7 @@ from pairforge.functions import constraints as C
 from pairforge.functions import text as X
 from pairforge.functions import vectors as V
 from pairforge.functions.lexical import FEATURES, lexical_features
-from pairforge.operators import audit, clusters, density, explain, graph, harness, models, replicates, resample, splits, tfidf, thresholds
+from pairforge.operators import audit, clusters, explain, graph, harness, models, replicates, resample, splits, tfidf, thresholds
 from pairforge.operators import metrics as M
 from pairforge.sources import tables
 
@@ -468,30 +468,3 @@ def test_command_line(tmp_path, capsys):
     assert cli.main(["--verify", str(tmp_path / "m.json")]) == 0
     (tmp_path / "f.txt").write_text("y")
     assert cli.main(["--verify", str(tmp_path / "m.json")]) == 1
-
-
-def test_density_clusters(spark):
-    import numpy as np
-
-    rng = np.random.default_rng(2)
-    blobs = np.concatenate([rng.normal(c, 0.15, (120, 2)) for c in ((0, 0), (4, 0), (0, 4))] + [rng.uniform(-12, 12, (15, 2))])
-    found = density.labels(blobs, 15, 5)
-    assert [len(set(found[k : k + 120][found[k : k + 120] >= 0])) for k in (0, 120, 240)] == [1, 1, 1] and len(set(found[:360]) - {-1}) == 3
-    assert (found[:360] >= 0).mean() > 0.9 and (found[360:] < 0).mean() >= 0.8
-    # Two groups in one of two far clusters: parts that last longer than the whole are clusters of their own.
-    nested = np.concatenate([rng.normal(c, 0.02, (60, 2)) for c in ((0, 0), (1, 0), (30, 30))])
-    assert len(set(density.labels(nested, 10, 3)) - {-1}) == 3
-    a, b, length = density.reachability_tree(blobs[:40], 3)
-    d = np.sqrt(((blobs[:40, None] - blobs[None, :40]) ** 2).sum(2))
-    core = np.sort(d, 1)[:, 2]
-    m = np.maximum(np.maximum(d, core[:, None]), core[None])
-    inside, total = {0}, 0.0
-    while len(inside) < 40:  # Prim's tree on the full matrix
-        w, j = min((m[i, j], j) for i in inside for j in range(40) if j not in inside)
-        inside.add(j)
-        total += w
-    assert length.sum() == pytest.approx(total) and (np.diff(length) >= 0).all() and len(set(a) | set(b)) == 40
-    assert density.labels(blobs[:1], 5, 5).tolist() == [-1] and density.labels(np.zeros((30, 2)), 5, 5).tolist().count(-1) in (0, 30)
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(blobs)], "id int, v array<double>")
-    got = {r.min_size: r for r in density.density_sweep(df, "v", "id", [(15, 5), (200, 5)]).collect()}
-    assert got[15].clusters == 3 and 0 < got[15].noise < 0.2 and got[200].clusters == 0 and got[200].noise == 1.0
