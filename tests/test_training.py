@@ -74,7 +74,7 @@ def test_sparse_regression_equals_a_dense_one(spark, pairs):
     wide = lambda rs: np.hstack([dense(rs), (np.array([lex[r[0]] for r in rs]) - stats.mean(0)) / scale])
     a, b = pairs.where("id % 4 > 0"), pairs.where("id % 4 = 0")
     for lexical, x, z, grid in ((False, dense(train), dense(dev), sparse.GRID), (True, wide(train), wide(dev), [1.0])):
-        model, marks = sparse.fit(a, b, grid, 2, lexical, 1e-13)
+        model, marks = sparse.fit(a, b, grid, 2, lexical, 1e-9)
         assert [c for c, _ in marks] == grid and model.c in grid and model.size == len(names)
         w, i = dense_fit(x, np.array([r[3] for r in train]), model.c)
         got = {r.id: r.score for r in model.score(b).collect()}
