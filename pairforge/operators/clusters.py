@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairforge.functions.vectors import cosine, dot, doubles, midpoint, unit
+from pairforge.operators.resample import uniform
 from pairforge.session import scratch, written
 
 Centroids = list[tuple[int, list[float]]]
@@ -156,9 +157,15 @@ def pca(df: DataFrame, vector: str, dims: int) -> DataFrame:
     return model.transform(rows).withColumn("reduced", vector_to_array("_r")).drop("_f", "_r")
 
 
-def noise_stability(df: DataFrame, vector: str, centroids: Centroids, sigma: float, seed: int) -> DataFrame:
-    """unchanged: the share of rows that keep their cluster when noise is added to their unit vector."""
-    noisy = df.withColumn("_n", unit(F.transform(doubles(F.col(vector)), lambda x: x + F.randn(seed) * sigma)))
+def normal(seed: int, *parts: Column) -> Column:
+    """A standard normal number from hashes of the seed and parts, by the polar form of Box and Muller."""
+    one, two = ((uniform(seed, *parts, F.lit(k)) + F.lit(0.5)) / F.lit(2.0**48) for k in (0, 1))
+    return F.sqrt(-2 * F.log(one)) * F.cos(2 * F.pi() * two)
+
+
+def noise_stability(df: DataFrame, vector: str, key: str, centroids: Centroids, sigma: float, seed: int) -> DataFrame:
+    """unchanged: the share of rows that keep their cluster when noise is added to their vector; noise hangs on key and dimension, not on partitions."""
+    noisy = df.withColumn("_n", unit(F.transform(doubles(F.col(vector)), lambda x, i: x + normal(seed, F.col(key), i) * sigma)))
     both = assign(noisy, vector, centroids).withColumnRenamed("cluster", "_a").drop("second", "margin", "cos_assigned")
     return assign(both, "_n", centroids).agg(F.avg((F.col("_a") == F.col("cluster")).cast("int")).alias("unchanged"))
 

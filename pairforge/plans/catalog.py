@@ -786,9 +786,12 @@ def nearest_members(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.nearest_members(a, "vec_id", 3)
 
 
-@query()
+_NOISE = "sqrt(-2 * ln((" + hex_sql("'3|' || vec_id || '|' || (i - 1) || '|0'", 12) + " + 0.5) / 281474976710656)) * cos(2 * pi() * (" + hex_sql("'3|' || vec_id || '|' || (i - 1) || '|1'", 12) + " + 0.5) / 281474976710656)"
+
+
+@query(f"{_CENT}, w0 AS (SELECT vec_id AS id, e AS va, list_transform(range(1, len(e) + 1), lambda i: e[i] + 0.0104 * {_NOISE}) AS b FROM v), w AS (SELECT id, va, list_transform(b, lambda x: x / sqrt(list_inner_product(b, b))) AS vb FROM w0), q1 AS {_best_sql('va', 'c1')}, q2 AS {_best_sql('vb', 'c2')} SELECT round(avg((c1 = c2)::INT), 6) AS unchanged FROM q1 JOIN q2 USING (id)")
 def noise_stability(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.noise_stability(table(spark, sf, "embeddings"), "embedding", seeds_of(spark, sf), 0.0104, 3)
+    return six(clusters.noise_stability(table(spark, sf, "embeddings"), "embedding", "vec_id", seeds_of(spark, sf), 0.0104, 3))
 
 
 @query()
