@@ -166,6 +166,7 @@ def normal(seed: int, *parts: Column) -> Column:
 def noise_stability(df: DataFrame, vector: str, key: str, centroids: Centroids, sigma: float, seed: int) -> DataFrame:
     """unchanged: the share of rows that keep their cluster when noise is added to their vector; noise hangs on key and dimension, not on partitions."""
     noisy = df.withColumn("_n", unit(F.transform(doubles(F.col(vector)), lambda x, i: x + normal(seed, F.col(key), i) * sigma)))
+    noisy = written(noisy.select(key, vector, "_n"), scratch(df.sparkSession))  # else drawn again for each centroid
     both = assign(noisy, vector, centroids).withColumnRenamed("cluster", "_a").drop("second", "margin", "cos_assigned")
     return assign(both, "_n", centroids).agg(F.avg((F.col("_a") == F.col("cluster")).cast("int")).alias("unchanged"))
 
