@@ -935,7 +935,8 @@ DIMS, REGIONS = 128, 8
 def hashed_vectors(p: DataFrame) -> DataFrame:
     """va and vb: unit vectors of the tokens t1 and t2, hashed to DIMS places. The encoder's stand-in."""
     place = lambda t: F.pmod(F.xxhash64(t), F.lit(DIMS)).cast("int")
-    vector = lambda c: F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.size(F.filter(F.transform(c, place), lambda k: k == i)).cast("double"))
+    count = lambda ks: F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)), lambda i: F.size(F.filter(ks, lambda k: k == i)).cast("double"))
+    vector = lambda c: X.let(F.transform(c, place), count)
     return p.withColumns({"va": V.unit(vector(F.col("t1"))), "vb": V.unit(vector(F.col("t2")))})
 
 
