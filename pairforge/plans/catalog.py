@@ -616,7 +616,7 @@ def comp_sql(src: str, seed: int = 42) -> str:
 
 _NODE = f"(SELECT *, CASE WHEN {node_sql('key_a')} = {node_sql('key_b')} THEN {node_sql('key_a')} ELSE 'dropped_cross_split' END AS split FROM lk)"
 _COMP = f"(SELECT lk.*, split FROM lk JOIN {comp_sql('lk')} USING (component))"
-_HYBRID = f"(SELECT id, is_duplicate, key_a, key_b, component, split FROM (SELECT * FROM lk WHERE size <= 4) JOIN {comp_sql('(SELECT * FROM lk WHERE size <= 4)')} USING (component) UNION ALL SELECT id, is_duplicate, key_a, key_b, component, split FROM {_NODE} WHERE size > 4)"
+_HYBRID = f"(SELECT id, is_duplicate, key_a, key_b, component, size, split FROM (SELECT * FROM lk WHERE size <= 4) JOIN {comp_sql('(SELECT * FROM lk WHERE size <= 4)')} USING (component) UNION ALL SELECT id, is_duplicate, key_a, key_b, component, size, split FROM {_NODE} WHERE size > 4)"
 _RANDOM = f"(SELECT *, {_BY_SHARE} AS split FROM {before_sql('(SELECT *, 1 AS one FROM lk)', 'is_duplicate', 'id', 'one', SEED)})"
 _CAP = 4
 

@@ -57,7 +57,7 @@ def repeated_id_pairs(spark: SparkSession, sf: str) -> DataFrame:
 # Splits ---------------------------------------------------------------------------------
 
 _PROFILE_SQL = ", ".join(f"round(avg((size > {a}{f' AND size <= {b}' if b else ''})::INT), 6) AS {n}" for n, (a, b) in splits.PROFILE.items())
-_STRATEGIES = {"random": K._RANDOM, "component": K._COMP, "node": K._NODE}
+_STRATEGIES = {"random": K._RANDOM, "component": K._COMP, "node": K._NODE, "hybrid": K._HYBRID}
 
 
 @query(f"{K._LK} " + " UNION ALL ".join(
@@ -66,7 +66,8 @@ _STRATEGIES = {"random": K._RANDOM, "component": K._COMP, "node": K._NODE}
 def split_profiles(spark: SparkSession, sf: str) -> DataFrame:
     lk, out = K.linked(spark, sf), None
     for s in _STRATEGIES:
-        r = splits.profile_report(splits.make_split(lk, s, K.SEED)).select(F.lit(s).alias("strategy"), "*")
+        split = splits.hybrid_split(lk, K.SEED, K._CAP) if s == "hybrid" else splits.make_split(lk, s, K.SEED)  # components of the supplied data are small
+        r = splits.profile_report(split).select(F.lit(s).alias("strategy"), "*")
         out = r if out is None else out.unionByName(r)
     return six(out)
 
