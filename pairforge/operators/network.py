@@ -139,12 +139,14 @@ def train(
     """Trains on df (id, x, y and, with folds, fold from 0 on): one network, or one for each fold, from the rows of the others.
 
     With dev (x, y), for one network: training ends after patience passes without a greater PR area there, and the best weights stay.
-    Without, it takes so many passes. batch: rows of a batch, about.
+    Without, it takes so many passes. batch: rows of a batch, about. An empty df is an error; a fold that holds all rows keeps its initial weights.
     """
     spark = df.sparkSession
     rows = df.select(F.col("id").cast("long"), F.col("x").cast("array<double>"), F.col("y").cast("double"), (F.col("fold") if folds else F.lit(-1)).cast("int").alias("fold"))
     n, inputs = rows.agg(F.count(F.lit(1)), F.max(F.size("x"))).head()
-    batches = max(1, -(-n // batch))
+    if not n:
+        raise ValueError("no rows to train on")
+    batches = -(-n // batch)
     which = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(batches))
     # One stored set of blocks for each batch, so that a step reads its batch alone.
     dealt = [rows.where(which == b).rdd.mapPartitions(_blocks).persist(StorageLevel.MEMORY_AND_DISK) for b in range(batches)]

@@ -116,7 +116,7 @@ def fit_agreement(spark: SparkSession, sf: str) -> DataFrame:
 
 
 #: Vectors of one block share a fold.
-VECTOR_BLOCK = 500
+VECTOR_BLOCK = 50
 
 
 def folded_vector_pairs(spark: SparkSession, sf: str) -> DataFrame:
