@@ -32,7 +32,7 @@ def initial(inputs: int, hidden: int = HIDDEN, seed: int = SEED) -> Weights:
     return layer(inputs, hidden) + layer(hidden, 1)
 
 
-def _hash(x: np.ndarray) -> np.ndarray:
+def hashed(x: np.ndarray) -> np.ndarray:
     """Uniform numbers in [0, 1) from unsigned integers."""
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -45,7 +45,7 @@ def mask(ids: np.ndarray, units: int, turn: int, dropout: float, seed: int) -> n
     with np.errstate(over="ignore"):
         row = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + turn) * 0xD6E8FEB86659FD93 % 2**64)
         cell = row[:, None] ^ (np.arange(units, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))[None, :]
-    return (_hash(cell) >= dropout) / (1 - dropout)
+    return (hashed(cell) >= dropout) / (1 - dropout)
 
 
 def forward(w: Weights, x: np.ndarray) -> np.ndarray:

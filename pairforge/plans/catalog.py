@@ -11,7 +11,7 @@ from pairforge.functions import constraints as C
 from pairforge.functions import text as X
 from pairforge.functions import vectors as V
 from pairforge.functions.lexical import FEATURES, audit_jaccard, lexical_features, with_tokens
-from pairforge.operators import audit, clusters, explain, graph, models, replicates, resample, splits, tfidf, thresholds, vocabulary
+from pairforge.operators import audit, clusters, explain, graph, models, poisson, replicates, resample, splits, tfidf, thresholds, vocabulary
 from pairforge.operators import metrics as M
 from pairforge.plans.views import PAIRS_SQL, STOPS_SQL, TOKENS_SQL, VECTORS_SQL, except_sql, jaccard_sql, key_sql, norm_sql, q, scored, table, text_pairs, tokens_sql, vector_pairs, words_sql
 from pairforge.session import ready, scratch, written
@@ -561,6 +561,18 @@ def paired_bootstrap_1000(spark: SparkSession, sf: str) -> DataFrame:
     return six(replicates.paired_bootstrap(scored(spark, sf), 0.5, 0.51, BOOTSTRAPS))
 
 
+@query()
+def cluster_intervals_1000(spark: SparkSession, sf: str) -> DataFrame:
+    """By cluster: F1 at 0.5, the optimal threshold and both exact areas, with their intervals over replicates of Poisson weights."""
+    return six(poisson.cluster_intervals(scored(spark, sf), 0.5, BOOTSTRAPS))
+
+
+@query()
+def paired_intervals_1000(spark: SparkSession, sf: str) -> DataFrame:
+    """Gains in the seven decision metrics and both exact areas, with their intervals over replicates of Poisson weights."""
+    return six(poisson.paired_intervals(scored(spark, sf), 0.5, 0.51, BOOTSTRAPS))
+
+
 @query()
 def random_partition_null_500(spark: SparkSession, sf: str) -> DataFrame:
     return six(replicates.partition_null(scored(spark, sf), 0.5, PERMUTATIONS))
