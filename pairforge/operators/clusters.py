@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairforge.functions.vectors import cosine, dot, doubles, midpoint, unit
+from pairforge.operators import kmeans as lloyd
 from pairforge.operators.resample import uniform
 from pairforge.session import scratch, written
 
@@ -104,50 +104,12 @@ def silhouette(df: DataFrame, vector: str, cluster: str, key: str, sample: int,
 
 def kmeans(df: DataFrame, vector: str, k: int, seeds: range) -> Centroids:
     """Centroids of the cheapest of several runs, numbered by size, the largest first."""
-    rows = df.withColumn("features", array_to_vector(doubles(F.col(vector))))
-    models = [KMeans(k=k, seed=s, featuresCol="features", predictionCol="c").fit(rows) for s in seeds]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    order = sorted(range(k), key=lambda i: (-best.summary.clusterSizes[i], i))
-    return [(new, [float(x) for x in best.clusterCenters()[old]]) for new, old in enumerate(order)]
-
-
-def fit_agreement(df: DataFrame, vector: str, k: int, seeds: list[int]) -> DataFrame:
-    """first, second, ari: agreement of fits of each two seeds on all rows."""
-    labelled = df.select(vector)
-    for s in seeds:
-        labelled = assign(labelled, vector, kmeans(df, vector, k, range(s, s + 1))).withColumnRenamed("cluster", f"_{s}").drop("second", "margin", "cos_assigned")
-    out = None
-    for i, a in enumerate(seeds):
-        for b in seeds[i + 1 :]:
-            r = adjusted_rand(labelled, f"_{a}", f"_{b}").select(F.lit(a).alias("first"), F.lit(b).alias("second"), "ari")
-            out = r if out is None else out.unionByName(r)
-    return out
-
-
-def split_half(df: DataFrame, vector: str, key: str, k: int, seed: int, held_out: float = 0.2) -> DataFrame:
-    """ari of fits on two disjoint halves, on rows that neither has seen."""
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
-    part = F.when(draw < held_out, 2).when(draw < held_out + (1 - held_out) / 2, 0).otherwise(1)
-    rows = df.withColumn("_part", part)
-    labelled = rows.where("_part = 2").select(vector)
-    for i in (0, 1):
-        own = rows.where(F.col("_part") == i)
-        labelled = assign(labelled, vector, kmeans(own, vector, k, range(seed + i, seed + i + 1))).withColumnRenamed("cluster", f"_{i}").drop("second", "margin", "cos_assigned")
-    return adjusted_rand(labelled, "_0", "_1")
-
-
-def k_sweep(df: DataFrame, vector: str, key: str, ks: list[int], seeds: range) -> DataFrame:
-    """k and the quality of its clustering: inertia, sizes, separation, silhouette of a sample, agreement of seeds and of halves."""
-    df, out = written(df, f"{scratch(df.sparkSession)}/vectors"), None  # fits read it many times
-    for k in ks:
-        cents = kmeans(df, vector, k, seeds)
-        own = assign(df, vector, cents)
-        again = fit_agreement(df, vector, k, [seeds.start, seeds.stop]).select(F.col("ari").alias("seed_ari"))
-        halves = split_half(df, vector, key, k, seeds.start).select(F.col("ari").alias("split_half_ari"))
-        inertia = own.agg(F.sum(-2 * (scores(F.col(vector), cents)[0]["s"]) + dot(F.col(vector), F.col(vector))).alias("inertia"))
-        row = size_stats(own).crossJoin(separation(own, vector)).crossJoin(silhouette(own, vector, "cluster", key, 500, 1)).crossJoin(again).crossJoin(halves).crossJoin(inertia).withColumn("k", F.lit(k))
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = lloyd.rows_of(df.withColumn("_k", F.xxhash64(vector)), vector, "_k").persist()
+    try:
+        best = lloyd.best(lloyd.fit_all(rows, [lloyd.Fit(k, s) for s in seeds]))
+    finally:
+        rows.unpersist()
+    return list(enumerate(best.centres.tolist()))
 
 
 def pca(df: DataFrame, vector: str, dims: int) -> DataFrame:

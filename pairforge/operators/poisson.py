@@ -107,8 +107,10 @@ class Segment:
             had[0], had[1] = had[0] + pos, had[1] + neg
 
 
-_FIRST = "part int, grp int, first double, last double, runs long, tie_pos array<long>, tie_neg array<long>, k array<int>, pos array<array<long>>, neg array<array<long>>"
+#: ties and cells are whole numbers of 64 bits: replicates of positives, then of negatives, for each cell in turn.
+_FIRST = "part int, grp int, first double, last double, runs long, tie binary, k array<int>, cells binary"
 _SECOND = "grp int, ap array<double>, roc array<double>"
+_SECOND_ARROW = pa.schema([("grp", pa.int32()), ("ap", pa.list_(pa.float64())), ("roc", pa.list_(pa.float64()))])
 
 
 def _first_pass(rows: DataFrame, numbers: np.ndarray, seed: int) -> dict[tuple[int, int], Segment]:
@@ -118,19 +120,16 @@ def _first_pass(rows: DataFrame, numbers: np.ndarray, seed: int) -> dict[tuple[i
             for at, s in r.segments():
                 found.setdefault(at, Segment(float(s.score[0]))).add(s)
         for (part, group), s in found.items():
-            out = [part, group, s.first, s.last, s.runs, s.tie[0].tolist(), s.tie[1].tolist(), list(s.cells), [c[0].tolist() for c in s.cells.values()], [c[1].tolist() for c in s.cells.values()]]
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, out, strict=True))], schema)
-
-    schema = _arrow(_FIRST)
-    return {
-        (r["part"], r["grp"]): Segment(r["first"], r["last"], r["runs"], (np.array(r["tie_pos"]), np.array(r["tie_neg"])), {k: [np.array(p), np.array(n)] for k, p, n in zip(r["k"], r["pos"], r["neg"], strict=True)})
-        for r in rows.mapInArrow(each, _FIRST).collect()
-    }
-
-
-def _arrow(ddl: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<array<long>>": pa.list_(pa.list_(pa.int64()))}
-    return pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+            out = (part, group, s.first, s.last, s.runs, np.array(s.tie, np.int64).tobytes(), list(s.cells), np.array(list(s.cells.values()), np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(out, kinds, strict=True)], names=[c.split()[0] for c in _FIRST.split(", ")])
+
+    kinds = [pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.binary()]
+    out = {}
+    for r in rows.mapInArrow(each, _FIRST).collect():
+        tie = np.frombuffer(r["tie"], np.int64).reshape(2, -1)
+        cells = np.frombuffer(r["cells"], np.int64).reshape(len(r["k"]), 2, -1)
+        out[r["part"], r["grp"]] = Segment(r["first"], r["last"], r["runs"], (tie[0], tie[1]), dict(zip(r["k"], map(list, cells), strict=True)))
+    return out
 
 
 @dataclass
@@ -182,7 +181,7 @@ def _second_pass(rows: DataFrame, numbers: np.ndarray, seed: int, before: dict[t
                 had[0] += (pos * np.divide(tp, tp + fp, out=np.zeros(tp.shape), where=tp + fp > 0)).sum(0)
                 had[1] += (neg * (tp - pos / 2)).sum(0)
         for g, (ap, roc) in sums.items():
-            yield pa.RecordBatch.from_pylist([{"grp": g, "ap": ap.tolist(), "roc": roc.tolist()}], _arrow(_SECOND))
+            yield pa.RecordBatch.from_pylist([{"grp": g, "ap": ap.tolist(), "roc": roc.tolist()}], _SECOND_ARROW)
 
     ap, roc = np.zeros((groups, len(numbers))), np.zeros((groups, len(numbers)))
     for r in rows.mapInArrow(each, _SECOND).collect():

@@ -11,7 +11,7 @@ from pairforge.functions import constraints as C
 from pairforge.functions import text as X
 from pairforge.functions import vectors as V
 from pairforge.functions.lexical import FEATURES, audit_jaccard, lexical_features, with_tokens
-from pairforge.operators import audit, clusters, explain, graph, models, poisson, replicates, resample, splits, tfidf, thresholds, vocabulary
+from pairforge.operators import audit, clusters, explain, graph, kmeans, models, poisson, replicates, resample, splits, tfidf, thresholds, vocabulary
 from pairforge.operators import metrics as M
 from pairforge.plans.views import PAIRS_SQL, STOPS_SQL, TOKENS_SQL, VECTORS_SQL, except_sql, jaccard_sql, key_sql, norm_sql, q, scored, table, text_pairs, tokens_sql, vector_pairs, words_sql
 from pairforge.session import ready, scratch, written
@@ -808,7 +808,7 @@ def noise_stability(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def kmeans_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return six(clusters.k_sweep(table(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", "vec_id", [5, 8, 10, 12, 15, 20], range(1, 3)))
+    return six(kmeans.sweep(table(spark, sf, "embeddings"), "embedding", "vec_id", [5, 8, 10, 12, 15, 20], sample=SILHOUETTE_ROWS))
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import constraints as C
 from pairforge.functions import vectors as V
-from pairforge.operators import audit, clusters, graph, network, sparse, splits
+from pairforge.operators import audit, clusters, graph, kmeans, network, sparse, splits
 from pairforge.operators import metrics as M
 from pairforge.plans import catalog as K
 from pairforge.plans.catalog import query, r6, six
@@ -108,11 +108,7 @@ def half_precision(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def fit_agreement(spark: SparkSession, sf: str) -> DataFrame:
     """Agreement of each two of four fits, and of fits on halves."""
-    e = written(table(spark, sf, "embeddings").select("vec_id", "embedding"), scratch(spark))
-    seeds = clusters.fit_agreement(e, "embedding", 10, [100, 200, 300, 400]).select(F.lit("seeds").alias("kind"), "first", "second", "ari")
-    for s in (11, 22, 33):
-        seeds = seeds.unionByName(clusters.split_half(e, "embedding", "vec_id", 10, s).select(F.lit("halves").alias("kind"), F.lit(s).alias("first"), F.lit(s + 1).alias("second"), "ari"))
-    return six(seeds)
+    return six(kmeans.fit_agreement(table(spark, sf, "embeddings"), "embedding", "vec_id", 10, [100, 200, 300, 400], [11, 22, 33]))
 
 
 #: Vectors of one block share a fold.
