@@ -5,6 +5,7 @@ Draws are md5 hashes of a seed and an id, so a split depends on neither the orde
 
 from __future__ import annotations
 
+from functools import reduce
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pairforge.functions.text import ratio
 from pairforge.operators.graph import components
 from pairforge.operators.metrics import band
 from pairforge.operators.resample import by_hash, uniform
+from pairforge.session import scratch, written
 
 RATIOS = {"train": 0.8, "val": 0.1, "test": 0.1}
 BUCKETS = [1, 2, 5, 10]
@@ -176,6 +178,46 @@ def id_checksum(split: DataFrame) -> DataFrame:
     return split.groupBy("split").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ","), 256).alias("checksum"))
 
 
+#: Hexadecimal digits of a row's hash that the leaves of a checksum tree stand for.
+TREE_DEPTH = 3
+
+
+def encoded(*columns: str) -> Column:
+    """The values of a row as one string, so that different rows have different strings."""
+    text = lambda c: F.col(c).cast("string")
+    return F.concat_ws(",", *[F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("null")) for c in columns])
+
+
+def checksum_tree(df: DataFrame, columns: list[str], by: tuple[str, ...] = (), depth: int = TREE_DEPTH) -> DataFrame:
+    """by, prefix, rows, digest: SHA-256 of the rows whose hash begins with prefix, from leaves of depth digits up to the root ''.
+
+    A leaf is the sums of its rows' hashes, word by word, and so needs no order and gathers no rows; repeated rows count.
+    Nodes above are digests of their children, at most 16. Tables with equal rows have equal trees over any layout.
+    """
+    if not 1 <= depth <= 8:
+        raise ValueError("a tree has 1 to 8 levels")
+    rows = df.select(*by, F.sha2(encoded(*columns), 256).alias("h"))
+    words = [F.sum(F.conv(F.substring("h", 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"_{i}") for i in range(8)]
+    leaves = rows.groupBy(*by, F.substring("h", 1, depth).alias("prefix")).agg(F.count(F.lit(1)).alias("rows"), *words)
+    level = leaves.select(*by, "prefix", "rows", F.sha2(F.concat_ws(",", F.col("rows").cast("string"), *[f"_{i}" for i in range(8)]), 256).alias("digest"))
+    level = out = written(level, scratch(df.sparkSession))  # 16 ** depth rows at most
+    for d in range(depth - 1, -1, -1):
+        children = F.transform(F.array_sort(F.collect_list(F.struct("prefix", "digest"))), lambda x: F.concat(x["prefix"], F.lit(":"), x["digest"]))
+        level = level.groupBy(*by, F.substring("prefix", 1, d).alias("prefix")).agg(F.sum("rows").alias("rows"), F.sha2(F.array_join(children, ","), 256).alias("digest"))
+        out = out.unionByName(level)
+    return out
+
+
+def tree_differences(now: DataFrame, kept: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, prefix, rows, rows_kept of the leaves in which two trees of one depth differ; a side without rows has 0."""
+    at = [*by, "prefix"]
+    leaf = lambda t: t.withColumn("_d", F.max(F.length("prefix")).over(Window.partitionBy())).where(F.length("prefix") == F.col("_d")).drop("_d")  # noqa: E731  nodes are few
+    a, b = leaf(now), leaf(kept).withColumnsRenamed({"rows": "rows_kept", "digest": "_kept"})
+    both = a.alias("a").join(b.alias("b"), reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in at]), "full")
+    changed = both.where(~F.col("digest").eqNullSafe(F.col("_kept")))
+    return changed.select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in at], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rows", "rows_kept")])
+
+
 def fold_segments(sizes: list[tuple[int, int]], folds: int) -> dict[int, list[tuple[int, int, list[int]]]]:
     """For sizes of groups and how many have each, from the largest: segments (from, to, order) of the groups of a size.
 

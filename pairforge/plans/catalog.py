@@ -702,6 +702,21 @@ def split_checksums(spark: SparkSession, sf: str) -> DataFrame:
     return splits.id_checksum(splits.hybrid_split(linked(spark, sf), SEED, _CAP))
 
 
+def tree_sql(src: str, by: str, columns: list[str], depth: int) -> str:
+    row = " || ',' || ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, 'null')" for c in columns)
+    words = " || ',' || ".join(f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)" for i in range(8))
+    out = [f"t{depth} AS (SELECT {by}, substr(h, 1, {depth}) AS prefix, count(*) AS n, sha256(count(*) || ',' || {words}) AS digest FROM (SELECT {by}, sha256({row}) AS h FROM {src}) GROUP BY 1, 2)"]
+    for d in range(depth - 1, -1, -1):
+        out.append(f"t{d} AS (SELECT {by}, substr(u.prefix, 1, {d}) AS prefix, sum(n)::BIGINT AS n, sha256(string_agg(u.prefix || ':' || digest, ',' ORDER BY u.prefix)) AS digest FROM t{d + 1} u GROUP BY {by}, substr(u.prefix, 1, {d}))")
+    return ", ".join(out) + " " + " UNION ALL ".join(f'SELECT {by}, prefix, n AS "rows", digest FROM t{d}' for d in range(depth, -1, -1))
+
+
+@query(f"{_LK}, sp AS (SELECT * FROM {_HYBRID}), {tree_sql('sp', 'split', ['id', 'is_duplicate'], 2)}")
+def split_checksum_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Checksums of the pairs of each split, from 256 ranges of hashes up to the root."""
+    return splits.checksum_tree(splits.hybrid_split(linked(spark, sf), SEED, _CAP), ["id", "is_duplicate"], ("split",), 2)
+
+
 _SEEDS = " UNION ALL ".join(f"SELECT {i} AS seed, split, is_duplicate FROM (SELECT lk.*, split FROM lk JOIN {comp_sql('lk', i)} USING (component))" for i in range(3))
 
 
@@ -781,13 +796,17 @@ def cluster_separation(spark: SparkSession, sf: str) -> DataFrame:
     return six(clusters.separation(labelled(spark, sf), "embedding"))
 
 
-@query(f"""{_LAB}, sm AS (SELECT vec_id, e, cluster FROM la ORDER BY md5('1|' || vec_id), vec_id LIMIT 200), pd AS (SELECT a.vec_id, a.cluster AS own, b.cluster AS other, avg(sqrt({_D2.format(a='a.e', b='b.e')})) AS d FROM sm a JOIN sm b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
-ea AS (SELECT vec_id, min(d) FILTER (own = other) AS i, min(d) FILTER (own <> other) AS o FROM pd GROUP BY vec_id) SELECT round(avg(coalesce((o - i) / CASE WHEN i IS NULL THEN NULL ELSE greatest(o, i) END, 0)), 6) AS silhouette FROM ea""")
+def silhouette_sql(n: int) -> str:
+    return f"""{_LAB}, sm AS (SELECT vec_id, e, cluster FROM la ORDER BY md5('1|' || vec_id), vec_id LIMIT {n}), pd AS (SELECT a.vec_id, a.cluster AS own, b.cluster AS other, avg(sqrt({_D2.format(a='a.e', b='b.e')})) AS d FROM sm a JOIN sm b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+ea AS (SELECT vec_id, min(d) FILTER (own = other) AS i, min(d) FILTER (own <> other) AS o FROM pd GROUP BY vec_id) SELECT round(avg(coalesce((o - i) / CASE WHEN i IS NULL THEN NULL ELSE greatest(o, i) END, 0)), 6) AS silhouette FROM ea"""
+
+
+@query(silhouette_sql(200))
 def silhouette_sample(spark: SparkSession, sf: str) -> DataFrame:
     return six(clusters.silhouette(labelled(spark, sf), "embedding", "cluster", "vec_id", 200, 1))
 
 
-@query()
+@query(silhouette_sql(20_000))
 def silhouette_sample_20000(spark: SparkSession, sf: str) -> DataFrame:
     return six(clusters.silhouette(labelled(spark, sf), "embedding", "cluster", "vec_id", SILHOUETTE_ROWS, 1))
 

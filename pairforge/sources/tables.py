@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 from typing import Any
 
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairforge.functions.vectors import halves
+from pairforge.operators.splits import encoded
 
 PAIRS = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("qid1", T.LongType()), T.StructField("qid2", T.LongType()),
@@ -99,6 +102,37 @@ def vector_info(vectors: DataFrame, encoder: str, key: str = "text") -> dict:
     return {"encoder": encoder, "texts": r.texts, "dims": r.dims, "keys": str(r["keys"])}
 
 
+def version_of(*functions: Callable) -> str:
+    """A name for what functions do: it changes with their source."""
+    return hashlib.sha256("\n".join(inspect.getsource(f) for f in functions).encode()).hexdigest()[:16]
+
+
+def stored_features(rows: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, version: str, texts: tuple[str, ...] = ("question1", "question2"), key: str = "id") -> tuple[DataFrame, int]:
+    """key and the features of each row, and the number of different texts that were computed for it.
+
+    Features are kept by the hash of their texts under a folder for the version, so other versions are never read, rows
+    with the same texts share one entry and a second run computes nothing. compute: texts to texts and features, row by
+    row. Null texts are texts of their own. Raises if a row is left without features.
+    """
+    spark = rows.sparkSession
+    place = f"{path.rstrip('/')}/version={version}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(place)
+    hashed = rows.select(key, *texts).withColumn("text_hash", F.sha2(encoded(*texts), 256))
+    new = hashed.select("text_hash", *texts).dropDuplicates(["text_hash"])
+    known = spark.read.parquet(place) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+    if known is not None:
+        new = new.join(known, "text_hash", "left_anti")
+    if made := new.count():
+        compute(new).drop(*texts).write.mode("append").parquet(place)
+        known = spark.read.parquet(place)
+    if known is None:
+        raise ValueError("there are no rows to compute features of")
+    # Two runs at once may both have added a text.
+    found = hashed.select(key, "text_hash").join(known.dropDuplicates(["text_hash"]), "text_hash").drop("text_hash")
+    cover(rows.select(key), found.select(key), key)
+    return found, made
+
+
 def extract_archive(archive: str, member: str, to: str) -> Path:
     """A file of a zip archive, or of a zip archive within it. A driver-side step before data reach the shared store."""
     with zipfile.ZipFile(archive) as z:
