@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairforge.functions.text import text_of
+from pairforge.operators.quantiles import with_quantiles
+from pairforge.session import scratch, written
 
 # Patterns of text issues.
 ISSUES = {
@@ -103,14 +105,16 @@ def length_stats(df: DataFrame) -> DataFrame:
     """unit, mean, median, min, p1, p99, max of characters and words over both sides."""
     t = text_of(F.col("text"))
     rows = texts(df).select(F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.length(t).alias("n")), F.struct(F.lit("words").alias("unit"), word_count(t).alias("n")))).alias("r")).select("r.*")
-    p = lambda q: F.percentile("n", F.lit(q))
-    return rows.groupBy("unit").agg(F.avg("n").alias("mean"), p(0.5).alias("median"), F.min("n").alias("min"), p(0.01).alias("p1"), p(0.99).alias("p99"), F.max("n").alias("max"))
+    rows = written(rows, scratch(df.sparkSession))  # two numbers for each text, read more than once
+    out = rows.groupBy("unit").agg(F.avg("n").alias("mean"), F.min("n").alias("min"), F.max("n").alias("max"))
+    return with_quantiles(out, rows, "n", {"median": 0.5, "p1": 0.01, "p99": 0.99}, ("unit",)).select("unit", "mean", "median", "min", "p1", "p99", "max")
 
 
 def describe(df: DataFrame, x: str, by: str) -> DataFrame:
     """by, count, mean, std (of a sample), min, quartiles, max."""
-    p = lambda q: F.percentile(x, F.lit(q))
-    return df.groupBy(by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.75).alias("p75"), F.max(x).alias("max"))
+    rows = written(df.select(by, x), scratch(df.sparkSession))
+    out = rows.groupBy(by).agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return with_quantiles(out, rows, x, {"p25": 0.25, "p50": 0.5, "p75": 0.75}, (by,)).select(by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def extremes(df: DataFrame, n: int) -> DataFrame:

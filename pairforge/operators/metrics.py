@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairforge.functions.text import ratio
+from pairforge.operators.quantiles import quantiles
 
 GRID = 100
 #: Scores are ranked within this many ranges of [0, 1], whose totals are few.
@@ -230,7 +231,8 @@ def validation_report(scored: DataFrame, probability: bool = True) -> DataFrame:
 
 def quartile(df: DataFrame, x: str) -> DataFrame:
     """Adds quartile 0 to 3 of x, by exact percentiles."""
-    cuts = df.agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("cuts"))
+    found = quantiles(df, x, {"a": 0.25, "b": 0.5, "c": 0.75})
+    cuts = found.select(F.array("a", "b", "c").alias("cuts"))
     marked = df.crossJoin(F.broadcast(cuts))
     return marked.withColumn("quartile", sum(((F.col(x) >= F.col("cuts")[i]).cast("int") for i in range(3)), F.lit(0))).drop("cuts")
 

@@ -11,7 +11,7 @@ from pairforge.functions import constraints as C
 from pairforge.functions import text as X
 from pairforge.functions import vectors as V
 from pairforge.functions.lexical import FEATURES, audit_jaccard, lexical_features, with_tokens
-from pairforge.operators import audit, clusters, explain, graph, kmeans, models, poisson, replicates, resample, splits, tfidf, thresholds, vocabulary
+from pairforge.operators import audit, clusters, explain, graph, kmeans, models, poisson, quantiles, replicates, resample, splits, tfidf, thresholds, vocabulary
 from pairforge.operators import metrics as M
 from pairforge.plans.views import PAIRS_SQL, STOPS_SQL, TOKENS_SQL, VECTORS_SQL, except_sql, jaccard_sql, key_sql, norm_sql, q, scored, table, text_pairs, tokens_sql, vector_pairs, words_sql
 from pairforge.session import ready, scratch, written
@@ -133,7 +133,7 @@ def _wc(x: str) -> str:
 
 @query(f"WITH {PAIRS_SQL} SELECT is_duplicate, quantile_cont(abs({_wc('question1')} - {_wc('question2')})::DOUBLE, 0.5) AS median FROM pairs GROUP BY is_duplicate")
 def median_word_diff_by_label(spark: SparkSession, sf: str) -> DataFrame:
-    return _diff(spark, sf).groupBy("is_duplicate").agg(F.median("diff").alias("median"))
+    return quantiles.quantiles(_diff(spark, sf), "diff", {"median": 0.5}, ("is_duplicate",))
 
 
 @query(rf"WITH {PAIRS_SQL}, w AS (SELECT is_duplicate, list_distinct(regexp_extract_all(lower(question1), '[\p{{L}}\p{{N}}_]+')) AS a, list_distinct(regexp_extract_all(lower(question2), '[\p{{L}}\p{{N}}_]+')) AS b FROM pairs), j AS (SELECT is_duplicate, {jaccard_sql('a', 'b')} AS x FROM w) SELECT is_duplicate, count(*) AS count, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(min(x), 6) AS min, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.75), 6) AS p75, round(max(x), 6) AS max FROM j GROUP BY is_duplicate")
