@@ -6,6 +6,7 @@ import random
 import re
 import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -520,6 +521,109 @@ def test_pages_need_no_article_tags():
         assert html_extract.main_text(bare) == html_extract.main_text(page or "")
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the supplied tables are not here")
+def test_pages_need_no_class_names():
+    import pyarrow.parquet as pq
+
+    pages = [p or "" for p in pq.read_table(f"{DATA}/pages.parquet").column("html").to_pylist()]
+    plain = [re.sub(r"""\s(class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""", "", p) for p in pages]
+    bare = [re.sub(r"<(/?)(article|main)\b", r"<\1div", p) for p in plain]
+    for changed in (plain, bare):
+        assert sum(html_extract.main_text(a) == html_extract.main_text(b) for a, b in zip(pages, changed, strict=True)) >= 0.95 * len(pages)
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<article><p>a</p><p id='login-help'>b</p><div class='search-results'><p>c</p></div></article>", "a b c"),
+    ("<article><p>before <span class='ad'>buy now</span> after</p></article>", "before after"),
+    ("<article><h1 class='header'>T</h1><p class='notice'>n</p><p>x <b class='ad'>y</b></p></article>", "T x y"),
+    ("<div class='login-help'>short</div><div><p>" + "the cat and the dog were in the house " * 8 + "</p></div>", ("the cat and the dog were in the house " * 8).strip()),
+    ("<ul><li><a href=x>link</a></li></ul><div>Buy this.</div><div><h1>T</h1><p>Short.</p><p>" + "the cat and the dog were in the house " * 8 + "</p></div><div>Sold here.</div><div><a href=x>more</a></div>", "T Short. " + ("the cat and the dog were in the house " * 8).strip()),
+    ("<div class='search-page'><p>one</p><p>two</p></div>", "one two"),
+])
+def test_hints_lower_a_prior(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_second_pass_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(3000):
+        n = rng.randrange(0, 12)
+        label = [rng.choice([True, False, None, None]) for _ in range(n)]
+        speaks, off, heading = ([rng.random() < share for _ in range(n)] for share in (0.8, 0.4, 0.2))
+        alone = rng.random() < 0.5
+        want = []
+        for i in range(n):
+            heard = [j for j in range(n) if label[j] is not None and speaks[j]]
+            beside = [j for j in range(n) if label[j] is not None and off[j]]
+            if label[i] is not None:
+                want.append(label[i])
+            elif off[i] and not heading[i] and alone and not beside:
+                want.append(False)
+            else:
+                heard = beside if off[i] and not heading[i] and beside else heard
+                heard = [j for j in heard if j > i] or heard if heading[i] else heard
+                least = min((abs(j - i) for j in heard), default=0)
+                want.append(any(label[j] for j in heard if abs(j - i) == least) if heard else True)
+        assert html_extract.inherited(label, speaks, off, heading, alone) == want
+
+
+def test_first_pass_against_brute_force():
+    """Blocks, link density, stop words and the trunk of well-formed pages without marks, by a tree of the page."""
+    rng = random.Random(5)
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.path, self.links, self.found, self.n, self.fresh = [], 0, [], 0, True
+
+        def handle_starttag(self, tag, attrs):
+            self.n += 1
+            self.path.append((tag, self.n))
+            self.links += tag == "a"
+            self.fresh = self.fresh or tag != "a"
+
+        def handle_endtag(self, tag):
+            self.path.pop()
+            self.links -= tag == "a"
+            self.fresh = self.fresh or tag != "a"
+
+        def handle_data(self, data):
+            if self.fresh:
+                self.found.append(["", 0, [x for x in self.path if x[0] != "a"]])
+            self.fresh = False
+            self.found[-1][0] += data
+            self.found[-1][1] += len(data.strip()) if self.links else 0
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.3:
+            text = " ".join(rng.choice(["the", "and", "was", "stone", "river", "walked"]) for _ in range(rng.choice([2, 8, 15, 60])))
+            return f"<{(t := rng.choice(['p', 'h2', 'div']))}>{text if rng.random() < 0.7 else f'<a>{text}</a>'}</{t}>"
+        return "<div>" + "".join(made(depth - 1) for _ in range(rng.randrange(1, 5))) + "</div>"
+
+    for _ in range(300):
+        page = "<body>" + "".join(made(3) for _ in range(3)) + "</body>"
+        tree = Tree()
+        tree.feed(page)
+        found, marked, boxes = html_extract.blocks(page)
+        assert [(b.text, b.linked, b.tag) for b in found] == [(t, n, p[-1][0]) for t, n, p in tree.found]
+        share = [sum(w in html_extract.STOPS for w in t.split()) / len(t.split()) for t, *_ in tree.found]
+        dense = [n > 0.34 * len(t) for t, n, _ in tree.found]
+        prose = [len(t) >= 200 and s >= 0.1 and not d for (t, *_), s, d in zip(tree.found, share, dense, strict=True)]
+        weight = [0 if d or any(prose) and not good else len(t) for (t, *_), d, good in zip(tree.found, dense, prose, strict=True)]
+        loose = sum(w for w, (*_, p) in zip(weight, tree.found, strict=True) if p[-1][0] == "div") * 2 > sum(weight)
+        paths = []
+        for *_, p in tree.found:
+            q = [x for x in p if x[0] in ("body", "div")]
+            paths.append(q[:-1] if loose and p[-1][0] == "div" else q)
+        trunk = max((q[:k] for q in paths for k in range(1, len(q) + 1) if sum(w for w, r in zip(weight, paths, strict=True) if r[:k] == q[:k]) >= 0.8 * sum(weight) > 0), key=len, default=[])
+        off = [bool(trunk) and q[: len(trunk)] != trunk and trunk[: len(q)] != q for q in paths]
+        label = []
+        for (t, n, _), s, d, good, o in zip(tree.found, share, dense, prose, off, strict=True):
+            label.append(True if good else False if d or len(t) < 70 and n else None if len(t) < 70 else True if len(t) >= 200 or s >= 0.1 and not o else None)
+        want = html_extract.inherited(label, [True] * len(label), off, [p[-1][0] == "h2" for *_, p in tree.found], False)
+        assert html_extract.classified(found, marked, boxes) == want
+
+
 @pytest.mark.parametrize(("page", "text"), [
     ("<nav><a>x</a></nav><article><h1>T &amp; U</h1><p>one<b> two</b><br>three</p></article><footer>f</footer>", "T & U one two three"),
     ("<article><p>a<p>b<aside>side</aside><form>f</form><section class='comments'><p>no</p></section>c</article>", "a b c"),
