@@ -3,17 +3,19 @@
 Each source is a queue of tokens. Window after window, the round takes a quantum from every queue in order: its share
 of the window under the target proportions. What a quantum lacks of a whole token, or a queue of its quantum, stays
 as deficit and is added in the next window, so after j windows a queue has given floor(j * share) tokens of a stretch.
-This closed form needs nothing but the totals of the queues: every task computes by itself where the tokens of
-its documents go, and deficits carry over partitions as they do over windows. The windows follow each other without
-gap and are cut into sequences of SEQUENCE tokens; only the end of the corpus remains, cut into powers of two.
+This closed form needs nothing but a queue's own total: every task computes by itself the windows of its documents'
+tokens, and deficits carry over partitions as they do over windows. Where a queue stands in a window is a table of
+(queue, window), so sources may be as many as there are documents. The windows follow each other without gap and are
+cut into sequences of SEQUENCE tokens; only the end of the corpus remains, cut into powers of two.
 """
 
 from __future__ import annotations
 
 import sys
 import zlib
-from bisect import bisect_right
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from pairforge.llm.shared import as_text, ready, scratch, written
 from pairforge.llm.vectext import Known, hashed, pieces
 
 SEQUENCE, WINDOW_SEQUENCES = 1024, 256
-#: More sources than this share queues by hash, so that a table of queues has a bounded size.
-MAX_QUEUES = 4096
+#: Windows whose totals are added up in one group.
+BLOCK = 4096
 #: Pre-tokens that a worker keeps the ids of.
 CACHE = 500_000
 
@@ -147,98 +149,65 @@ def encoder(path: str) -> Encoder:
     return kept.__dict__[path]
 
 
-class Schedule:
-    """Where the x-th token of a queue goes.
+#: Stretches of windows in which a queue takes part: (first window, windows, tokens of the queue before it, its tokens there).
+Stretches = list[tuple[int, int, int, int]]
 
-    totals: tokens of each queue; weights: their target proportions, by default those of the totals, so that all
-    queues end together. With others, a queue that runs dry leaves its share to the rest in proportion.
-    """
-
-    def __init__(self, totals: dict[str, int], weights: dict[str, float] | None = None, window: int = SEQUENCE * WINDOW_SEQUENCES):
-        self.names = sorted(q for q, n in totals.items() if n > 0)
-        self.total = sum(totals[q] for q in self.names)
-        left = {q: totals[q] for q in self.names}
-        want = {q: Fraction(weights.get(q, 0)).limit_denominator(10**9) if weights else Fraction(totals[q]) for q in self.names}
-        self.stretches: list[tuple[int, int, dict[str, tuple[int, int]]]] = []  # first window, windows, base and amount by queue
-        j = 0
-        while live := [q for q in self.names if left[q]]:
-            asked = [q for q in live if want[q] > 0] or live
-            share = {q: (want[q] if want[q] > 0 else Fraction(left[q])) for q in asked}
-            sum_ = sum(share.values())
-            quantum = {q: share[q] / sum_ * window for q in asked}
-            if not weights:
-                n = -(-self.total // window)
-                amount = dict(left)
-            else:
-                n = max(1, min(int(left[q] / quantum[q]) for q in asked))
-                amount = {q: min(left[q], max(1, int(quantum[q] * n))) for q in asked}
-            self.stretches.append((j, n, {q: (totals[q] - left[q], amount.get(q, 0)) for q in self.names}))
-            for q, a in amount.items():
-                left[q] -= a
-            j += n
-        self.starts = [s[0] for s in self.stretches]
-        self.bases = {q: [s[2][q][0] for s in self.stretches] for q in self.names}
-        self.seen: dict[int, tuple[int, dict[str, tuple[int, int, int]]]] = {}
-
-    def window_of(self, queue: str, x: int) -> int:
-        i = bisect_right(self.bases[queue], x) - 1
-        while not self.stretches[i][2][queue][1]:
-            i -= 1
-        j, n, by = self.stretches[i]
-        base, amount = by[queue]
-        return j + ((x - base + 1) * n - 1) // amount
-
-    def window(self, j: int) -> dict[str, tuple[int, int, int]]:
-        """By queue: its first token in window j, the end of these, and the place of the first in the whole output."""
-        if j not in self.seen:
-            if len(self.seen) > 4096:
-                self.seen.clear()
-            first, n, by = self.stretches[bisect_right(self.starts, j) - 1]
-            k = j - first
-            ends = {q: (base + k * amount // n, base + (k + 1) * amount // n) for q, (base, amount) in by.items()}
-            place, out = sum(a for a, _ in ends.values()), {}
-            for q, (a, b) in ends.items():
-                out[q] = (a, b, place)
-                place += b - a
-            self.seen[j] = out
-        return self.seen[j]
-
-    def cut(self, queue: str, x: int, n: int, sequence: int = SEQUENCE) -> list[tuple[int, int, int, int, int]]:
-        """(start in the document, length, window, sequence, offset) of the n tokens from the x-th of a queue."""
-        out, to, x0 = [], x + n, x
-        full = self.total // sequence
-        while x < to:
-            j = self.window_of(queue, x)
-            a, b, place = self.window(j)[queue]
-            g, end = place + x - a, min(to, b)
-            while x < end:
-                s, at = divmod(g, sequence)
-                room = sequence - at
-                if s == full:
-                    rest = self.total - full * sequence
-                    for bit in reversed(range(rest.bit_length())):
-                        if rest >> bit & 1:
-                            room = 1 << bit
-                            if at < room:
-                                break
-                            at, s = at - room, s + 1
-                    room -= at
-                take = min(end - x, room)
-                out.append((x - x0, take, j, s, at))
-                x, g = x + take, g + take
-        return out
 
+def schedule(totals: dict[str, int], weights: dict[str, float], window: int) -> tuple[dict[str, Stretches], int]:
+    """The stretches of each queue with a weight, and the windows that they take.
 
-def tokenised(documents: DataFrame, tokenizer: str, path: str, own: tuple[str, ...] = ()) -> DataFrame:
-    """Writes doc_id, queue, chunk, x, n, ids: x counts a chunk's tokens of the queue before the document. Sources in own are never hashed."""
+    A queue that runs dry leaves its share to the rest in proportion.
+    """
+    want = {q: Fraction(w).limit_denominator(10**9) for q, w in sorted(weights.items()) if w > 0 and totals.get(q, 0) > 0}
+    left = {q: totals[q] for q in want}
+    out: dict[str, Stretches] = {q: [] for q in want}
+    j = 0
+    while live := [q for q in want if left[q]]:
+        whole = sum(want[q] for q in live)
+        quantum = {q: want[q] / whole * window for q in live}
+        n = max(1, min(int(left[q] / quantum[q]) for q in live))
+        for q in live:
+            amount = min(left[q], max(1, int(quantum[q] * n)))
+            out[q].append((j, n, totals[q] - left[q], amount))
+            left[q] -= amount
+        j += n
+    return out, j
+
+
+def shares(stretches: Stretches, x: int, to: int) -> Iterator[tuple[int, int, int]]:
+    """(window, first token, end) of each window that takes tokens x to to of a queue, whole windows."""
+    for first, n, base, amount in stretches:
+        while base <= x < min(to, base + amount):
+            k = ((x - base + 1) * n - 1) // amount
+            start, end = base + k * amount // n, base + (k + 1) * amount // n
+            yield first + k, start, end
+            x = end
+
+
+def cuts(place: int, n: int, total: int, sequence: int = SEQUENCE) -> Iterator[tuple[int, int, int]]:
+    """(length, sequence, offset) of the pieces of n tokens from a place in the whole output of total tokens."""
+    end, full = place + n, total // sequence
+    while place < end:
+        number, at = divmod(place, sequence)
+        room = sequence
+        if number == full:
+            rest = total - full * sequence
+            for bit in reversed(range(rest.bit_length())):
+                if rest >> bit & 1:
+                    room = 1 << bit
+                    if at < room:
+                        break
+                    at, number = at - room, number + 1
+        take = min(end - place, room - at)
+        yield take, number, at
+        place += take
+
+
+def tokenised(documents: DataFrame, tokenizer: str, path: str) -> DataFrame:
+    """Writes doc_id, queue, chunk, x, n, ids: x counts a chunk's tokens of the queue before the document."""
     spark = ready(documents.sparkSession)
     docs = as_text(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text"))
-    many = docs.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-    name = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
-    if many:
-        hashed_ = F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string")
-        name = F.when(F.col("source").isin(*own), name).otherwise(hashed_) if own else hashed_
-    docs = docs.select("doc_id", name.alias("queue"), "text")
+    docs = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("queue"), "text")
 
     def scan(batches):
         coder, chunk, before = encoder(tokenizer), TaskContext.get().partitionId(), {}
@@ -269,33 +238,75 @@ def pack(documents: DataFrame, tokenizer: str, weights: dict[str, float] | None
     """Per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window.
 
     tokenizer: a tokenizers file of at most 65,536 ids. weights: target proportion by source; sources without one come
-    after the others. A null text is empty, so its document is the final id 0 alone; null sources are one queue;
+    after the others, in proportion to their tokens. A null text is empty, so its document is the final id 0 alone; null sources are one queue;
     rows that repeat are packed each; a null doc_id is kept. An empty table gives no pieces. Other columns are ignored.
     """
     spark = ready(documents.sparkSession)
     path = scratch(spark)
-    tokens = tokenised(documents, tokenizer, f"{path}/tokens", tuple(weights or ()))
+    tokens = tokenised(documents, tokenizer, f"{path}/tokens")
     chunks = written(tokens.groupBy("queue", "chunk").agg(F.sum("n").alias("n")), f"{path}/chunks")
-    totals = {r.queue: r.n for r in chunks.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most MAX_QUEUES + 1 and the weighted sources
-    schedule = spark.sparkContext.broadcast(Schedule(totals, {f"={k}": v for k, v in weights.items()} if weights else None, SEQUENCE * window_sequences))
+    queues = chunks.groupBy("queue").agg(F.sum("n").alias("amount"))
+    size = SEQUENCE * window_sequences
+    asked = {f"={source}": weight for source, weight in (weights or {}).items()}
+    named, first = schedule({r.queue: r.amount for r in queues.where(F.col("queue").isin(*asked)).collect()}, asked, size) if asked else ({}, 0)
+    total = chunks.agg(F.sum("n")).head()[0] or 0
+    rest = total - sum(amount for stretches in named.values() for *_, amount in stretches)
+    windows = -(-rest // size)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bases = written(chunks.select("queue", "chunk", before.alias("before")), f"{path}/bases")
-    # Without a hint: broadcast while the table of chunks is under the session's threshold, shuffled beyond.
-    placed = tokens.join(bases, ["queue", "chunk"]).select("doc_id", "queue", (F.col("before") + F.col("x")).alias("x"), "n", "ids")
+    amount = F.sum("n").over(Window.partitionBy("queue"))
+    bases = written(chunks.select("queue", "chunk", "n", before.alias("before"), amount.alias("amount")), f"{path}/bases")
 
-    def scan(batches):
-        plan = schedule.value
+    def stretched(queue: str, amount: int) -> Stretches:
+        return named.get(queue) or [(first, windows, 0, amount)]
+
+    def cells(batches):
+        """The windows whose first token of a queue is in a chunk, so each (queue, window) comes from one chunk."""
+        for batch in batches:
+            for queue, n, x, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = (s for s in shares(stretched(queue, held), x, x + n) if s[1] >= x)
+                while some := list(islice(found, 1 << 16)):
+                    window, a, b = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([queue] * len(some), pa.string()), pa.array(window, pa.int64()), pa.array(np.subtract(b, a), pa.int64())], names=["queue", "window", "n"])
+
+    taken = written(bases.repartition("queue", "chunk").select("queue", "n", "before", "amount").mapInArrow(cells, "queue string, window long, n long"), f"{path}/cells")
+    # Where a window begins: tokens of the blocks of windows before its own, and of the windows before it in its block.
+    block = F.floor(F.col("window") / BLOCK).alias("block")
+    preceding = (Window.unboundedPreceding, -1)
+    by_window = taken.groupBy("window").agg(F.sum("n").alias("n")).select("window", "n", block)
+    by_block = by_window.groupBy("block").agg(F.sum("n").alias("n")).select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(*preceding)), F.lit(0)).alias("base"))
+    begins = by_window.select("window", "block", F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("window").rowsBetween(*preceding)), F.lit(0)).alias("within")).join(by_block, "block").select("window", (F.col("base") + F.col("within")).alias("begin"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("window").orderBy("queue").rowsBetween(*preceding)), F.lit(0))  # a window has at most as many queues as tokens
+    places = written(taken.select("queue", "window", inside.alias("inside")).join(begins, "window").select("queue", "window", (F.col("begin") + F.col("inside")).alias("place")), f"{path}/places")
+
+    def divided(batches):
+        for batch in batches:
+            doc, out = [], []
+            for i, (queue, x, n, ids, held) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("queue", "x", "n", "ids", "amount")), strict=True)):
+                for window, a, b in shares(stretched(queue, held), x, x + n):
+                    lo, hi = max(a, x), min(b, x + n)
+                    doc.append(i)
+                    out.append((window, lo - a, lo - x, n, ids[2 * (lo - x) : 2 * (hi - x)]))
+            columns = list(zip(*out, strict=True)) if out else [()] * 5
+            at = pa.array(doc, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("queue").take(at), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.binary())], names=["doc_id", "queue", "window", "at", "start", "doc_tokens", "ids"])
+
+    # Without hints: broadcast while the tables of chunks and of cells are under the session's threshold, shuffled beyond. A cell holds at most a window of tokens.
+    based = tokens.join(bases.drop("n"), ["queue", "chunk"]).select("doc_id", "queue", (F.col("before") + F.col("x")).alias("x"), "n", "ids", "amount")
+    placed = based.mapInArrow(divided, "doc_id long, queue string, window long, at long, start long, doc_tokens long, ids binary").join(places, ["queue", "window"]).select("doc_id", "window", (F.col("place") + F.col("at")).alias("place"), "start", "doc_tokens", "ids")
+
+    def cut(batches):
         for batch in batches:
             doc, rows = [], []
-            for i, (queue, x, n, ids) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("queue", "x", "n", "ids")), strict=True)):
-                long = np.frombuffer(ids, np.uint16).astype("<u4")
-                for start, length, window, sequence, offset in plan.cut(queue, x, n):
+            for i, (window, place, start, n, ids) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                long, at = np.frombuffer(ids, np.uint16).astype("<u4"), 0
+                for length, sequence, offset in cuts(place, len(long), total):
                     doc.append(i)
-                    rows.append((start, length, zlib.crc32(long[start : start + length]), n, sequence, offset, window))
+                    rows.append((start + at, length, zlib.crc32(long[at : at + length]), n, sequence, offset, window))
+                    at += length
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names=NAMES)
 
-    return placed.mapInArrow(scan, T.StructType([T.StructField(c, T.LongType()) for c in NAMES]))
+    return placed.mapInArrow(cut, T.StructType([T.StructField(c, T.LongType()) for c in NAMES]))
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window"]

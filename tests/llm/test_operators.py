@@ -236,12 +236,12 @@ def test_packing(docs):
 
 
 def test_mixture_is_held_in_every_window():
-    s = packing.Schedule({"a": 100_000, "b": 50_000, "c": 1000}, window=1000)
-    for j in range(151):
-        got = {q: b - a for q, (a, b, _) in s.window(j).items()}
-        assert abs(got["a"] - 1000 * 100 / 151) <= 1.01 and abs(got["b"] - 1000 * 50 / 151) <= 1.01
-    s = packing.Schedule({"a": 100_000, "b": 50_000}, {"a": 0.25, "b": 0.75}, 1000)
-    assert all(abs((w := s.window(j))["b"][1] - w["b"][0] - 750) <= 1 for j in range(60))
+    total = {"a": 100_000, "b": 50_000, "c": 1000}
+    got = {q: list(packing.shares([(0, 151, 0, n)], 0, n)) for q, n in total.items()}
+    for q, n in total.items():
+        assert all(abs(b - a - 1000 * n / 151_000) <= 1.01 for _, a, b in got[q]) and [a for _, a, _ in got[q]] == [0, *(b for *_, b in got[q])][:-1] and got[q][-1][2] == n
+    named, _ = packing.schedule({"a": 100_000, "b": 50_000}, {"a": 0.25, "b": 0.75}, 1000)
+    assert all(abs(b - a - 750) <= 1 for j, a, b in packing.shares(named["b"], 0, 50_000) if j < 60)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -269,15 +269,32 @@ def test_added_tokens_are_found_as_by_the_plain_tokenizer(spark):
         assert all((r.doc_tokens, r.ids_crc32) == (len(long), zlib.crc32(long[r.start : r.start + r.length].tobytes())) for r in mine) and sum(r.length for r in mine) == len(long)
 
 
-def test_weights_hold_beside_hashed_queues(spark, monkeypatch):
-    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+def test_sources_without_a_weight_come_after(spark):
     rows = [(i, "w " * 400, "big" if i % 2 else f"s{i % 16}") for i in range(200)] + [(999, "x", None)]
-    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), registry.TOKENIZER(), {"big": 1.0}, 1).collect()
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), registry.TOKENIZER(), {"big": 1.0, "none": 0.5, "s2": 0.0}, 1).collect()
     first = {r.sequence_id for r in got if r.doc_id % 2 and r.doc_id != 999}
     rest = {r.sequence_id for r in got if r.doc_id % 2 == 0}
     assert max(first) <= min(rest) and {r.doc_id for r in got} == {r[0] for r in rows}
 
 
+@pytest.mark.parametrize("parts", [1, 13])
+def test_many_sources_hold_their_proportions(spark, parts):
+    rng = random.Random(parts)
+    rows = [(i, "w " * rng.randrange(1, 30), f"s{i % 5000}") for i in range(6000)] + [(10**6 + i, "v " * 300, "great") for i in range(100)] + [(2 * 10**6, "u " * 40_000, "long")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts), registry.TOKENIZER(), None, 4).collect()
+    source = {i: s for i, _, s in rows}
+    total, cells, n, at = {}, {}, 0, {}
+    for r in got:
+        q = source[r.doc_id]
+        total[q], n = total.get(q, 0) + r.length, n + r.length
+        cells[q, r.window] = cells.get((q, r.window), 0) + r.length
+        at.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    windows = -(-n // 4096)
+    assert len(total) == 5002 and all(abs(cells.get((q, j), 0) - total[q] / windows) < 1 for q in total for j in range(windows))  # deficits stay under a token
+    assert all(s == [o for o, _ in sorted(at[k])] for k, s in ((k, [0, *np.cumsum([m for _, m in sorted(v)])[:-1].tolist()]) for k, v in at.items()))
+    assert all(sum(m for _, m in v) == 1024 for k, v in at.items() if k < n // 1024)
+
+
 def test_weights_hold_over_many_sources(spark):
     rows = [(i, "w " * 30, f"s{i}") for i in range(5000)] + [(10**6 + i, "v " * 900, ("first", "second")[i % 2]) for i in range(80)]
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), registry.TOKENIZER(), {"first": 0.5, "second": 0.25}, 4).collect()
