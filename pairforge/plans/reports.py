@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairforge.functions import annotators
 from pairforge.functions import constraints as C
 from pairforge.functions import vectors as V
-from pairforge.operators import audit, clusters, graph, kmeans, network, sparse, splits
+from pairforge.operators import audit, batches, clusters, graph, kmeans, network, sparse, splits
 from pairforge.operators import metrics as M
 from pairforge.plans import catalog as K
 from pairforge.plans.catalog import query, r6, six
@@ -174,3 +175,39 @@ def tfidf_pair_scores(spark: SparkSession, sf: str) -> DataFrame:
     model.save(path)
     held = p.where("split != 'train'")
     return sparse.TfidfPairModel.load(spark, path).score(held).join(held.select("id", "split", "y"), "id").select("id", "split", "y", "score")
+
+
+# Batches and annotators ---------------------------------------------------------------------------
+
+_PLAN = f"""WITH d AS (SELECT doc_id, length(text) AS n FROM documents WHERE doc_id IS NOT NULL), r AS (SELECT pass, doc_id, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY pass ORDER BY md5('{K.SEED}|' || pass || '|' || doc_id), doc_id) - 1 AS rank FROM d, range(0, 2) p(pass)),
+c AS (SELECT *, rank // 1600 AS chunk, row_number() OVER (PARTITION BY pass, rank // 1600 ORDER BY n, rank) - 1 AS i FROM r), k AS (SELECT pass, doc_id, n, chunk * 50 + i // 32 AS batch, i % 32 AS "at" FROM c),
+b AS (SELECT pass, batch, max(n) AS width, row_number() OVER (PARTITION BY pass ORDER BY md5('{K.SEED}|' || pass || '|batch|' || batch), batch) - 1 AS place FROM k GROUP BY pass, batch), bp AS (SELECT * FROM k JOIN b USING (pass, batch))"""
+
+
+def _batches(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").where("doc_id is not null").select("doc_id", F.length("text").cast("long").alias("n"))
+    return batches.plan(d, "doc_id", "n", range(2), K.SEED, size=32)
+
+
+@query(f"{_PLAN} SELECT pass::INT AS pass, place::BIGINT AS place, \"at\"::BIGINT AS \"at\", doc_id, n::BIGINT AS n, width::BIGINT AS width FROM bp")
+def length_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The batches of two passes over all documents, those of similar length together, in the order of training."""
+    return _batches(spark, sf)
+
+
+@query(f"{_PLAN} SELECT pass::INT AS pass, count(DISTINCT place) AS batches, count(*) AS \"rows\", sum(n)::BIGINT AS tokens, sum(width)::BIGINT AS padded, (count(*) * max(width))::BIGINT AS padded_without_plan FROM bp GROUP BY pass")
+def batch_padding(spark: SparkSession, sf: str) -> DataFrame:
+    """What batches of similar length save of padding."""
+    return batches.padding(_batches(spark, sf), "n")
+
+
+#: An annotator by patterns, where no model is at hand: places after a preposition, names of two words, dates.
+PATTERNS = [("GPE", r"\b(?:in|at|from)\s+([A-Z]\w+)"), ("PERSON", r"\b([A-Z]\w+ [A-Z]\w+)\b"), ("DATE", r"\b(\d{4}-\d\d-\d\d)\b"), ("TIME", r"\b(\d{1,2}:\d\d)\b")]
+
+
+@query()
+def named_pair_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Agreement of text pairs on named entities, places and dates, by an annotator that each worker loads once."""
+    patterns = PATTERNS
+    made = annotators.named_features(text_pairs(spark, sf), "patterns", lambda: annotators.Rules(patterns))
+    return six(made.select("id", *[c for g in ("date", "entity_named", "location") for c in annotators.GROUPS[g]]))
