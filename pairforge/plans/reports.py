@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pairforge.functions import annotators
 from pairforge.functions import constraints as C
 from pairforge.functions import vectors as V
-from pairforge.operators import audit, batches, clusters, graph, kmeans, network, sparse, splits
+from pairforge.functions.lexical import FEATURES, lexical_features
+from pairforge.operators import audit, batches, clusters, graph, kmeans, network, sparse, splits, variants
 from pairforge.operators import metrics as M
 from pairforge.plans import catalog as K
 from pairforge.plans.catalog import query, r6, six
@@ -211,3 +212,51 @@ def named_pair_features(spark: SparkSession, sf: str) -> DataFrame:
     patterns = PATTERNS
     made = annotators.named_features(text_pairs(spark, sf), "patterns", lambda: annotators.Rules(patterns))
     return six(made.select("id", *[c for g in ("date", "entity_named", "location") for c in annotators.GROUPS[g]]))
+
+
+# Choice among variants ----------------------------------------------------------------------------
+
+#: Variants by the rule of thresholds.choose_stepwise: the first, the simpler one without entities, and the richer ones of each.
+RICHER = {"all": ("all_lexical", "all_trees"), "less": ("less_lexical", "less_trees")}
+NAMED_PAIRS = [("all", "less"), *[(f"{b}_{k}", b) for b in RICHER for k in ("lexical", "trees")], *[(f"{b}_trees", f"{b}_lexical") for b in RICHER], ("all_trees", "less_trees"), *[(v, "lexical") for b, r in RICHER.items() for v in (b, *r)]]
+BOOTSTRAPS = 1000
+
+
+def variant_columns() -> dict[str, tuple[str, list[str]]]:
+    all_ = [c for g in C.GROUPS.values() for c in g]
+    less = [c for k, g in C.GROUPS.items() if k != "entity_heuristic" for c in g]
+    out = {"lexical": ("lr", list(FEATURES))}
+    for name, columns in (("all", all_), ("less", less)):
+        out |= {name: ("lr", columns), f"{name}_lexical": ("lr", [*columns, *[c for c in FEATURES if c not in columns]]), f"{name}_trees": ("trees", columns)}
+    return out
+
+
+def _variant_scores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, dict]:
+    """Features of pairs split by text, validation pairs with a column of scores for each variant, and the models, which know training pairs only."""
+    p = split_text_pairs(spark, sf)
+    f = written(C.constraint_features(lexical_features(p)).drop("question1", "question2"), scratch(spark))
+    train, scores, fitted = f.where("split = 'train'"), f.where("split = 'val'").select("id", "y"), {}
+    for name, (kind, columns) in variant_columns().items():
+        fitted[name] = variants.fit(train, kind, columns)
+        made = variants.Bundle(fitted[name], name, columns, 0.5).score(f.where("split = 'val'")).select("id", F.col("score").alias(name))
+        scores = scores.join(made, "id")
+    return f, written(scores, scratch(spark)), fitted
+
+
+@query()
+def variant_gains(spark: SparkSession, sf: str) -> DataFrame:
+    """Gains of named pairs of variants on validation pairs, with intervals over one draw of weights for all variants."""
+    _, scores, fitted = _variant_scores(spark, sf)
+    return six(variants.gains(scores, variants.tuned(scores, list(fitted)), NAMED_PAIRS, BOOTSTRAPS))
+
+
+@query()
+def chosen_variant_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores and decisions on test pairs of the variant that the rule chooses on validation pairs, saved and loaded before it scores."""
+    f, scores, fitted = _variant_scores(spark, sf)
+    taus = variants.tuned(scores, list(fitted))
+    name = variants.chosen(variants.gains(scores, taus, NAMED_PAIRS, BOOTSTRAPS), "all", "less", RICHER)
+    path = scratch(spark)
+    variants.Bundle(fitted[name], name, variant_columns()[name][1], taus[name]).save(path)
+    made = variants.Bundle.load(spark, path).score(f.where("split = 'test'"))
+    return made.select("id", "y", F.lit(name).alias("variant"), "score", "pred")
