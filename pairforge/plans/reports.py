@@ -231,31 +231,44 @@ def variant_columns() -> dict[str, tuple[str, list[str]]]:
     return out
 
 
-def _variant_scores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, dict]:
-    """Features of pairs split by text, validation pairs with a column of scores for each variant, and the models, which know training pairs only."""
-    p = split_text_pairs(spark, sf)
-    f = written(C.constraint_features(lexical_features(p)).drop("question1", "question2"), scratch(spark))
-    train, scores, fitted = f.where("split = 'train'"), f.where("split = 'val'").select("id", "y"), {}
-    for name, (kind, columns) in variant_columns().items():
+def _variant_features(spark: SparkSession, sf: str) -> DataFrame:
+    return written(C.constraint_features(lexical_features(split_text_pairs(spark, sf))).drop("question1", "question2"), scratch(spark))
+
+
+def _variant_scores(f: DataFrame, names: list[str]) -> tuple[DataFrame, dict]:
+    """Validation pairs with a column of scores for each variant, and the models, which know training pairs only."""
+    spark, train, scores, fitted = f.sparkSession, f.where("split = 'train'"), f.where("split = 'val'").select("id", "y"), {}
+    for name in names:
+        kind, columns = variant_columns()[name]
         fitted[name] = variants.fit(train, kind, columns)
         made = variants.Bundle(fitted[name], name, columns, 0.5).score(f.where("split = 'val'")).select("id", F.col("score").alias(name))
         scores = scores.join(made, "id")
-    return f, written(scores, scratch(spark)), fitted
+    return written(scores, scratch(spark)), fitted
 
 
 @query()
 def variant_gains(spark: SparkSession, sf: str) -> DataFrame:
     """Gains of named pairs of variants on validation pairs, with intervals over one draw of weights for all variants."""
-    _, scores, fitted = _variant_scores(spark, sf)
+    scores, fitted = _variant_scores(_variant_features(spark, sf), list(variant_columns()))
     return six(variants.gains(scores, variants.tuned(scores, list(fitted)), NAMED_PAIRS, BOOTSTRAPS))
 
 
 @query()
 def chosen_variant_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores and decisions on test pairs of the variant that the rule chooses on validation pairs, saved and loaded before it scores."""
-    f, scores, fitted = _variant_scores(spark, sf)
+    f = _variant_features(spark, sf)
+    scores, fitted = _variant_scores(f, ["all", "less"])
     taus = variants.tuned(scores, list(fitted))
-    name = variants.chosen(variants.gains(scores, taus, NAMED_PAIRS, BOOTSTRAPS), "all", "less", RICHER)
+    found = variants.gains(scores, taus, [("all", "less")], BOOTSTRAPS)
+    base = variants.chosen(found, "all", "less", {"all": (), "less": ()})
+    # Only the richer variants of what is chosen first are asked for, so no others are fitted.
+    more, fitted_more = _variant_scores(f, list(RICHER[base]))
+    fitted |= fitted_more
+    taus |= variants.tuned(more, list(RICHER[base]))
+    own = {n: taus[n] for n in (base, *RICHER[base])}
+    pairs = [p for p in NAMED_PAIRS if set(p) <= set(own)]
+    found = found.unionByName(variants.gains(scores.join(more.drop("y"), "id"), own, pairs, BOOTSTRAPS))
+    name = variants.chosen(found, "all", "less", RICHER)
     path = scratch(spark)
     variants.Bundle(fitted[name], name, variant_columns()[name][1], taus[name]).save(path)
     made = variants.Bundle.load(spark, path).score(f.where("split = 'test'"))
