@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from pairforge.operators.metrics import auc
+from pairforge.session import removed, scratch
 
 SEED, HIDDEN, DROPOUT, RATE, DECAY, BATCH, EPOCHS, PATIENCE = 42, 256, 0.2, 1e-3, 1e-5, 512, 25, 3
 #: Rows of a block, the unit that a task works on at once.
 BLOCK = 4096
+#: Rows of a batch that a task of a step takes, counted once for each network.
+BATCH_ROWS = 2048
 
 Weights = list[np.ndarray]
 
@@ -148,9 +151,12 @@ def train(
         raise ValueError("no rows to train on")
     batches = -(-n // batch)
     which = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(batches))
-    # One stored set of blocks for each batch, so that a step reads its batch alone.
-    dealt = [rows.where(which == b).rdd.mapPartitions(_blocks).persist(StorageLevel.MEMORY_AND_DISK) for b in range(batches)]
     keys = list(range(folds)) if folds else [None]
+    # Rows are dealt to a folder for each batch in one shuffle, not by a scan of all rows for each; a step reads its batch alone, in few tasks.
+    path, tasks = scratch(spark), -(-batch * len(keys) // BATCH_ROWS)
+    rows.withColumn("_b", which).repartition("_b").write.partitionBy("_b").parquet(path)
+    stored = spark.read.schema(rows.withColumn("_b", which).schema).parquet(path)
+    dealt = [stored.where(F.col("_b") == b).drop("_b").coalesce(tasks).rdd.mapPartitions(_blocks).persist(StorageLevel.MEMORY_AND_DISK) for b in range(batches)]
     nets = {k: Adam(initial(inputs, hidden, seed), rate, decay) for k in keys}
     curve, best, bad = [], None, 0
     try:
@@ -187,4 +193,5 @@ def train(
     finally:
         for d in dealt:
             d.unpersist()
+        removed(spark, path)
     return Network(best[1] if best else {k: a.w for k, a in nets.items()}, curve)

@@ -166,3 +166,17 @@ def test_no_vector_is_in_two_folds(spark):
 
     p = reports.folded_vector_pairs(spark, DATA.replace("0.01", "0.1")).select("fold", F.explode(F.array("a", "b")).alias("v"))
     assert p.groupBy("v").agg(F.count_distinct("fold").alias("n")).where("n > 1").isEmpty() and p.select("fold").distinct().count() > 1
+
+
+def test_rows_are_dealt_to_batches_in_one_scan(spark, tmp_path):
+    """Jobs read the rows of their batch: dealing does not read the table once for each batch."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(i):
+        seen.add(1)
+        return i
+
+    read = F.udf(count, "long").asNondeterministic()
+    d = spark.range(400).select(read("id").alias("id"), F.array(F.rand(1), F.rand(2)).alias("x"), (F.col("id") % 2).alias("y"))
+    network.train(d, hidden=2, epochs=2, batch=20)
+    assert seen.value <= 4 * 400
