@@ -11,9 +11,14 @@ from pairforge.session import HEAVY, join_groups, removed, scratch, tidy, writte
 __all__ = ["HEAVY", "as_text", "join_groups", "ready", "removed", "scratch", "tidy", "wrapped", "written"]
 
 
+#: Settings of Python workers: one thread each, and blocks over 1 MB go back to the system as soon as they are free, as a worker outlives its stage.
+WORKERS = {"OMP_NUM_THREADS": "1", "ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(1 << 20), "MALLOC_TRIM_THRESHOLD_": str(1 << 20)}
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package, with one thread each."""
-    spark.sparkContext.environment.setdefault("OMP_NUM_THREADS", "1")
+    """Lets Python workers import this package, with the settings of WORKERS where the session has none."""
+    for name, value in WORKERS.items():
+        spark.sparkContext.environment.setdefault(name, value)
     return session.ready(spark)
 
 

@@ -239,3 +239,19 @@ def test_empty_tables(empty):
     assert word_runs.digests(word_runs.detect(empty)).count() == 0
     assert importance.resample(empty, empty).count() == 0
     assert set_join.join(empty).count() == 0
+
+
+def test_workers_give_memory_back(spark):
+    """Workers outlive a stage: what one stage frees in them must not count in the next."""
+    from pairforge.llm.shared import WORKERS, ready
+
+    def scan(batches):
+        import os
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"pool": [pa.default_memory_pool().backend_name], "trim": [os.environ.get("MALLOC_TRIM_THRESHOLD_")]})
+
+    ready(spark)
+    assert {tuple(r) for r in spark.range(2, numPartitions=1).mapInArrow(scan, "pool string, trim string").collect()} == {("system", WORKERS["MALLOC_TRIM_THRESHOLD_"])}
