@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -91,15 +92,19 @@ def separation(df: DataFrame, vector: str, cluster: str = "cluster") -> DataFram
     return parts.crossJoin(worst.agg(F.avg("r").alias("davies_bouldin"))).select("davies_bouldin", ((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"), "mean_cosine", "worst_cosine")
 
 
+def sampled(df: DataFrame, key: str, sample: int, seed: int) -> DataFrame:
+    """The rows that a sample of so many takes: those of the least hashes of their keys."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(sample)
+
+
 def silhouette(df: DataFrame, vector: str, cluster: str, key: str, sample: int, seed: int) -> DataFrame:
-    """silhouette of a sample of rows, by exact distances within it. The sample bounds the pairs."""
-    rows = df.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), key).limit(sample).select(key, F.col(cluster).alias("c"), doubles(F.col(vector)).alias("v"))
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # limit leaves one partition
-    a, b = rows.repartition(tasks, key).alias("a"), F.broadcast(rows.alias("b"))
-    d = F.sqrt(F.aggregate(F.zip_with("a.v", "b.v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, e: s + e))
-    pairs = a.join(b, F.col(f"a.{key}") != F.col(f"b.{key}")).groupBy(F.col(f"a.{key}").alias(key), F.col("a.c").alias("own"), F.col("b.c").alias("other")).agg(F.avg(d).alias("d"))
-    each = pairs.groupBy(key).agg(F.min(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("in"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("out"))
-    return each.agg(F.avg(F.coalesce((F.col("out") - F.col("in")) / F.greatest("in", "out"), F.lit(0.0))).alias("silhouette"))
+    """silhouette of a sample of rows, by exact distances within it. The sample bounds the pairs; it is broadcast. A row without a vector counts 0; null for fewer than two rows."""
+    rows = sampled(df, key, sample, seed).select(F.col(cluster).alias("c"), doubles(F.col(vector)).alias("v")).collect()
+    own, found = [r for r in rows if r["v"] is not None], None
+    if len(rows) > 1:
+        _, labels = np.unique(np.array([r["c"] for r in own]), return_inverse=True)
+        found = lloyd.mean_silhouettes(df.sparkSession, np.array([r["v"] for r in own], float), [labels])[0] * len(own) / len(rows) if own else 0.0
+    return df.sparkSession.createDataFrame([(found,)], "silhouette double")
 
 
 def kmeans(df: DataFrame, vector: str, k: int, seeds: range) -> Centroids:

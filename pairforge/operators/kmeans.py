@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions.vectors import doubles
@@ -238,8 +238,12 @@ def silhouettes(rows: DataFrame, fitted: list[Fitted], sample: int, seed: int) -
     """For each fit, the silhouette of one sample of rows, by exact distances within it, each taken once for all fits. The sample is broadcast; a row alone in its cluster counts 0."""
     draw = F.md5(F.concat(F.lit(f"{seed}|"), F.col("key").cast("string")))
     taken = np.array([r["v"] for r in rows.select("v", draw.alias("d"), "key").orderBy("d", "key").limit(sample).collect()], float)
-    labels = [scores(taken, f.centres).argmax(1) for f in fitted]
-    sent = rows.sparkSession.sparkContext.broadcast((taken, labels))
+    return mean_silhouettes(rows.sparkSession, taken, [scores(taken, f.centres).argmax(1) for f in fitted])
+
+
+def mean_silhouettes(spark: SparkSession, taken: np.ndarray, labels: list[np.ndarray]) -> list[float]:
+    """The silhouette of a sample of vectors for each array of labels 0, 1, ... of them."""
+    sent = spark.sparkContext.broadcast((taken, labels))
     tasks = max(1, -(-len(taken) // 256))
 
     def each(frames):
@@ -263,9 +267,9 @@ def silhouettes(rows: DataFrame, fitted: list[Fitted], sample: int, seed: int) -
                     value = np.where((size[label[mine]] > 1) & np.isfinite(outer) & (top > 0), np.divide(outer - inner, top, out=np.zeros(len(mine)), where=np.isfinite(top) & (top > 0)), 0.0)
                     yield pd.DataFrame({"i": [i], "s": [value.sum()]})
 
-    made = rows.sparkSession.range(0, len(taken), 1, min(tasks, 1024)).mapInPandas(each, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
+    made = spark.range(0, len(taken), 1, min(tasks, 1024)).mapInPandas(each, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect()
     sums = {r["i"]: r["s"] for r in made}
-    return [float(sums.get(i, 0.0) / len(taken)) for i in range(len(fitted))]
+    return [float(sums.get(i, 0.0) / len(taken)) for i in range(len(labels))]
 
 
 def sweep(df: DataFrame, vector: str, key: str, ks: list[int], restarts: int = 5, again: int = 3, sample: int = 20_000, seed: int = 42) -> DataFrame:

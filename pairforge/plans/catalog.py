@@ -777,8 +777,11 @@ def pair_cluster_rules(spark: SparkSession, sf: str) -> DataFrame:
 _LAB = f"{_CENT}, {_ASG}, la AS (SELECT vec_id, label, e, c AS cluster FROM rk WHERE r = 1)"
 
 
-def labelled(spark: SparkSession, sf: str) -> DataFrame:
-    return written(clusters.assign(table(spark, sf, "embeddings"), "embedding", seeds_of(spark, sf)).select("vec_id", "label", "embedding", "cluster"), scratch(spark))
+def labelled(spark: SparkSession, sf: str, sample: int | None = None) -> DataFrame:
+    """All rows, or those of a sample of the silhouette, with the cluster of all rows' first vectors that is nearest."""
+    e = table(spark, sf, "embeddings")
+    e = e if sample is None else clusters.sampled(e, "vec_id", sample, 1)
+    return written(clusters.assign(e, "embedding", seeds_of(spark, sf)).select("vec_id", "label", "embedding", "cluster"), scratch(spark))
 
 
 @query(f"{_LAB}, n AS (SELECT cluster, count(*) AS n FROM la GROUP BY cluster), p AS (SELECT n, n::DOUBLE / sum(n) OVER () AS p FROM n) SELECT count(*) AS clusters, round(min(p), 6) AS min_share, round(max(p), 6) AS max_share, round(max(n)::DOUBLE / min(n), 6) AS max_min_ratio, round(-sum(p * ln(p)) / ln(count(*)), 6) AS entropy FROM p")
@@ -809,12 +812,12 @@ ea AS (SELECT vec_id, min(d) FILTER (own = other) AS i, min(d) FILTER (own <> ot
 
 @query(silhouette_sql(200))
 def silhouette_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return six(clusters.silhouette(labelled(spark, sf), "embedding", "cluster", "vec_id", 200, 1))
+    return six(clusters.silhouette(labelled(spark, sf, 200), "embedding", "cluster", "vec_id", 200, 1))
 
 
 @query(silhouette_sql(20_000))
 def silhouette_sample_20000(spark: SparkSession, sf: str) -> DataFrame:
-    return six(clusters.silhouette(labelled(spark, sf), "embedding", "cluster", "vec_id", SILHOUETTE_ROWS, 1))
+    return six(clusters.silhouette(labelled(spark, sf, SILHOUETTE_ROWS), "embedding", "cluster", "vec_id", SILHOUETTE_ROWS, 1))
 
 
 @query(f"{_LAB}, n AS (SELECT a.cluster, a.vec_id, round(list_inner_product(a.e, m) / sqrt(list_inner_product(a.e, a.e)) / sqrt(n2), 6) AS cos_assigned FROM la a JOIN cn ON cn.c = a.cluster), w AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY cos_assigned DESC, vec_id) AS r FROM n) SELECT cluster, vec_id, cos_assigned FROM w WHERE r <= 3")

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairforge.operators import clusters, kmeans
+from pairforge.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -67,3 +68,22 @@ def test_sweep_and_edges(spark, points):
     assert kmeans.best(kmeans.fit_all(kmeans.rows_of(same, "v", "id"), [kmeans.Fit(3, 1)])).n.tolist() == [5, 0, 0]
     with pytest.raises(ValueError, match="no row"):
         kmeans.fit_all(kmeans.rows_of(same.where("id < 0"), "v", "id"), [kmeans.Fit(2, 1)])
+
+
+def test_silhouette_equals_brute_force_and_assigns_the_sample_alone(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(120, 3)), np.zeros((4, 3))])
+    label = [*rng.integers(0, 3, 120).tolist(), 7, 7, 8, 0]  # two equal rows of one cluster, and one alone
+    df = spark.createDataFrame([(i, v.tolist(), c) for i, (v, c) in enumerate(zip(x, label, strict=True))], "id long, v array<double>, cluster int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i, c in enumerate(label):
+        mean = {k: d[i, [j for j in range(len(x)) if j != i and label[j] == k]] for k in set(label)}
+        inner, outer = mean.pop(c), min(m.mean() for m in mean.values())
+        want.append((outer - inner.mean()) / max(outer, inner.mean()) if len(inner) and max(outer, inner.mean()) > 0 else 0.0)
+    assert clusters.silhouette(df, "v", "cluster", "id", 1000, 1).first()[0] == pytest.approx(np.mean(want), abs=1e-7)
+    assert clusters.silhouette(df.limit(1), "v", "cluster", "id", 1000, 1).first()[0] is None
+    e = df.select(F.col("id").alias("vec_id"), F.col("v").alias("embedding"), F.col("cluster").alias("label"))
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    taken = catalog.labelled(spark, str(tmp_path), 50)
+    assert taken.count() == 50 and taken.join(catalog.labelled(spark, str(tmp_path)), ["vec_id", "label", "cluster"]).count() == 50
