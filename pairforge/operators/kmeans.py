@@ -83,6 +83,15 @@ def scores(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return x @ centres.T - (centres * centres).sum(1) / 2
 
 
+def nearest(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of scores (centres, rows): whether a centre is the row's nearest, the first on ties, and the score of that one."""
+    far = part.max(0)
+    hot = part == far
+    if np.count_nonzero(hot) != part.shape[1]:  # ties, or scores that are no numbers
+        hot = np.arange(len(part))[:, None] == part.argmax(0)
+    return hot, far
+
+
 def first_centres(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     """Rows drawn one after the other with the square of the distance to those drawn before; of fewer distinct rows than k, some twice."""
     rng = np.random.default_rng([seed, k])
@@ -108,14 +117,16 @@ def scan(rows: DataFrame, fits: list[Fit], centres: list[np.ndarray]) -> list[Fi
         stack, fits, at = sent.value
         n, sums, cost = np.zeros(len(stack), int), np.zeros(stack.shape), np.zeros(len(stack))
         for x, parts in _blocks(batches):
-            s, own = scores(x, stack), (x * x).sum(1)
+            s, own = scores(x, stack).T.copy(), (x * x).sum(1)
             for f, (lo, hi) in zip(fits, at, strict=True):
-                mine = slice(None) if f.split < 0 else parts[:, f.split] == f.part
-                part = s[mine, lo:hi]
-                label = part.argmax(1)
-                n[lo:hi] += np.bincount(label, minlength=hi - lo)
-                cost[lo:hi] += np.bincount(label, np.maximum(own[mine] - 2 * part.max(1), 0), hi - lo)
-                sums[lo:hi] += (label[:, None] == np.arange(hi - lo)).T.astype(float) @ x[mine]
+                part = s[lo:hi]
+                hot, far = nearest(part)
+                if f.split >= 0:
+                    hot &= parts[:, f.split] == f.part
+                n[lo:hi] += np.count_nonzero(hot, axis=1)
+                part[:] = hot  # scores give way to a row's share in each sum
+                cost[lo:hi] += part @ np.maximum(own - 2 * far, 0)
+            sums += s @ x
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[used], pa.int64()), pa.array(cost[used]), pa.array(list(sums[used]), pa.list_(pa.float64()))], names=["c", "n", "cost", "s"])
 

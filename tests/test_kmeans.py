@@ -87,3 +87,9 @@ def test_silhouette_equals_brute_force_and_assigns_the_sample_alone(spark, tmp_p
     e.write.parquet(f"{tmp_path}/embeddings.parquet")
     taken = catalog.labelled(spark, str(tmp_path), 50)
     assert taken.count() == 50 and taken.join(catalog.labelled(spark, str(tmp_path)), ["vec_id", "label", "cluster"]).count() == 50
+
+
+def test_nearest_centre_is_the_first_on_ties():
+    part = np.array([[1.0, 2.0, np.nan, 0.0], [1.0, 3.0, 0.0, 0.0], [0.0, 3.0, 1.0, 1.0]])
+    hot, far = kmeans.nearest(part)
+    assert hot.sum(0).tolist() == [1] * 4 and hot.argmax(0).tolist() == part.argmax(0).tolist() and far[[0, 1, 3]].tolist() == [1.0, 3.0, 1.0]
