@@ -1,5 +1,8 @@
+import time
+
 from pyspark.sql import functions as F
 
+from pairforge import session
 from pairforge.functions import constraints as C
 from pairforge.functions import text as X
 from pairforge.functions.lexical import FEATURES, lexical_features, with_tokens
@@ -92,3 +95,37 @@ def test_features_leave_no_scratch_tables(spark, tmp_path):
     there = set(top.glob("pairforge-*"))
     assert catalog._features(spark, str(tmp_path)).count() == 8 + 6 + 3
     assert len(set(top.glob("pairforge-*")) - there) == 1
+
+
+def shuffled(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+
+
+def left_after(spark, before):
+    """Names of shuffle files that are new and still there after some seconds."""
+    for _ in range(50):
+        if not shuffled(spark) - before:
+            break
+        time.sleep(0.1)
+    return shuffled(spark) - before
+
+
+def test_writes_leave_no_shuffle_files(spark):
+    before, rows = shuffled(spark), spark.range(1000).withColumn("k", F.col("id") % 7)
+    kept = [rows.groupBy("k").count()]
+    session.written(kept[0], session.scratch(spark))
+    session.bucketed(kept[0], "k", session.scratch(spark))
+    assert left_after(spark, before) == set()
+    assert spark.conf.get(session.CLEANUP) == "false" and len(kept[0].collect()) == len(kept[0].collect()) == 7
+
+
+def test_features_in_slices_are_the_same_and_move_less_at_a_time(spark):
+    pairs, keys, texts = both_forms(spark)
+    every = [c for g in C.GROUPS.values() for c in g]
+    assert collected(lexical_features(keys, texts=texts, slices=3), FEATURES) == collected(lexical_features(pairs), FEATURES)
+    assert collected(C.constraint_features(keys, texts=texts, slices=3), every) == collected(C.constraint_features(pairs), every)
+    before, sizes = shuffled(spark), []
+    with_parts = lambda rows: sizes.append(len(left_after(spark, before))) or rows
+    X.with_both(keys, texts.withColumnRenamed("_text", "known"), "known", ("a", "b"), with_parts, 3)
+    assert sizes == [0, 0, 0]
