@@ -2,6 +2,7 @@
 
 import os
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -95,6 +96,19 @@ def test_sides_may_change_places_and_saved_models_score_the_same(spark, pairs, t
     assert 0 < loaded.score(new).head().score < 1
 
 
+def test_no_vector_of_the_vocabulary_reaches_the_driver(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(10**7)}" for _ in range(1500))
+    rows = spark.createDataFrame([(i, text(), text(), i % 2) for i in range(40)], SCHEMA).repartition(4).cache()
+    rows.count()
+    tracemalloc.start()
+    model, marks = sparse.fit(rows.where("id < 30"), rows.where("id >= 30"), [1.0], min_df=1, lexical=False, most=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.size > 170_000 and marks[0][0] == 1.0
+    assert peak < 2 * 8 * 2 * model.size  # two vectors; L-BFGS has twenty and more
+
+
 def test_numbers_do_not_depend_on_the_layout(spark):
     terms = [f"t{k * 7919 % 5003}" for k in range(5003)]
     df = spark.createDataFrame([(t,) for t in terms], "term string")
