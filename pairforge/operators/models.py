@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.vectors import canonical
 from pairforge.operators.metrics import auc
+from pairforge.session import side_by_side
 
 
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -35,14 +36,23 @@ def vectors(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(column)))
 
 
+#: Rows of a task of a fit, at least where there are so many: a fit is a hundred short jobs, whose tasks cost more than their rows.
+FIT_ROWS = 100_000
+
+
+def gathered(train: DataFrame, n: int) -> DataFrame:
+    """train, of n rows, in as many tasks as its rows ask for."""
+    return train.coalesce(max(-(-n // FIT_ROWS), 1))
+
+
 def logistic(train: DataFrame, c: float):
     """L2 logistic regression with inverse strength c, summed over rows."""
     n = train.count()
-    return LogisticRegression(labelCol="y", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=60).fit(train)
+    return LogisticRegression(labelCol="y", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=60).fit(gathered(train, n))
 
 
 def boosted(train: DataFrame, seed: int = 1):
-    return GBTClassifier(labelCol="y", maxIter=20, maxDepth=3, seed=seed).fit(train)
+    return GBTClassifier(labelCol="y", maxIter=20, maxDepth=3, seed=seed).fit(gathered(train, train.count()))
 
 
 def score(model, df: DataFrame) -> DataFrame:
@@ -52,15 +62,18 @@ def score(model, df: DataFrame) -> DataFrame:
 
 def pick_c(train: DataFrame, dev: DataFrame, grid: list[float]):
     """The model of the greatest average precision on dev, and (c, pr_auc) of all."""
-    tried = [(c, m, score(m, dev)) for c in grid for m in [logistic(train, c)]]
-    marks = [(c, auc(s).head().pr_auc) for c, _, s in tried]
-    best = max(range(len(grid)), key=lambda i: (marks[i][1] or 0.0, -i))
-    return tried[best][1], marks
+    def tried(c: float) -> tuple[Model, float | None]:
+        model = logistic(train, c)
+        return model, auc(score(model, dev)).head().pr_auc
+
+    found = side_by_side(train.sparkSession, tried, grid)
+    best = max(range(len(grid)), key=lambda i: (found[i][1] or 0.0, -i))
+    return found[best][0], [(c, area) for c, (_, area) in zip(grid, found, strict=True)]
 
 
 def out_of_fold(df: DataFrame, folds: int, fit: Callable[[DataFrame], Model] = lambda train: logistic(train, 1.0)) -> DataFrame:
     """Scores of rows with fold and features, each from a model of the other folds."""
-    made = [score(fit(df.where(F.col("fold") != f)), df.where(F.col("fold") == f)) for f in range(folds)]
+    made = side_by_side(df.sparkSession, lambda f: score(fit(df.where(F.col("fold") != f)), df.where(F.col("fold") == f)), range(folds))
     return reduce(DataFrame.unionByName, made)
 
 

@@ -14,7 +14,7 @@ from pairforge.functions.lexical import FEATURES, audit_jaccard, lexical_feature
 from pairforge.operators import audit, clusters, explain, graph, kmeans, models, poisson, quantiles, replicates, resample, splits, tfidf, thresholds, vocabulary
 from pairforge.operators import metrics as M
 from pairforge.plans.views import PAIRS_SQL, STOPS_SQL, TOKENS_SQL, VECTORS_SQL, except_sql, jaccard_sql, key_sql, norm_sql, q, scored, table, text_pair_keys, text_pairs, tokens_sql, vector_pairs, words_sql
-from pairforge.session import ready, scratch, tidy, written
+from pairforge.session import ready, scratch, side_by_side, tidy, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -967,15 +967,28 @@ def boosted_variants(spark: SparkSession, sf: str) -> DataFrame:
     f = _features(spark, sf)
     base = models.out_of_fold(models.design(f, FEATURES).select("id", "y", "fold", "features"), 3)
     f = f.join(base.select("id", V.base_logit(F.col("score")).alias("base_logit")), "id").withColumn("cluster", F.pmod("id", F.lit(4)).cast("int"))
-    f, out = written(f.withColumns({f"cluster_{i}": (F.col("cluster") == i).cast("double") for i in range(4)}), scratch(spark)), None
-    for name, (kind, columns) in models.variants(["base_logit"], C.GROUPS, FEATURES, [f"cluster_{i}" for i in range(4)]).items():
+    return variant_areas(written(f.withColumns({f"cluster_{i}": (F.col("cluster") == i).cast("double") for i in range(4)}), scratch(spark)))
+
+
+def variant_areas(f: DataFrame) -> DataFrame:
+    """Each variant of boosted_variants fitted on the folds from 1 on of f, several at a time, and measured on fold 0, all in one plan."""
+    spark, path = f.sparkSession, scratch(f.sparkSession)
+    made = models.variants(["base_logit"], C.GROUPS, FEATURES, [f"cluster_{i}" for i in range(4)])
+
+    def scored(name: str) -> DataFrame:
+        kind, columns = made[name]
         d = models.design(f, columns, scale=kind == "lr")
-        r = written(models.score(models.fitted(d.where("fold > 0"), kind), d.where("fold = 0")).select("y", "score", "cluster"), scratch(spark))
-        best = M.best_threshold(r)
-        by = M.confusion(r.crossJoin(F.broadcast(best.select("threshold"))), F.col("threshold"), ("cluster",)).agg(F.avg("f1").alias("macro_f1"), F.min("f1").alias("worst_f1"))
-        r = M.auc(r).crossJoin(best).crossJoin(by).select(F.lit(name).alias("variant"), F.lit(kind).alias("kind"), "roc_auc", "pr_auc", "threshold", "f1", "macro_f1", "worst_f1")
-        out = r if out is None else out.unionByName(r)
-    return out
+        r = models.score(models.fitted(d.where("fold > 0"), kind), d.where("fold = 0"))
+        return written(r.select(F.lit(name).alias("variant"), F.lit(kind).alias("kind"), "y", "score", "cluster"), f"{path}/{name}")
+
+    schema = side_by_side(spark, scored, made)[0].schema
+    r = spark.read.schema(schema).parquet(*[f"{path}/{name}" for name in made])
+    best = M.best_threshold(r, ("variant",))
+    by = M.confusion(r.join(F.broadcast(best.select("variant", "threshold")), "variant"), F.col("threshold"), ("variant", "cluster"))
+    by = by.groupBy("variant").agg(F.avg("f1").alias("macro_f1"), F.min("f1").alias("worst_f1"))
+    kinds = r.select("variant", "kind").distinct()
+    out = M.auc(r, ("variant",)).join(best, "variant").join(by, "variant").join(kinds, "variant")
+    return out.select("variant", "kind", "roc_auc", "pr_auc", "threshold", "f1", "macro_f1", "worst_f1")
 
 
 @query()

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import partial
+from multiprocessing.pool import ThreadPool
 from pathlib import Path
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,17 +56,37 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 
 #: Whether Spark deletes what a query shuffled at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Blocks of shuffles_dropped() that are open, and the setting before the first of them: writes may run side by side.
+_open, _setting, _lock = 0, "false", threading.Lock()
 
 
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """What queries of the block shuffle is deleted as each ends, not when the driver next collects its garbage: for writes, whose plans nothing reads again."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    global _open, _setting
+    with _lock:
+        if not _open:
+            _setting = spark.conf.get(CLEANUP, "false")
+        _open += 1
+        spark.conf.set(CLEANUP, "true")
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        with _lock:
+            _open -= 1
+            if not _open:
+                spark.conf.set(CLEANUP, _setting)
+
+
+#: Fits that run at a time: the jobs of one are many and small, so alone they leave most cores waiting for the driver.
+AT_A_TIME = 6
+
+
+def side_by_side(spark: SparkSession, work: Callable, items: Iterable) -> list:
+    """work of each item, in order, in threads of the driver."""
+    items = list(items)
+    with ThreadPool(max(min(AT_A_TIME, len(items)), 1)) as pool:
+        return pool.map(lambda f: f(), [inheritable_thread_target(spark)(partial(work, i)) for i in items])
 
 
 def written(df: DataFrame, path: str) -> DataFrame:

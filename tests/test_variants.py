@@ -1,8 +1,16 @@
 """Choice among variants against a plain recomputation with the same weights."""
 
+import threading
+
 import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
 
-from pairforge.operators import poisson, thresholds, variants
+from pairforge.functions import constraints as C
+from pairforge.functions.lexical import FEATURES
+from pairforge.operators import metrics as M
+from pairforge.operators import models, poisson, thresholds, variants
+from pairforge.plans import catalog
 
 RICHER = {"a": ("c",), "b": ("d",)}
 PAIRS = [("a", "b"), ("c", "a"), ("d", "b")]
@@ -52,3 +60,42 @@ def test_a_loaded_bundle_scores_as_the_fitted_one(spark, tmp_path):
         got, kept = again.score(d).orderBy("id").collect(), b.score(d).orderBy("id").collect()
         assert got == kept and (again.name, again.threshold) == (kind, 0.4) and all(r.features == "kept" and r.pred == (r.score >= 0.4) for r in got)
         assert sum(r.pred == bool(r.y) for r in got) > 70
+
+
+def test_variants_are_fitted_side_by_side_and_measured_in_one_plan(spark, monkeypatch):
+    """One after the other, each with a plan of its own, twenty variants took the time of all their jobs."""
+    rng = np.random.default_rng(2)
+    names = list(dict.fromkeys([*FEATURES, *(c for g in C.GROUPS.values() for c in g)]))
+    rows = [(i, i % 3, int(rng.integers(0, 2)), i % 4, *map(float, rng.random(len(names) + 1)), *(float(i % 4 == k) for k in range(4))) for i in range(120)]
+    schema = "id long, fold int, y int, cluster int, base_logit double, " + ", ".join(f"{c} double" for c in [*names, *(f"cluster_{k}" for k in range(4))])
+    f = spark.createDataFrame(rows, schema).repartition(9)
+    running, most, lock, parts = [0], [0], threading.Lock(), []
+
+    class Chance:
+        def __init__(self, kind):
+            self.kind = kind
+
+        def transform(self, d):
+            p = F.round(F.pmod(F.xxhash64("id", F.lit(self.kind)), F.lit(20)) / 20, 2)
+            return d.withColumn("probability", array_to_vector(F.array(1 - p, p)))
+
+    def fitted(train, kind):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        parts.append(models.gathered(train, train.count()).rdd.getNumPartitions())
+        with lock:
+            running[0] -= 1
+        return Chance(kind)
+
+    monkeypatch.setattr(models, "fitted", fitted)
+    got = {r.variant: r for r in catalog.variant_areas(f).collect()}
+    made = models.variants(["base_logit"], C.GROUPS, FEATURES, ["cluster_0"])
+    assert got.keys() == made.keys() and most[0] > 1 and set(parts) == {1}
+    for kind in ("lr", "trees"):
+        r = models.score(Chance(kind), f.where("fold = 0")).select("y", "score", "cluster").cache()
+        best, area = M.best_threshold(r).head(), M.auc(r).head()
+        by = [x.f1 for x in M.confusion(r, best.threshold, ("cluster",)).collect()]
+        for g in (g for g in got.values() if g.kind == kind):
+            assert made[g.variant][0] == kind
+            assert np.allclose([g.roc_auc, g.pr_auc, g.threshold, g.f1, g.macro_f1, g.worst_f1], [*area, best.threshold, best.f1, np.mean(by), min(by)])
