@@ -1,29 +1,36 @@
-"""A network of one hidden layer on pair vectors, trained data-parallel: one Spark job for each mini-batch.
+"""A network of one hidden layer on pair vectors, trained by mini-batches.
 
-Rows fall in batches by a hash of the seed and their id, dropout masks are hashes of the seed, the pass, the row and the
-unit, and gradients of all tasks are summed by a tree: so training does not depend on how rows are dealt. Networks of
-all folds learn in the same jobs. The driver holds the weights, never rows; each batch is read once in a pass.
+Rows fall in batches by a hash of the seed and their id, and dropout masks are hashes of the seed, the pass, the row and the
+unit: so training does not depend on how rows are dealt. Steps follow each other, and a small batch is less work than a job
+for it: so a job takes a run of batches, and its one task makes the steps of all of them for one network. Of batches too
+large for that, each is a job whose tasks share its rows, and gradients are summed by a tree. Networks of all folds learn
+side by side. The driver holds the weights, never rows; a network reads each batch once in a pass.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from copy import deepcopy
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from pairforge.operators.metrics import auc
-from pairforge.session import removed, scratch
+from pairforge.session import removed, scratch, side_by_side
 
 SEED, HIDDEN, DROPOUT, RATE, DECAY, BATCH, EPOCHS, PATIENCE = 42, 256, 0.2, 1e-3, 1e-5, 512, 25, 3
 #: Rows of a block, the unit that a task works on at once.
 BLOCK = 4096
 #: Rows of a batch that a task of a step takes, counted once for each network.
 BATCH_ROWS = 2048
+#: Numbers in the vectors of a run of batches: what a task of a run holds at a time, of 8 bytes each.
+RUN_CELLS = 1 << 23
 
 Weights = list[np.ndarray]
 
@@ -135,6 +142,55 @@ class Network:
         return rows.mapInArrow(scan, schema)
 
 
+def _run(stored: DataFrame, key: int | None, adam: Adam, run: list[int], turn: int, dropout: float, seed: int) -> Adam:
+    """The network of the rows out of fold key after a step for each batch of run: one task reads the run's rows and goes from batch to batch."""
+    held = stored.sparkSession.sparkContext.broadcast(adam)
+
+    def learn(batches):
+        parts = [[*(t.column(c).to_numpy() for c in ("_b", "id", "y")), t.column("x").flatten().to_numpy().reshape(t.num_rows, -1)] for t in batches if t.num_rows]
+        if not parts:
+            return
+        b, ids, y, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+        adam = deepcopy(held.value)  # a task that runs again begins where the first began
+        for step in run:
+            at, sums = np.flatnonzero(b == step), None
+            for lo in range(0, len(at), BLOCK):
+                i = at[lo : lo + BLOCK]
+                g = gradient(adam.w, ids[i], x[i], y[i], turn, dropout, seed)
+                sums = g if sums is None else [p + q for p, q in zip(sums, g, strict=True)]
+            if sums is not None:
+                adam.step([a / len(at) for a in sums])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(adam)], pa.binary())], names=["state"])
+
+    rows = stored.where(F.col("_b").isin(run) & (F.lit(key is None) | (F.col("fold") != F.lit(key))))
+    found = rows.coalesce(1).mapInArrow(learn, "state binary").collect()
+    held.destroy()
+    return pickle.loads(bytes(found[0].state)) if found else adam
+
+
+def _step(dealt: RDD, nets: dict[int | None, Adam], turn: int, dropout: float, seed: int) -> None:
+    """A step of all networks on one batch, whose rows tasks share."""
+    weights = dealt.context.broadcast({k: a.w for k, a in nets.items()})
+
+    def add(sums, block):
+        ids, x, y, fold = block
+        for k, w in weights.value.items():
+            own = slice(None) if k is None else fold != k
+            g = [*gradient(w, ids[own], x[own], y[own], turn, dropout, seed), np.float64(len(y[own]))]
+            sums[k] = g if k not in sums else [p + q for p, q in zip(sums[k], g, strict=True)]
+        return sums
+
+    def merge(a, c):
+        for k, g in c.items():
+            a[k] = g if k not in a else [p + q for p, q in zip(a[k], g, strict=True)]
+        return a
+
+    for k, g in dealt.treeAggregate({}, add, merge).items():
+        if g[-1]:
+            nets[k].step([a / g[-1] for a in g[:-1]])
+    weights.destroy()
+
+
 def train(
     df: DataFrame, folds: int | None = None, dev: DataFrame | None = None, hidden: int = HIDDEN, epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE,
     dropout: float = DROPOUT, decay: float = DECAY, patience: int = PATIENCE, seed: int = SEED,
@@ -152,35 +208,27 @@ def train(
     batches = -(-n // batch)
     which = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(batches))
     keys = list(range(folds)) if folds else [None]
-    # Rows are dealt to a folder for each batch in one shuffle, not by a scan of all rows for each; a step reads its batch alone, in few tasks.
-    path, tasks = scratch(spark), -(-batch * len(keys) // BATCH_ROWS)
+    # Rows are dealt to a folder for each batch in one shuffle, not by a scan of all rows for each; a step reads its batch alone.
+    path, run = scratch(spark), RUN_CELLS // (batch * max(inputs, 1))
     rows.withColumn("_b", which).repartition("_b").write.partitionBy("_b").parquet(path)
     stored = spark.read.schema(rows.withColumn("_b", which).schema).parquet(path)
-    dealt = [stored.where(F.col("_b") == b).drop("_b").coalesce(tasks).rdd.mapPartitions(_blocks).persist(StorageLevel.MEMORY_AND_DISK) for b in range(batches)]
+    dealt = [] if run else [stored.where(F.col("_b") == b).drop("_b").coalesce(-(-batch * len(keys) // BATCH_ROWS)).rdd.mapPartitions(_blocks).persist(StorageLevel.MEMORY_AND_DISK) for b in range(batches)]
     nets = {k: Adam(initial(inputs, hidden, seed), rate, decay) for k in keys}
     curve, best, bad = [], None, 0
     try:
         for turn in range(epochs):
-            for b in batch_order(batches, turn, seed):
-                weights = spark.sparkContext.broadcast({k: a.w for k, a in nets.items()})
-
-                def add(sums, block, weights=weights, turn=turn):
-                    ids, x, y, fold = block
-                    for k, w in weights.value.items():
-                        own = slice(None) if k is None else fold != k
-                        g = [*gradient(w, ids[own], x[own], y[own], turn, dropout, seed), np.float64(len(y[own]))]
-                        sums[k] = g if k not in sums else [p + q for p, q in zip(sums[k], g, strict=True)]
-                    return sums
-
-                def merge(a, c):
-                    for k, g in c.items():
-                        a[k] = g if k not in a else [p + q for p, q in zip(a[k], g, strict=True)]
-                    return a
-
-                for k, g in dealt[b].treeAggregate({}, add, merge).items():
-                    if g[-1]:
-                        nets[k].step([a / g[-1] for a in g[:-1]])
-                weights.destroy()
+            order = batch_order(batches, turn, seed)
+            if run:
+
+                def learnt(key, order=order, turn=turn):
+                    adam = nets[key]
+                    for lo in range(0, batches, run):
+                        adam = _run(stored, key, adam, order[lo : lo + run], turn, dropout, seed)
+                    return adam
+
+                nets = dict(zip(keys, side_by_side(spark, learnt, keys), strict=True))
+            for b in () if run else order:
+                _step(dealt[b], nets, turn, dropout, seed)
             if dev is not None:
                 now = Network({None: [w.copy() for w in nets[None].w]}, curve)
                 curve.append(auc(now.score(dev.select("y", "x")).select("y", "score")).head().pr_auc or 0.0)

@@ -194,3 +194,24 @@ def test_rows_are_dealt_to_batches_in_one_scan(spark, tmp_path):
     d = spark.range(400).select(read("id").alias("id"), F.array(F.rand(1), F.rand(2)).alias("x"), (F.col("id") % 2).alias("y"))
     network.train(d, hidden=2, epochs=2, batch=20)
     assert seen.value <= 4 * 400
+
+
+def test_a_job_makes_the_steps_of_many_small_batches(spark, monkeypatch):
+    """As many jobs as there are steps would take the time of a job for each; batches too large for a run are shared by tasks, to the same weights."""
+    df = spark.createDataFrame(vectors(), "id long, x array<double>, y int, fold int").repartition(3)
+    sc, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    kwargs = {"hidden": 4, "epochs": 3, "batch": 12, "seed": 5}
+    try:
+        sc.setJobGroup("many small batches", "")
+        net = network.train(df, 3, **kwargs)
+        assert len(tracker.getJobIdsForGroup("many small batches")) < 3 * 20  # one for each step and more, before
+    finally:
+        sc.setJobGroup("others", "")
+    monkeypatch.setattr(network, "RUN_CELLS", 5 * 12 * 3)
+    runs = network.train(df, 3, **kwargs)
+    monkeypatch.setattr(network, "RUN_CELLS", 1)
+    shared = network.train(df, 3, **(kwargs | {"epochs": 1}))
+    monkeypatch.setattr(network, "RUN_CELLS", 1 << 23)
+    once = network.train(df, 3, **(kwargs | {"epochs": 1}))
+    same = lambda a, b: all(np.allclose(p, q, atol=1e-10) for k in range(3) for p, q in zip(a.folds[k], b.folds[k], strict=True))
+    assert same(net, runs) and same(once, shared)
