@@ -129,3 +129,14 @@ def test_features_in_slices_are_the_same_and_move_less_at_a_time(spark):
     with_parts = lambda rows: sizes.append(len(left_after(spark, before))) or rows
     X.with_both(keys, texts.withColumnRenamed("_text", "known"), "known", ("a", "b"), with_parts, 3)
     assert sizes == [0, 0, 0]
+
+
+def test_lexical_features_alone_equal_those_beside_annotations(spark, monkeypatch):
+    """logistic_grid needs FEATURES only: texts are not annotated for it, and words are counted without the dots of acronyms as before."""
+    texts = {"a": "The U.S.A. and the U.K. agree in 2019", "b": "Can't they agree? I cannot say", "c": "", "d": "ﬁne e.g. N.A.S.A. said"}
+    t = spark.createDataFrame(list(texts.items()), "_key string, _text string")
+    p = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate((x, y) for x in texts for y in texts)], "id long, _k1 string, _k2 string")
+    want = {r.id: r for r in catalog.pair_features(p, t).select("id", *FEATURES).collect()}
+    assert len({r.word_count_absdiff for r in want.values()}) > 2
+    monkeypatch.setattr(catalog.C, "annotate", None)
+    assert {r.id: r for r in catalog.pair_lexical(p, t).select("id", *FEATURES).collect()} == want
